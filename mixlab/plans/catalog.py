@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from mixlab.plans import q_mixture  # noqa: F401
+from mixlab.plans import q_score  # noqa: F401
