@@ -3,3 +3,4 @@
 from mixlab.plans import q_mixture  # noqa: F401
 from mixlab.plans import q_score  # noqa: F401
 from mixlab.plans import q_sampling  # noqa: F401
+from mixlab.plans import q_clean  # noqa: F401
