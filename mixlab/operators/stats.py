@@ -19,3 +19,100 @@ def value_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "
     else:  # scalar subquery: no single-partition window even for many values
         total = counts.select(F.sum("n")).scalar()
     return counts.withColumn(name, F.col("n") / total)
+
+
+def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """A2 / A3: count, mean, sample std, min, 25/50/75 % (linear
+    interpolation, as pandas), max -- one aggregate, optionally per group.
+    ``exact=False`` uses ``percentile_approx`` for unbounded value domains."""
+    v = F.col(value).cast("double")
+    if exact:
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    else:
+        q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).cast("array<double>")
+    out = df.groupBy(*by).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
+    return out.select(*by, "count", "mean", "std", "min", F.get("_q", 0).alias("p25"),
+                      F.get("_q", 1).alias("p50"), F.get("_q", 2).alias("p75"), "max")
+
+
+def group_mean_sum(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """A4: mean and sum of numeric columns per group."""
+    aggs = []
+    for c in cols:
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.sum(c).alias(f"{c}_sum")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def confusion_share(df: DataFrame, by: str, y_true: str, y_pred: str) -> DataFrame:
+    """A5: confusion matrix normalised over all rows of each group; the grid
+    is every pair of values seen in either column of the group (zero cells
+    kept). The grid is built per group from its distinct values -- small."""
+    counts = df.groupBy(by, y_true, y_pred).agg(F.count(F.lit(1)).alias("n"))
+    vals = df.select(by, F.col(y_true).alias("v")).union(df.select(by, F.col(y_pred).alias("v"))).distinct()
+    grid = vals.withColumnRenamed("v", y_true).join(vals.withColumnRenamed("v", y_pred), by)
+    totals = df.groupBy(by).agg(F.count(F.lit(1)).alias("_total"))
+    g = grid.join(counts, [by, y_true, y_pred], "left").join(totals, by)
+    return g.select(by, y_true, y_pred, F.coalesce("n", F.lit(0)).alias("n"),
+                    (F.coalesce("n", F.lit(0)) / F.col("_total")).alias("share"))
+
+
+def top_ngrams(df: DataFrame, text: str, n: int = 4, k: int = 10) -> DataFrame:
+    """The k most frequent word n-grams as a percent of all n-grams.
+    Partial aggregation per gram, total as a scalar subquery, then a bounded
+    top-k (ties broken by the gram)."""
+    from mixlab.functions.text import word_ngrams
+
+    grams = df.select(F.explode(word_ngrams(text, n)).alias("ngram"))
+    counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.select(F.sum("n")).scalar()
+    return counts.withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "ngram").limit(k)
+
+
+def length_stats(df: DataFrame, length: str) -> DataFrame:
+    """Count, min, max, mean, upper median t[n//2] and p95 t[int(.95n)]
+    (index picks on the sorted lengths). Works on the histogram of distinct
+    lengths (far fewer than rows): cumulative counts, then the first length
+    whose cumulative count passes the wanted index."""
+    hist = df.groupBy(length).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("cum", F.sum("c").over(w))
+    n = hist.select(F.sum("c")).scalar()
+    i_med = F.floor(n / 2)
+    i_95 = F.floor(n.cast("double") * 0.95)
+    return cum.agg(
+        F.sum("c").alias("count"), F.min(length).alias("min"), F.max(length).alias("max"),
+        (F.sum(F.col(length) * F.col("c")) / F.sum("c")).alias("mean"),
+        F.min(F.when(F.col("cum") > i_med, F.col(length))).alias("median"),
+        F.min(F.when(F.col("cum") > i_95, F.col(length))).alias("p95"),
+    )
+
+
+def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """Equal-width bins between min and max (max in the last bin);
+    share of rows per bin, empty bins kept. Bounds are scalar subqueries,
+    the counts one partial/final aggregate over at most ``bins`` keys."""
+    v = F.col(value).cast("double")
+    stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"))
+    lo, hi, n = (stats.select(c).scalar() for c in ("lo", "hi", "n"))
+    width = (hi - lo) / bins
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
+    counts = df.filter(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    g = grid.join(F.broadcast(counts), "bin", "left")  # at most ``bins`` rows
+    return g.select("bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"),
+                    F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / n).alias("share"))
+
+
+def quartile_contrast(df: DataFrame, score: str, id_col: str = "id", frac: float = 0.25) -> DataFrame:
+    """Rows sorted by score (desc, NULL last, then id); top int(.25n) vs
+    bottom rows from int(.75n) on; means, medians and their differences.
+    One exact rank (bucketed by score range), then one grouped aggregate."""
+    from mixlab.functions.keys import numeric_rank
+
+    n = df.select(F.count(F.lit(1))).scalar()
+    r = numeric_rank(df, score, descending=True, tiebreak=[id_col], name="_r")
+    cohort = (F.when(F.col("_r") <= F.floor(n.cast("double") * frac), F.lit("top"))
+              .when(F.col("_r") > F.floor(n.cast("double") * (1.0 - frac)), F.lit("bottom")))
+    return r.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull())
