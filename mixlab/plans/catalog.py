@@ -5,3 +5,4 @@ from mixlab.plans import q_score  # noqa: F401
 from mixlab.plans import q_sampling  # noqa: F401
 from mixlab.plans import q_clean  # noqa: F401
 from mixlab.plans import q_stats  # noqa: F401
+from mixlab.plans import q_curves  # noqa: F401
