@@ -7,3 +7,4 @@ from mixlab.plans import q_clean  # noqa: F401
 from mixlab.plans import q_stats  # noqa: F401
 from mixlab.plans import q_curves  # noqa: F401
 from mixlab.plans import q_parse  # noqa: F401
+from mixlab.plans import q_prompts  # noqa: F401
