@@ -101,3 +101,54 @@ def size_sweep(
     fr = mixed.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
     syn = F.col("_r") <= F.floor(F.col("_n").cast("double") * F.col("frac"))
     return assemble(fr, task, syn, keep=[*by, "size", "run", "frac"])
+
+
+def replacement_value(df: DataFrame, task: str, base_sizes: Sequence[int] = (3000, 2000, 1000), real_add: int = 200,
+                      seed: int = DEFAULT_SEED, by: Sequence[str] = ("dataset_name",)) -> DataFrame:
+    """M4: nested all-generated bases (descending sizes, each inside the
+    previous: one rank), each written as 'train', 'real_train' (+ real_add
+    human rows drawn from all rows) and 'synth_i_train' (+ real_add*(i+1)
+    generated rows that follow the base in rank order), i < gap//add - 1."""
+    sizes = sorted(base_sizes, reverse=True)
+    n_adds = (sizes[0] - sizes[1]) // real_add - 1 if len(sizes) > 1 else 0
+    ranked = exact_rank(df, order_key("id", seed), partition_by=list(by), name="_r")
+    synth = assemble(ranked, task, F.lit(True), keep=[*by, "_r"])
+    base_arr = F.array(*[F.lit(int(s)) for s in sizes])
+    base = synth.withColumn("base_size", F.explode(base_arr)).filter(F.col("_r") <= F.col("base_size"))
+    variants = [F.lit("train"), F.lit("real_train")] + [F.lit(f"synth_{i}_train") for i in range(n_adds)]
+    out = base.withColumn("variant", F.explode(F.array(*variants)))
+    adds = synth.withColumn("base_size", F.explode(base_arr)).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(max(n_adds - 1, 0))))).filter(F.lit(n_adds > 0))
+    adds = adds.filter((F.col("_r") > F.col("base_size")) &
+                       (F.col("_r") <= F.col("base_size") + F.lit(real_add) * (F.col("i") + 1)))
+    adds = adds.withColumn("variant", F.concat(F.lit("synth_"), F.col("i").cast("string"), F.lit("_train"))).drop("i")
+    human = df.withColumn("base_size", F.explode(base_arr))
+    human = exact_rank(human, order_key("id", seed, F.lit("real"), "base_size"), partition_by=[*by, "base_size"],
+                       name="_q").filter(F.col("_q") <= real_add)
+    real = assemble(human, task, F.lit(False), keep=[*by, "base_size"]).withColumn("variant", F.lit("real_train"))
+    cols = [*by, "base_size", "variant", "id", "text", "label", "synthetic", "meta"]
+    return out.select(*cols).unionByName(adds.select(*cols)).unionByName(real.select(*cols))
+
+
+# Per-corpus sequence limits from the reference's run scripts.
+MAX_SEQ_LEN = {"factify": 800, "wanli": 150, "scifact": 512, "fever": 100, "ropes": 400, "qaconv": 512,
+               "narrativeqa": 800, "coqa": 512, "fairytaleqa": 400}
+DEFAULT_MAX_SEQ_LEN = 512
+GEN_MODEL = "gpt-3.5-turbo"
+
+
+def manifest(datasets: DataFrame, sizes: Sequence[int] = tuple(SWEEP_SIZES), fracs: Sequence[float] = tuple(MIX_FRACS),
+             runs: int = SWEEP_RUNS, model: str = GEN_MODEL, cot: bool = False) -> DataFrame:
+    """M5: one row per training run (dataset x size x frac x run) with its
+    length limit and the partitioned path of its training file. The grid is
+    generated per dataset row from literal arrays (no join)."""
+    from mixlab.operators.cleaning import literal_map
+
+    g = datasets.select("dataset_name", F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("size"))
+    g = g.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
+    g = g.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    msl = F.coalesce(F.try_element_at(literal_map(MAX_SEQ_LEN), F.col("dataset_name")), F.lit(DEFAULT_MAX_SEQ_LEN))
+    path = F.concat(F.lit(f"exp2/{model}/cot_{cot}/"), F.col("dataset_name"), F.lit("/size_"), F.col("size").cast("string"),
+                    F.lit("/frac_"), F.col("frac").cast("string"), F.lit("/run_"), F.col("run").cast("string"))
+    return g.select(F.lit(model).alias("model"), "dataset_name", "size", "frac", "run", msl.alias("max_seq_len"),
+                    path.alias("path"))
