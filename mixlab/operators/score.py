@@ -104,7 +104,8 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
         aggs += [F.max(f"pl{k}").alias(f"pl{k}"), F.max(f"_pw{k}").alias(f"_pw{k}"),
                  F.max(f"_el{k}").alias(f"_el{k}")]
         for n in range(1, max_n + 1):
-            aggs.append(F.sum(F.when(F.col("n") == n, F.least(F.col("r.c"), F.col(f"pc{k}")))).alias(f"m{n}_{k}"))
+            aggs.append(F.sum(F.when(F.col("n") == n, F.least(F.col("r.c"), F.coalesce(F.col(f"pc{k}"), F.lit(0)))))
+                        .alias(f"m{n}_{k}"))  # least() skips NULLs: absent gram = 0
     per_piece = ex.groupBy(id_col, F.col("r.s").alias("s")).agg(*aggs)
     scored = per_piece.select(
         id_col, "s", "_np", *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)],
@@ -186,3 +187,35 @@ def rouge1_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: st
     """ROUGE-1 F-measure per pair (clipped unigram overlap on the default
     ROUGE tokens). A prediction without words scores 1 if equal else 0."""
     return _pair_score(df, ref, pred, id_col, tokens_rouge, 1, _rouge_f).withColumnRenamed("score", "rouge1")
+
+
+def vector_match_f1(vecs: DataFrame, pair: str = "pair_id", side: str = "side", pos: str = "pos",
+                    vector: str = "vector", cand_side: int = 0) -> DataFrame:
+    """Greedy token-vector matching (precision / recall / F1 of max
+    cosine similarities, Zhang et al. 2020) for each text pair.
+
+    The token vectors of one pair are gathered into two arrays (bounded by
+    the pair's text lengths) and the similarity matrix is computed inside the
+    row with array functions -- no row explosion, no pairwise join."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda v: F.transform(v, lambda x: x / norm(v))
+    toks = vecs.select(pair, side, pos, unit(F.col(vector)).alias("_u"))
+    g = toks.groupBy(pair).agg(
+        F.array_sort(F.collect_list(F.when(F.col(side) == cand_side, F.struct(pos, "_u")))).alias("_c"),
+        F.array_sort(F.collect_list(F.when(F.col(side) != cand_side, F.struct(pos, "_u")))).alias("_r"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def best(xs, ys):
+        return F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x["_u"], y["_u"]))))
+
+    def mean(arr):
+        return F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.size(arr)
+
+    g = g.filter((F.size("_c") > 0) & (F.size("_r") > 0))
+    g = g.select(pair, mean(best(F.col("_c"), F.col("_r"))).alias("precision"),
+                 mean(best(F.col("_r"), F.col("_c"))).alias("recall"))
+    return g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+                        .otherwise(F.lit(0.0)))

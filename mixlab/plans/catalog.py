@@ -9,3 +9,4 @@ from mixlab.plans import q_curves  # noqa: F401
 from mixlab.plans import q_parse  # noqa: F401
 from mixlab.plans import q_prompts  # noqa: F401
 from mixlab.plans import q_seq  # noqa: F401
+from mixlab.plans import q_enrich  # noqa: F401

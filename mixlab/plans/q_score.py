@@ -49,3 +49,16 @@ def q_best_sentence(spark, sf):
     """E2 over whole documents: best dot piece for the claim and the generated claim."""
     f = fx.fx_fv(Tables(spark, sf))
     return rounded(sc.best_sentence(f, {"claim": "claim", "syn_claim": "syn_claim"}))
+
+
+@register("vector_match_f1", sql="""
+WITH t AS (SELECT pair_id, side, pos, vector FROM fx_token_vecs),
+s AS (SELECT c.pair_id, c.pos AS cp, r.pos AS rp, list_cosine_similarity(c.vector, r.vector) AS sim
+      FROM t c JOIN t r ON r.pair_id = c.pair_id AND c.side = 0 AND r.side <> 0),
+p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, cp, max(sim) AS m FROM s GROUP BY pair_id, cp) GROUP BY pair_id),
+r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rp, max(sim) AS m FROM s GROUP BY pair_id, rp) GROUP BY pair_id)
+SELECT pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+FROM p JOIN r USING (pair_id)""", fx=["fx_token_vecs"])
+def q_vector_match_f1(spark, sf):
+    return rounded(sc.vector_match_f1(fx.fx_token_vecs(Tables(spark, sf))))

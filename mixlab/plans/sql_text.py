@@ -50,18 +50,18 @@ def bleu_pairs_sql(pairs_cte: str) -> str:
     """``pairs_cte`` defines pairs(pair_id, ref, pred). Returns a WITH-less
     chain of CTE definitions ending in bleu_out(pair_id, bleu)."""
     return f"""pairs AS ({pairs_cte}),
-pairs_t AS (SELECT pair_id, ref, pred, {tok13a_sql('ref')} AS rtok, {tok13a_sql('pred')} AS ptok,
+b_pairs_t AS (SELECT pair_id, ref, pred, {tok13a_sql('ref')} AS rtok, {tok13a_sql('pred')} AS ptok,
                    len({words_sql('ref')}) AS rw, len({words_sql('pred')}) AS pw FROM pairs),
-rg AS ({grams_sql('pairs_t', 'pair_id', 'rtok')}),
-pg AS ({grams_sql('pairs_t', 'pair_id', 'ptok')}),
-mm AS (SELECT pair_id, {", ".join(f"sum(CASE WHEN n = {k} THEN least(rg.c, pg.c) ELSE 0 END) AS m{k}" for k in range(1, 5))}
-       FROM rg JOIN pg USING (pair_id, n, g) GROUP BY pair_id),
+b_rg AS ({grams_sql('b_pairs_t', 'pair_id', 'rtok')}),
+b_pg AS ({grams_sql('b_pairs_t', 'pair_id', 'ptok')}),
+b_mm AS (SELECT pair_id, {", ".join(f"sum(CASE WHEN n = {k} THEN least(b_rg.c, b_pg.c) ELSE 0 END) AS m{k}" for k in range(1, 5))}
+       FROM b_rg JOIN b_pg USING (pair_id, n, g) GROUP BY pair_id),
 bleu_out AS (
   SELECT pair_id,
          CASE WHEN ref IS NULL OR pred IS NULL THEN 0.0
               WHEN rw = 0 OR pw = 0 THEN CASE WHEN ref = pred THEN 1.0 ELSE 0.0 END
               ELSE {bleu_formula_sql('len(rtok)', 'len(ptok)', [f'coalesce(m{k}, 0)' for k in range(1, 5)])} END AS bleu
-  FROM pairs_t LEFT JOIN mm USING (pair_id))"""
+  FROM b_pairs_t LEFT JOIN b_mm USING (pair_id))"""
 
 
 def rouge_pairs_sql(pairs_cte: str) -> str:
