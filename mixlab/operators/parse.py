@@ -105,9 +105,9 @@ def parse_qa(df: DataFrame, c: str, out: str = "parsed") -> DataFrame:
                 .when(~bar & (nl == 1), F.substring_index(F.col(c), "\n", -1))),
     })
     d = d.withColumn("_ok", F.col("_ql").isNotNull() & F.col("_al").isNotNull())
-    d = d.withColumn(out, F.struct(F.when(F.col("_ok"), clean_line(F.col("_ql"))).alias("question"),
-                                   F.when(F.col("_ok"), clean_line(F.col("_al"))).alias("answer"),
-                                   (~F.col("_ok")).alias("rejected")))
+    d = _emit(d, out, F.struct(F.when(F.col("_ok"), clean_line(F.col("_ql"))).alias("question"),
+                               F.when(F.col("_ok"), clean_line(F.col("_al"))).alias("answer"),
+                               (~F.col("_ok")).alias("rejected")))
     return d.drop(*[x for x in d.columns if x.startswith("_") and x not in df.columns and x != out])
 
 
@@ -130,8 +130,8 @@ def parse_fv(df: DataFrame, c: str, out: str = "parsed") -> DataFrame:
     """E5: adds ``out`` = struct(claim, label, rejected)."""
     d = parse_qa(df, c, "_qa").withColumn("_lab", label_from_words(F.col("_qa.answer"), FALSE_WORDS))
     ok = F.col("_qa.question").isNotNull() & F.col("_lab").isNotNull()
-    d = d.withColumn(out, F.struct(F.when(ok, F.col("_qa.question")).alias("claim"),
-                                   F.when(ok, F.col("_lab")).alias("label"), (~ok).alias("rejected")))
+    d = _emit(d, out, F.struct(F.when(ok, F.col("_qa.question")).alias("claim"),
+                               F.when(ok, F.col("_lab")).alias("label"), (~ok).alias("rejected")))
     return d.drop("_qa", "_lab")
 
 
@@ -169,9 +169,9 @@ def parse_cot_qa(df: DataFrame, c: str, out: str = "parsed") -> DataFrame:
     })
     d = d.withColumn("_ok", F.col("_el").isNotNull() & F.col("_ql").isNotNull() & F.col("_al").isNotNull())
     ok = F.col("_ok")
-    d = d.withColumn(out, F.struct(F.when(ok, clean_explanation(F.col("_el"))).alias("explanation"),
-                                   F.when(ok, clean_line(F.col("_ql"))).alias("question"),
-                                   F.when(ok, clean_line(F.col("_al"))).alias("answer"), (~ok).alias("rejected")))
+    d = _emit(d, out, F.struct(F.when(ok, clean_explanation(F.col("_el"))).alias("explanation"),
+                               F.when(ok, clean_line(F.col("_ql"))).alias("question"),
+                               F.when(ok, clean_line(F.col("_al"))).alias("answer"), (~ok).alias("rejected")))
     return d.drop(*[x for x in d.columns if x.startswith("_") and x not in df.columns and x != out])
 
 
@@ -179,12 +179,20 @@ def parse_cot_fv(df: DataFrame, c: str, out: str = "parsed") -> DataFrame:
     """Adds ``out`` = struct(explanation, claim, label, rejected) (shorter false list)."""
     d = parse_cot_qa(df, c, "_cq").withColumn("_lab", label_from_words(F.col("_cq.answer"), FALSE_WORDS_EXPLAINED))
     ok = F.col("_cq.question").isNotNull() & F.col("_lab").isNotNull()
-    d = d.withColumn(out, F.struct(F.when(ok, F.col("_cq.explanation")).alias("explanation"),
-                                   F.when(ok, F.col("_cq.question")).alias("claim"),
-                                   F.when(ok, F.col("_lab")).alias("label"), (~ok).alias("rejected")))
+    d = _emit(d, out, F.struct(F.when(ok, F.col("_cq.explanation")).alias("explanation"),
+                               F.when(ok, F.col("_cq.question")).alias("claim"),
+                               F.when(ok, F.col("_lab")).alias("label"), (~ok).alias("rejected")))
     return d.drop("_cq", "_lab")
 
 
+def _emit(d: DataFrame, out: str, struct: Column) -> DataFrame:
+    """Attach the parser result through a one-element explode (a Generate
+    node). Filters on the result (parsed vs rejects) then stay above it:
+    otherwise predicate pushdown would inline the whole staged cascade into
+    the pushed-down predicate and planning time explodes."""
+    return d.select("*", F.explode(F.array(struct)).alias(out))
+
+
 def split_rejects(df: DataFrame, parsed: str = "parsed") -> tuple[DataFrame, DataFrame]:
     """(parsed rows, rejected rows) of a frame holding a parser struct."""
     return df.filter(~F.col(f"{parsed}.rejected")), df.filter(F.col(f"{parsed}.rejected"))
