@@ -93,8 +93,8 @@ WITH p AS (SELECT model, prompt_tokens, completion_tokens,
                   completion_tokens * ((CASE model WHEN 'gpt-3.5-turbo-0125' THEN 1.5 WHEN 'gpt-4-turbo' THEN 30.0 END) / 1000000) AS completion_cost
            FROM fx_usage WHERE model IN ('gpt-3.5-turbo-0125', 'gpt-4-turbo'))
 SELECT model, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
-       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(prompt_cost), 6) AS prompt_cost,
-       round(sum(completion_cost), 6) AS completion_cost, round(sum(prompt_cost) + sum(completion_cost), 6) AS total_cost
+       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(prompt_cost), 9) AS prompt_cost,
+       round(sum(completion_cost), 9) AS completion_cost, round(sum(prompt_cost) + sum(completion_cost), 9) AS total_cost
 FROM p GROUP BY ROLLUP (model)""", fx=["fx_usage"])
 def q_cost_rollup(spark, sf):
-    return rounded(co.cost_rollup(fx.fx_usage(Tables(spark, sf))))
+    return rounded(co.cost_rollup(fx.fx_usage(Tables(spark, sf))), 9)
