@@ -11,3 +11,4 @@ from mixlab.plans import q_prompts  # noqa: F401
 from mixlab.plans import q_seq  # noqa: F401
 from mixlab.plans import q_enrich  # noqa: F401
 from mixlab.plans import q_streams  # noqa: F401
+from mixlab.plans import q_corpora  # noqa: F401
