@@ -215,3 +215,22 @@ def q_multi_hot(spark, sf):
     l = l.withColumn("vocab", vocab)
     mh = cl.multi_hot("labels", F.col("vocab"))
     return l.select("doc_id", F.array_join(F.transform(mh, lambda x: x.cast("int").cast("string")), ",").alias("multi_hot"))
+
+
+@register("path_columns")
+def q_path_columns(spark, sf):
+    """S7 / S8 (rows-only): scan a table keeping its file path; the table
+    name and scale factor are cut out of the path."""
+    from mixlab.sources.io import path_columns
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("_metadata.file_path").alias("path"))
+    return path_columns(d, "path", r"/sf([0-9.]+)/([a-z_]+)\.parquet", ["sf", "table_name"]).drop("path")
+
+
+@register("column_inference", sql="SELECT id, context || ' | ' || claim AS text, label FROM fx_fv", fx=["fx_fv"])
+def q_column_inference(spark, sf):
+    """P10: input / output columns found from the schema and renamed."""
+    from mixlab.sources.io import to_text_label
+
+    m = mx.mixture(fx.fx_fv(Tables(spark, sf)), "fv", 0.0).select("id", "text", "label")
+    return to_text_label(m, strict=True)
