@@ -10,6 +10,7 @@ from mixlab.operators import metrics as mt
 from mixlab.operators import sampling as sm
 from mixlab.operators import stats as st
 from mixlab.plans.oracle_fixtures import words_sql
+from mixlab.plans.q_clean import _qw_sql
 from mixlab.plans.q_sampling import cnt, rk
 from mixlab.plans.registry import register, rounded
 from mixlab.plans.sql_text import bleu_pairs_sql, rouge_pairs_sql
@@ -216,3 +217,14 @@ def q_label_vocab(spark, sf):
     f = fx.fx_fv(Tables(spark, sf)).select("id", "dataset_name", "meta")
     s = sm.shuffle_split(f, 0.2, by=["dataset_name"])
     return mt.label_vocab(s, "meta")
+
+
+@register("value_share", sql=f"""
+WITH w AS (SELECT dataset_name, {_qw_sql('question')} AS question_word FROM fx_qa),
+c AS (SELECT dataset_name, question_word, count(*) AS n FROM w WHERE question_word IS NOT NULL GROUP BY ALL)
+SELECT dataset_name, question_word, n, round(n / sum(n) OVER (PARTITION BY dataset_name), 6) AS share FROM c""",
+          fx=["fx_qa"])
+def q_value_share(spark, sf):
+    """A1: question-word frequencies and shares per dataset (NULL excluded)."""
+    q = fx.fx_qa(Tables(spark, sf)).select("dataset_name", tx.question_word("question").alias("question_word"))
+    return rounded(st.value_share(q, "question_word", by=["dataset_name"]))
