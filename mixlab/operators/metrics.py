@@ -124,5 +124,5 @@ def label_vocab(df: DataFrame, label: str, split: str = "split", train: str = "t
     ) else df.select(F.col(split), lab.alias("_l"))
     v = exploded.filter(F.col("_l").isNotNull()).select(F.col("_l").cast("string").alias("label"), split)
     agg = v.groupBy("label").agg(F.max((F.col(split) == train).cast("int")).alias("_t"))
-    return agg.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("label_id"),
+    return agg.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("label_id"),
                       (F.col("_t") == 1).alias("in_train"))

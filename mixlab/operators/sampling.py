@@ -53,7 +53,7 @@ def sample_per_group(df: DataFrame, group: str, n: int = 5, seed: int = DEFAULT_
     w1 = Window.partitionBy(group, "_salt").orderBy("_k", id_col)
     cand = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
     w2 = Window.partitionBy(group).orderBy("_k", id_col)
-    return cand.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= n).drop(
+    return cand.withColumn("sample_rank", F.row_number().over(w2).cast("long")).filter(F.col("sample_rank") <= n).drop(
         "_k", "_salt", "_r1")
 
 

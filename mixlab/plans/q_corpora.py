@@ -78,3 +78,47 @@ UNION ALL SELECT 'scifact', split, 'fv', context, context_id, claim, label, meta
 from mixlab.plans.registry import ORACLE  # noqa: E402
 
 ORACLE["canonical_fv"] = CANONICAL_FV_SQL
+
+CANONICAL_QA_SQL = f"""
+WITH qb AS (SELECT u.conv_id AS c, u.turn AS t, u.text AS question, a.text AS context, str_split(a.text, '.') AS pieces
+            FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+            WHERE u.role = 'user'),
+narr AS (SELECT * FROM (
+  SELECT {SPLITS_SQL}[['train', 'validation', 'test'][c % 3 + 1]] AS split, question, pieces[1] AS answer, context,
+         CAST(c AS VARCHAR) AS context_id, 'turn' || CAST(t AS VARCHAR) AS meta FROM qb)
+  WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}
+    AND split IS NOT NULL AND context_id IS NOT NULL AND meta IS NOT NULL),
+coqa AS (SELECT * FROM (
+  SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, pieces[1] AS answer, context,
+         CAST(c * 100 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta FROM qb)
+  WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
+ft0 AS (SELECT {SPLITS_SQL}[['train', 'validation', 'test'][c % 3 + 1]] AS split, c * 100 + t AS id, question,
+               pieces[1] AS answer, context, 'turn' || CAST(t AS VARCHAR) AS meta FROM qb),
+ftf AS (SELECT split, context, row_number() OVER (PARTITION BY split ORDER BY min(id), context) - 1 AS cid
+        FROM ft0 GROUP BY split, context),
+ft AS (SELECT * FROM (SELECT f.split, f.question, f.answer, f.context, CAST(x.cid AS VARCHAR) AS context_id, f.meta
+                      FROM ft0 f JOIN ftf x ON x.split = f.split AND x.context = f.context)
+       WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
+seg AS (SELECT 'seg' || CAST(conv_id AS VARCHAR) AS sid,
+               string_agg(regexp_replace(role, '^\\s+|\\s+$', '', 'g') || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '|', '' ORDER BY turn) AS context
+        FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id),
+qc AS (SELECT * FROM (
+  SELECT {SPLITS_SQL}[['trn', 'tst', 'val'][q.c % 3 + 1]] AS split, q.question, q.answers[1] AS answer, s.context,
+         q.sid AS context_id, q.qg AS meta
+  FROM (SELECT c, question, 'seg' || CAST(c AS VARCHAR) AS sid, 'q' || CAST(t AS VARCHAR) AS qg,
+               list_filter(pieces[1:2], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS answers FROM qb) q
+  LEFT JOIN seg s ON s.sid = q.sid WHERE len(q.answers) > 0)
+  WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
+rp0 AS (SELECT * FROM (
+  SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, pieces[3] AS answer,
+         pieces[1] || chr(10) || pieces[2] AS context, CAST(c * 100 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta
+  FROM qb WHERE len(pieces) >= 3)
+  WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')})
+SELECT 'narrativeqa' AS dataset_name, split, 'qa' AS task, question, answer, context, context_id, meta FROM narr
+UNION ALL SELECT 'coqa', split, 'qa', question, answer, context, context_id, meta FROM coqa
+UNION ALL SELECT 'fairytaleqa', split, 'qa', question, answer, context, context_id, meta FROM ft
+UNION ALL SELECT 'qaconv', split, 'qa', question, answer, context, context_id, meta FROM qc
+UNION ALL SELECT 'ropes', split, 'qa', question, answer, context, context_id, meta FROM ({_reshuffle_sql('SELECT * FROM rp0')})
+"""
+
+ORACLE["canonical_qa"] = CANONICAL_QA_SQL

@@ -43,7 +43,7 @@ r AS (SELECT doc_id, len, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS g
 o AS (SELECT doc_id, g, coalesce(sum(len) OVER (PARTITION BY g ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
              sum(len) OVER (PARTITION BY g) AS total FROM r),
 p AS (SELECT o.g, o.off + t.pos - 1 AS gpos, o.total, t.id FROM t JOIN o USING (doc_id))
-SELECT g AS "group", gpos // 256 AS block, string_agg(CAST(id AS VARCHAR), ',' ORDER BY gpos) AS input_ids
+SELECT CAST(g AS BIGINT) AS "group", CAST(gpos // 256 AS BIGINT) AS block, string_agg(CAST(id AS VARCHAR), ',' ORDER BY gpos) AS input_ids
 FROM p WHERE gpos // 256 < total // 256 GROUP BY g, gpos // 256""")
 def q_pack_blocks(spark, sf):
     p = sq.pack_blocks(_doc_ids(spark, sf), "ids", "doc_id", 256)

@@ -61,5 +61,6 @@ def q_stream_cost(spark, sf):
     run = st.new_run_dir(spark, "stream-cost")
     q = st.cost_stream(spark, usage, f"{run}/out")
     q.awaitTermination()
-    return rounded(spark.read.parquet(f"{run}/out").select("window_start", "model", "requests", "prompt_tokens",
+    out = spark.read.parquet(f"{run}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return rounded(out.select("window_start", "model", "requests", "prompt_tokens",
                                                            "completion_tokens", "prompt_cost", "completion_cost"), 9)
