@@ -67,17 +67,40 @@ def mixture(
     return assemble(ranked, task, F.col("_r") <= frac_count(F.col("_n"), frac), keep)
 
 
+# Holdout splits of these corpora are sampled before mixing.
+HOLDOUT_FRAC = {"fever": 0.25}
+
+
 def mixture_sweep(
     df: DataFrame, task: str, fracs: Sequence[float] = tuple(MIX_FRACS), seed: int = DEFAULT_SEED,
-    by: Sequence[str] = ("dataset_name",),
+    by: Sequence[str] = ("dataset_name",), split_col: str | None = None,
+    holdout_frac: dict[str, float] | None = None,
 ) -> DataFrame:
     """M2: every fraction in one plan. One rank per row serves all fractions
-    (nested by construction); the fraction table is a tiny literal array that
-    is exploded per row, not joined."""
-    ranked = exact_rank(df, order_key("id", seed), partition_by=list(by), name="_r", size_name="_n")
+    (nested by construction); the fraction list is a literal array exploded
+    per row, not joined.
+
+    With ``split_col``: mixing happens per split, the test split is never
+    mixed (it appears at fraction 0 only), and non-train splits of the
+    datasets in ``holdout_frac`` are first sampled (fever at 25 %).
+    """
+    part = [*by] + ([split_col] if split_col else [])
+    d = df
+    if split_col and holdout_frac is not False:
+        hf = HOLDOUT_FRAC if holdout_frac is None else holdout_frac
+        if hf and "dataset_name" in df.columns:
+            from mixlab.operators.cleaning import literal_map
+
+            f = F.try_element_at(literal_map({k: float(v) for k, v in hf.items()}), F.col("dataset_name"))
+            r = exact_rank(d, order_key("id", seed, F.lit("holdout")), partition_by=part, name="_h", size_name="_hn")
+            keep = (F.col(split_col) == "train") | f.isNull() | (F.col("_h") <= F.bround(F.col("_hn") * f, 0))
+            d = r.filter(keep).drop("_h", "_hn")
+    ranked = exact_rank(d, order_key("id", seed), partition_by=part, name="_r", size_name="_n")
     fr = ranked.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
+    if split_col:
+        fr = fr.filter((F.col(split_col) != "test") | (F.col("frac") == 0.0))
     syn = F.col("_r") <= F.floor(F.col("_n").cast("double") * F.col("frac"))
-    return assemble(fr, task, syn, keep=[*by, "frac"])
+    return assemble(fr, task, syn, keep=[*part, "frac"])
 
 
 def size_sweep(

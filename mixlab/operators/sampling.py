@@ -128,3 +128,9 @@ def top_fraction(df: DataFrame, score: str, frac: float, top: bool = True, id_co
     if top:
         return r.filter(F.col("_r") <= F.floor(n.cast("double") * F.lit(frac))).drop("_r")
     return r.filter(F.col("_r") > F.floor(n.cast("double") * F.lit(1.0 - frac))).drop("_r")
+
+
+def sort_by_score(df: DataFrame, score: str = "score", id_col: str = "id") -> DataFrame:
+    """Descending score, NULLs last, ties by id (a range-partitioned
+    global sort: no single partition)."""
+    return df.orderBy(F.col(score).desc_nulls_last(), F.col(id_col))

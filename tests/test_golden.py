@@ -149,3 +149,22 @@ def test_packing(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, [4, 5, 6, 7]), (3, [8, 9])], "k long, ids array<int>")
     blocks = sorted((r.block, list(r.input_ids)) for r in pack_blocks(df, "ids", "k", 4).collect())
     assert blocks == [(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8])]
+
+
+def test_sweep_never_mixes_test_and_samples_fever_holdout(spark):
+    base = spark.range(200).select(
+        "id", F.when(F.col("id") % 2 == 0, F.lit("fever")).otherwise(F.lit("wanli")).alias("dataset_name"),
+        F.when(F.col("id") % 10 < 6, F.lit("train")).when(F.col("id") % 10 < 8, F.lit("valid")).otherwise(F.lit("test")).alias("split"),
+        F.lit("c").alias("context"), F.lit("h").alias("claim"), F.lit("g").alias("syn_claim"), F.lit(1).alias("label"),
+        F.lit(0).alias("syn_label"), F.lit(None).cast("string").alias("meta"))
+    s = mx.mixture_sweep(base, "fv", split_col="split")
+    test_fracs = {r.frac for r in s.filter("split = 'test'").select("frac").distinct().collect()}
+    assert test_fracs == {0.0}
+    n = {(r.dataset_name, r.split): r["count"] for r in s.filter("frac = 0.0").groupBy("dataset_name", "split").count().collect()}
+    assert n[("fever", "train")] == 60 and n[("fever", "valid")] == 5 and n[("fever", "test")] == 5
+    assert n[("wanli", "valid")] == 20
+
+
+def test_sort_by_score(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "id long, score double")
+    assert [r.id for r in sm.sort_by_score(df).collect()] == [3, 1, 4, 2]
