@@ -91,3 +91,16 @@ def bleu_from_counts(ref_len: Column, pred_len: Column, matches: list[Column]) -
         log_sum = term if log_sum is None else log_sum + term
     bp = F.when(pred_len > ref_len, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref_len / pred_len))
     return F.when((ref_len > 0) & (pred_len > 0) & all_pos, bp * F.exp(log_sum)).otherwise(F.lit(0.0))
+
+
+def bleu_sql(rl: str, pl: str, m: list[str]) -> str:
+    """SQL-expression twin of ``bleu_from_counts`` (one analyzer round trip
+    instead of hundreds of Column calls when plans are built)."""
+    order = f"least({rl}, {MAX_ORDER})"
+    precs = [f"(CASE WHEN {pl} - {k} + 1 > 0 THEN CAST({m[k - 1]} AS DOUBLE) / ({pl} - {k} + 1) ELSE 0.0D END)"
+             for k in range(1, len(m) + 1)]
+    allpos = " AND ".join(f"({order} < {k} OR {p} > 0)" for k, p in enumerate(precs, 1))
+    logs = " + ".join(f"(CASE WHEN {order} >= {k} AND {p} > 0 THEN ln({p}) / {order} ELSE 0.0D END)"
+                      for k, p in enumerate(precs, 1))
+    bp = f"(CASE WHEN {pl} > {rl} THEN 1.0D ELSE exp(1.0D - {rl} / {pl}) END)"
+    return f"(CASE WHEN {rl} > 0 AND {pl} > 0 AND {allpos} THEN {bp} * exp({logs}) ELSE 0.0D END)"

@@ -19,48 +19,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlab.functions.bleu import MAX_ORDER, bleu_from_counts, ngram_structs, tokens_13a, tokens_rouge
+from mixlab.functions.bleu import GRAM_TYPE, MAX_ORDER, bleu_sql, tokens_13a, tokens_rouge
 from mixlab.functions.text import dot_pieces, words
 
 _SIDE_REF, _SIDE_PRED, _SIDE_VMETA, _SIDE_ROWMETA = 0, 1, 2, 3
-_ELEM = "struct<n:int,g:string,side:int,idx:int,len:int,el:int>"
-
-
-def _elem(n, g, side, idx, length, el=None) -> Column:
-    return F.struct(
-        F.lit(n).cast("int").alias("n") if not isinstance(n, Column) else n.cast("int").alias("n"),
-        (g if isinstance(g, Column) else F.lit(g)).cast("string").alias("g"),
-        F.lit(side).cast("int").alias("side"),
-        (idx if isinstance(idx, Column) else F.lit(idx)).cast("int").alias("idx"),
-        (length if isinstance(length, Column) else F.lit(length)).cast("int").alias("len"),
-        (el if isinstance(el, Column) else F.lit(el)).cast("int").alias("el"),
-    )
-
-
-def _stream(pieces: Column, piece_toks: Column, preds: Sequence[Column], pred_toks: Sequence[Column],
-            max_n: int) -> Column:
-    """One array per input row: grams of every piece (side 0, idx = piece),
-    grams of every prediction (side 1, idx = variant), one meta element per
-    variant (side 2: word count, first piece equal to it) and one per row
-    (side 3: number of pieces, NULL when the context is NULL).
-
-    Token arrays arrive precomputed (one tokenizer pass per piece); the
-    lambdas below only slice them.
-    """
-    safe_pieces = F.coalesce(pieces, F.array().cast("array<string>"))
-    refs = F.flatten(F.transform(
-        F.coalesce(piece_toks, F.array().cast("array<array<string>>")),
-        lambda t, s: F.transform(ngram_structs(t, max_n),
-                                 lambda x: _elem(x["n"], x["g"], _SIDE_REF, s, F.size(t))),
-    ))
-
-    def pred_grams(k: int, t: Column) -> Column:
-        return F.transform(ngram_structs(t, max_n), lambda x: _elem(x["n"], x["g"], _SIDE_PRED, k, F.size(t)))
-
-    vmeta = [_elem(0, None, _SIDE_VMETA, k, F.coalesce(F.size(words(p)), F.lit(-1)),
-                   F.array_position(safe_pieces, p) - 1) for k, p in enumerate(preds)]
-    rowmeta = _elem(0, None, _SIDE_ROWMETA, 0, F.when(pieces.isNotNull(), F.size(pieces)))
-    return F.concat(refs, *[pred_grams(k, t) for k, t in enumerate(pred_toks)], F.array(*vmeta, rowmeta))
+def _grams_sql(tok: str, max_n: int) -> str:
+    size = f"coalesce(size({tok}), 0)"
+    return (f"(CASE WHEN {size} > 0 THEN flatten(transform(sequence(1, least({max_n}, {size})), "
+            f"_n_ -> transform(sequence(1, {size} - _n_ + 1), "
+            f"_i_ -> named_struct('n', _n_, 'g', array_join(slice({tok}, _i_, _n_), ' '))))) "
+            f"ELSE CAST(array() AS {GRAM_TYPE}) END)")
+
+
+def _stream_sql(pieces: str, piece_toks: str, preds: list[str], pred_toks: list[str], pred_words: list[str],
+                max_n: int) -> str:
+    """SQL-expression twin of ``_stream`` (same elements, one round trip)."""
+    safe = f"coalesce({pieces}, CAST(array() AS array<string>))"
+    refs = (f"flatten(transform(coalesce({piece_toks}, CAST(array() AS array<array<string>>)), (_t_, _s_) -> "
+            f"transform({_grams_sql('_t_', max_n)}, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_REF}, "
+            f"'idx', _s_, 'len', size(_t_), 'el', CAST(NULL AS INT)))))")
+    parts = [refs]
+    for k, t in enumerate(pred_toks):
+        parts.append(f"transform({_grams_sql(t, max_n)}, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_PRED}, "
+                     f"'idx', {k}, 'len', size({t}), 'el', CAST(NULL AS INT)))")
+    metas = [f"named_struct('n', 0, 'g', CAST(NULL AS STRING), 'side', {_SIDE_VMETA}, 'idx', {k}, "
+             f"'len', coalesce(size({w}), -1), 'el', CAST(array_position({safe}, {p}) - 1 AS INT))"
+             for k, (p, w) in enumerate(zip(preds, pred_words))]
+    metas.append(f"named_struct('n', 0, 'g', CAST(NULL AS STRING), 'side', {_SIDE_ROWMETA}, 'idx', 0, "
+                 f"'len', CASE WHEN {pieces} IS NOT NULL THEN size({pieces}) END, 'el', CAST(NULL AS INT))")
+    parts.append("array(" + ", ".join(metas) + ")")
+    return "concat(" + ", ".join(parts) + ")"
 
 
 def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column], tokenizer, max_n: int,
@@ -75,23 +63,25 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
     K = len(preds)
     tok = base.select(id_col, pieces.alias("_pieces"), F.transform(pieces, tokenizer).alias("_ptoks"),
                       *[p.alias(f"_q{k}") for k, p in enumerate(preds)],
-                      *[tokenizer(p).alias(f"_qt{k}") for k, p in enumerate(preds)])
-    g = tok.select(id_col, F.inline(_stream(
-        F.col("_pieces"), F.col("_ptoks"), [F.col(f"_q{k}") for k in range(K)],
-        [F.col(f"_qt{k}") for k in range(K)], max_n)))
+                      *[tokenizer(p).alias(f"_qt{k}") for k, p in enumerate(preds)],
+                      *[words(p).alias(f"_qw{k}") for k, p in enumerate(preds)])
+    g = tok.select(id_col, F.inline(F.expr(_stream_sql(
+        "_pieces", "_ptoks", [f"_q{k}" for k in range(K)], [f"_qt{k}" for k in range(K)],
+        [f"_qw{k}" for k in range(K)], max_n))))
     # 1) occurrences per (id, n, gram, side, idx); meta elements pass through
     occ = g.groupBy(id_col, "n", "g", "side", "idx").agg(
         F.count(F.lit(1)).alias("c"), F.max("len").alias("len"), F.max("el").alias("el"))
     side, idx = F.col("side"), F.col("idx")
     # 2) per gram: the pieces holding it and its count in every variant
+    E = F.expr
     per_gram = occ.groupBy(id_col, "n", "g").agg(
         F.collect_list(F.when(side == _SIDE_REF, F.struct(idx.alias("s"), "c", "len"))).alias("refs"),
-        *[F.max(F.when((side == _SIDE_PRED) & (idx == k), F.col("c"))).alias(f"pc{k}") for k in range(K)],
-        *[F.max(F.when((side == _SIDE_PRED) & (idx == k), F.col("len"))).alias(f"pl{k}") for k in range(K)],
-        *[F.max(F.when((side == _SIDE_VMETA) & (idx == k), F.col("len"))).alias(f"_pw{k}") for k in range(K)],
-        *[F.max(F.when((side == _SIDE_VMETA) & (idx == k), F.col("el"))).alias(f"_el{k}") for k in range(K)],
-        F.max(F.when(side == _SIDE_ROWMETA, F.col("len"))).alias("_np"),
-        F.max((side >= _SIDE_VMETA).cast("int")).alias("_meta"),
+        *[E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN c END)").alias(f"pc{k}") for k in range(K)],
+        *[E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN len END)").alias(f"pl{k}") for k in range(K)],
+        *[E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN len END)").alias(f"_pw{k}") for k in range(K)],
+        *[E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN el END)").alias(f"_el{k}") for k in range(K)],
+        E(f"max(CASE WHEN side = {_SIDE_ROWMETA} THEN len END)").alias("_np"),
+        E(f"max(CAST(side >= {_SIDE_VMETA} AS INT))").alias("_meta"),
     )
     any_pred = F.greatest(*[F.col(f"pc{k}").isNotNull() for k in range(K)], F.lit(False))
     kept = per_gram.filter((F.col("_meta") == 1) | ((F.size("refs") > 0) & any_pred))
@@ -103,16 +93,13 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
     for k in range(K):
         aggs += [F.max(f"pl{k}").alias(f"pl{k}"), F.max(f"_pw{k}").alias(f"_pw{k}"),
                  F.max(f"_el{k}").alias(f"_el{k}")]
-        for n in range(1, max_n + 1):
-            aggs.append(F.sum(F.when(F.col("n") == n, F.least(F.col("r.c"), F.coalesce(F.col(f"pc{k}"), F.lit(0)))))
-                        .alias(f"m{n}_{k}"))  # least() skips NULLs: absent gram = 0
+        for n in range(1, max_n + 1):  # least() skips NULLs: an absent gram counts 0
+            aggs.append(E(f"sum(CASE WHEN n = {n} THEN least(r.c, coalesce(pc{k}, 0)) END)").alias(f"m{n}_{k}"))
     per_piece = ex.groupBy(id_col, F.col("r.s").alias("s")).agg(*aggs)
     scored = per_piece.select(
         id_col, "s", "_np", *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)],
-        *[F.when(F.col("s").isNotNull(),
-                 scorer(F.col("rl"), F.col(f"pl{k}"),
-                        [F.coalesce(F.col(f"m{n}_{k}"), F.lit(0)) for n in range(1, max_n + 1)])).alias(f"sc{k}")
-          for k in range(K)])
+        *[E(f"CASE WHEN s IS NOT NULL THEN " + scorer("rl", f"pl{k}", [f"coalesce(m{n}_{k}, 0)" for n in range(1, max_n + 1)])
+            + " END").alias(f"sc{k}") for k in range(K)])
     # 4) best piece per id and variant
     return scored.groupBy(id_col).agg(
         F.max("_np").alias("_np"),
@@ -137,7 +124,7 @@ def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "conte
                      *[F.col(variants[n]).cast("string").alias(f"_p{k}") for k, n in enumerate(names)])
     base = base.repartition(id_col)
     preds = [F.col(f"_p{k}") for k in range(len(names))]
-    r = _score(base, id_col, dot_pieces("_ctx"), preds, tokens_13a, MAX_ORDER, bleu_from_counts)
+    r = _score(base, id_col, dot_pieces("_ctx"), preds, tokens_13a, MAX_ORDER, bleu_sql)
     rows = []
     for k, n in enumerate(names):
         nullctx = F.col("_np").isNull()
@@ -172,15 +159,14 @@ def bleu_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str
     otherwise BLEU-min(ref_len,4) with brevity penalty. The pair is a
     one-piece context, so E1 runs E2's single-shuffle plan.
     """
-    return _pair_score(df, ref, pred, id_col, tokens_13a, MAX_ORDER, bleu_from_counts).withColumnRenamed(
+    return _pair_score(df, ref, pred, id_col, tokens_13a, MAX_ORDER, bleu_sql).withColumnRenamed(
         "score", "bleu")
 
 
-def _rouge_f(rl: Column, pl: Column, m: list[Column]) -> Column:
-    ov = m[0].cast("double")
-    p = ov / F.greatest(pl, F.lit(1))
-    r = ov / F.greatest(rl, F.lit(1))
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+def _rouge_f(rl: str, pl: str, m: list[str]) -> str:
+    p = f"(CAST({m[0]} AS DOUBLE) / greatest({pl}, 1))"
+    r = f"(CAST({m[0]} AS DOUBLE) / greatest({rl}, 1))"
+    return f"(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0D END)"
 
 
 def rouge1_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str = "pair_id") -> DataFrame:

@@ -8,6 +8,7 @@ from mixlab.operators import enrich as en
 from mixlab.plans.oracle_fixtures import words_sql
 from mixlab.plans.q_clean import _qw_sql
 from mixlab.plans.registry import register, rounded
+from mixlab.session import cut_lineage
 from mixlab.plans.sql_text import best_sentence_sql, bleu_pairs_sql
 from mixlab.sources import fixtures as fx
 from mixlab.sources.tables import Tables
@@ -119,7 +120,8 @@ def _feat_sql(origin, prefix):
 long AS ({_feat_sql('human', '')} UNION ALL {_feat_sql('generated', 'syn_')})
 {_describe_sql('value', 'long', 'feature, origin')}""", fx=["fx_fv", "fx_scores"])
 def q_generated_report(spark, sf):
-    return rounded(en.generated_report(_enrich_fv(spark, sf), "claim", GEN_FEATS))
+    # the enriched table feeds several reports: written once to the shared checkpoint folder
+    return rounded(en.generated_report(cut_lineage(_enrich_fv(spark, sf)), "claim", GEN_FEATS))
 
 
 PRED_FEATS = ["answer_location_ratio", "pred_location_ratio", "question_best_bleu_w_context",
@@ -132,4 +134,5 @@ c AS (SELECT *, CASE WHEN r <= floor(n * 0.25) THEN 'top' WHEN r > floor(n * (1.
 long AS ({" UNION ALL ".join(f"SELECT cohort, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM c WHERE cohort IS NOT NULL" for f in PRED_FEATS)})
 {_describe_sql('value', 'long', 'cohort, feature')}""", fx=["fx_qa"])
 def q_prediction_report(spark, sf):
-    return rounded(en.prediction_report(_enrich_qa(spark, sf), PRED_FEATS))
+    # ranks need bounds and counts of the score: read them from a written copy, not by recomputing
+    return rounded(en.prediction_report(cut_lineage(_enrich_qa(spark, sf)), PRED_FEATS))
