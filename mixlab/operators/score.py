@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlab.functions.bleu import GRAM_TYPE, MAX_ORDER, bleu_sql, tokens_13a, tokens_rouge
@@ -71,31 +71,27 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
     # 1) occurrences per (id, n, gram, side, idx); meta elements pass through
     occ = g.groupBy(id_col, "n", "g", "side", "idx").agg(
         F.count(F.lit(1)).alias("c"), F.max("len").alias("len"), F.max("el").alias("el"))
-    side, idx = F.col("side"), F.col("idx")
-    # 2) per gram: the pieces holding it and its count in every variant
     E = F.expr
-    per_gram = occ.groupBy(id_col, "n", "g").agg(
-        F.collect_list(F.when(side == _SIDE_REF, F.struct(idx.alias("s"), "c", "len"))).alias("refs"),
-        *[E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN c END)").alias(f"pc{k}") for k in range(K)],
-        *[E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN len END)").alias(f"pl{k}") for k in range(K)],
-        *[E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN len END)").alias(f"_pw{k}") for k in range(K)],
-        *[E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN el END)").alias(f"_el{k}") for k in range(K)],
-        E(f"max(CASE WHEN side = {_SIDE_ROWMETA} THEN len END)").alias("_np"),
-        E(f"max(CAST(side >= {_SIDE_VMETA} AS INT))").alias("_meta"),
-    )
+    # 2) every occurrence row learns the gram's count in each variant (a window
+    #    on (id, n, gram): same partitioning, no collect, no explode)
+    w = Window.partitionBy(id_col, "n", "g")
+    ann = occ.withColumns({
+        **{f"pc{k}": E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN c END)").over(w) for k in range(K)},
+        **{f"pl{k}": E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN len END)").over(w) for k in range(K)}})
     any_pred = F.greatest(*[F.col(f"pc{k}").isNotNull() for k in range(K)], F.lit(False))
-    kept = per_gram.filter((F.col("_meta") == 1) | ((F.size("refs") > 0) & any_pred))
-    ex = kept.select(id_col, "n", F.explode_outer("refs").alias("r"), "_np",
-                     *[f"pc{k}" for k in range(K)], *[f"pl{k}" for k in range(K)],
-                     *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)])
-    # 3) clipped matches per (id, piece); the meta group has s = NULL
-    aggs = [F.max("r.len").alias("rl"), F.max("_np").alias("_np")]
+    ex = ann.filter(((F.col("side") == _SIDE_REF) & any_pred) | (F.col("side") >= _SIDE_VMETA))
+    # 3) clipped matches per (id, piece); prediction / meta rows have s = NULL
+    aggs = [E(f"max(CASE WHEN side = {_SIDE_REF} THEN len END)").alias("rl"),
+            E(f"max(CASE WHEN side = {_SIDE_ROWMETA} THEN len END)").alias("_np")]
     for k in range(K):
-        aggs += [F.max(f"pl{k}").alias(f"pl{k}"), F.max(f"_pw{k}").alias(f"_pw{k}"),
-                 F.max(f"_el{k}").alias(f"_el{k}")]
+        aggs += [E(f"max(CASE WHEN side = {_SIDE_REF} THEN pl{k} END)").alias(f"pl{k}"),
+                 E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN len END)").alias(f"_pw{k}"),
+                 E(f"max(CASE WHEN side = {_SIDE_VMETA} AND idx = {k} THEN el END)").alias(f"_el{k}")]
         for n in range(1, max_n + 1):  # least() skips NULLs: an absent gram counts 0
-            aggs.append(E(f"sum(CASE WHEN n = {n} THEN least(r.c, coalesce(pc{k}, 0)) END)").alias(f"m{n}_{k}"))
-    per_piece = ex.groupBy(id_col, F.col("r.s").alias("s")).agg(*aggs)
+            aggs.append(E(f"sum(CASE WHEN side = {_SIDE_REF} AND n = {n} THEN least(c, coalesce(pc{k}, 0)) END)")
+                        .alias(f"m{n}_{k}"))
+    sid = F.when(F.col("side") == _SIDE_REF, F.col("idx")).alias("s")
+    per_piece = ex.groupBy(id_col, sid).agg(*aggs)
     scored = per_piece.select(
         id_col, "s", "_np", *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)],
         *[E(f"CASE WHEN s IS NOT NULL THEN " + scorer("rl", f"pl{k}", [f"coalesce(m{n}_{k}, 0)" for n in range(1, max_n + 1)])
