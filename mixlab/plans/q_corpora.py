@@ -101,7 +101,7 @@ ft AS (SELECT * FROM (SELECT f.split, f.question, f.answer, f.context, CAST(x.ci
        WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
 seg AS (SELECT 'seg' || CAST(conv_id AS VARCHAR) AS sid,
                string_agg(regexp_replace(role, '^\\s+|\\s+$', '', 'g') || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '|', '' ORDER BY turn) AS context
-        FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id),
+        FROM conversations GROUP BY conv_id),
 qc AS (SELECT * FROM (
   SELECT {SPLITS_SQL}[['trn', 'tst', 'val'][q.c % 3 + 1]] AS split, q.question, q.answers[1] AS answer, s.context,
          q.sid AS context_id, q.qg AS meta

@@ -88,8 +88,7 @@ def qaconv_raw(t: Tables) -> tuple[DataFrame, DataFrame]:
                     F.filter(F.slice("pieces", 1, 2), lambda x: strip_ws(x) != "").alias("answers"),
                     F.concat(F.lit("q"), F.col("turn").cast("string")).alias("QG"),
                     _pick(["trn", "tst", "val"], F.col("conv_id") % 3).alias("split"))
-    c = t.conversations.filter(F.col("conv_id") % 7 != 0)  # some records point at missing segments
-    seg = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text"))).alias("_d"))
+    seg = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text"))).alias("_d"))
     seg = seg.select(F.concat(F.lit("seg"), F.col("conv_id").cast("string")).alias("article_segment_id"),
                      F.transform("_d", lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"))).alias("seg_dialog"))
     return recs, seg

@@ -168,3 +168,15 @@ def test_sweep_never_mixes_test_and_samples_fever_holdout(spark):
 def test_sort_by_score(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "id long, score double")
     assert [r.id for r in sm.sort_by_score(df).collect()] == [3, 1, 4, 2]
+
+
+def test_qaconv_missing_segment_is_dropped(spark):
+    from mixlab.operators.corpora import qaconv
+
+    recs = spark.createDataFrame(
+        [("s1", "q1", ["a1"], "g", "trn"), ("s2", "q2", ["a2"], "g", "tst"), ("s1", "q3", [], "g", "val")],
+        "article_segment_id string, question string, answers array<string>, QG string, split string")
+    seg = spark.createDataFrame([("s1", [(" A ", " hi "), ("B", "yo")])],
+                                "article_segment_id string, seg_dialog array<struct<speaker:string,text:string>>")
+    rows = qaconv(recs, seg).collect()
+    assert [(r.question, r.context, r.split) for r in rows] == [("q1", "A: hi|B: yo|", "train")]
