@@ -23,6 +23,14 @@ from mixlab.functions.bleu import GRAM_TYPE, MAX_ORDER, bleu_sql, tokens_13a, to
 from mixlab.functions.text import dot_pieces, words
 
 _SIDE_REF, _SIDE_PRED, _SIDE_VMETA, _SIDE_ROWMETA = 0, 1, 2, 3
+def _by_id(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition on ``id`` with an explicit partition count. The input is
+    small in bytes but expands ~20x into grams, so AQE must not coalesce this
+    exchange by its input size (REPARTITION_BY_NUM is left as requested)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, id_col)
+
+
 def _grams_sql(tok: str, max_n: int) -> str:
     size = f"coalesce(size({tok}), 0)"
     return (f"(CASE WHEN {size} > 0 THEN flatten(transform(sequence(1, least({max_n}, {size})), "
@@ -118,7 +126,7 @@ def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "conte
     names = list(variants)
     base = df.select(id_col, F.col(context).alias("_ctx"),
                      *[F.col(variants[n]).cast("string").alias(f"_p{k}") for k, n in enumerate(names)])
-    base = base.repartition(id_col)
+    base = _by_id(base, id_col)
     preds = [F.col(f"_p{k}") for k in range(len(names))]
     r = _score(base, id_col, dot_pieces("_ctx"), preds, tokens_13a, MAX_ORDER, bleu_sql)
     rows = []
@@ -137,7 +145,7 @@ def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "conte
 
 
 def _pair_score(df: DataFrame, ref: str, pred: str, id_col: str, tokenizer, max_n: int, scorer) -> DataFrame:
-    base = df.select(id_col, F.col(ref).alias("_ref"), F.col(pred).alias("_pred")).repartition(id_col)
+    base = _by_id(df.select(id_col, F.col(ref).alias("_ref"), F.col(pred).alias("_pred")), id_col)
     r = _score(base, id_col, F.array(F.col("_ref")), [F.col("_pred")], tokenizer, max_n, scorer)
     null_side = F.col("_el0").isNull()  # NULL prediction
     # the reference text is the single piece: a prediction without words
