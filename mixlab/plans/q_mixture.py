@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from mixlab.operators import mixture as mx
 from mixlab.operators.stats import value_share
 from mixlab.plans.registry import register, rounded

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from mixlab.operators import parse as ps
 from mixlab.plans.registry import register
 from mixlab.plans.sql_parse import cot_fv_stages, cot_stages, fv_stages, qa_stages

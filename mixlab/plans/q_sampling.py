@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from mixlab.functions.keys import dense_id
 from mixlab.operators import sampling as sm
 from mixlab.plans.registry import register

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mixlab.operators import prompts as pr
 from mixlab.operators import sampling as sm
 from mixlab.plans.q_prompts import SLICES_CTE
 from mixlab.plans.registry import register, rounded
