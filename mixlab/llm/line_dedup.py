@@ -124,7 +124,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same class or the one below; the smaller set is listed under its shorter index prefix.
     """
     t = threshold
-    level = F.floor(F.log(F.lit(1 / t), F.col("size").cast("double")) + 1e-9).cast("int")
+    level = F.floor(F.log(1 / t, F.col("size").cast("double")) + 1e-9).cast("int")
     # a set of n words with fewer than t / (1 - t) has no partner but itself and one larger
     sets = classes.select("set_id", "size", "prefix", level.alias("level"))
     posted = sets.select("set_id", "size", "level", F.posexplode("prefix").alias("at", "key"))

@@ -84,9 +84,9 @@ FROM r GROUP BY conv_id
 
 OP8_SQL = f"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM benchmark
 ), dp AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM d),
 bp AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM b),
 bl AS (SELECT item_id, len(w) AS items FROM b),

@@ -24,7 +24,10 @@ from mixlab.llm.common import prepare
 #: Bounds of the training sample: documents, and characters of one of them.
 TRAIN_DOCS = 6_000
 TRAIN_CHARS = 40_000
-BITS = 18
+#: Hashed features; the weights take 4 MB.
+BITS = 20
+#: Documents of the sample that have a feature, for it to be learned.
+MIN_DOCS = 3
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
 
@@ -41,13 +44,21 @@ def sentences(text: str | None) -> list[str]:
     return SENTENCE.findall(text or "")
 
 
+_scorers: dict[bytes, Scorer] = {}
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """The scorer of this worker process for this model."""
+        key = xxhash.xxh3_128_digest(self.weights.tobytes())
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(self)
+        return _scorers[key]
 
 
 class Scorer(dict):
@@ -55,10 +66,11 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.weights, self.bias = model.weights, model.bias
+        self.weights, self.bias = memoryview(model.weights), model.bias
 
     def __missing__(self, word: str) -> float:
-        value = float(sum(self.weights[f] for f in features(word)))
+        weights = self.weights
+        value = sum([weights[f] for f in features(word)])
         if len(self) < CACHED_WORDS:
             self[word] = value
         return value
@@ -72,11 +84,14 @@ class Scorer(dict):
         return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum()))
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 1e-5) -> Model:
-    """Gradient descent (Adam) on the noisy-or likelihood. Without both classes the score is the constant rate."""
+def fit(texts: list[str | None], toxic: list[int], rounds: int = 120, rate: float = 5.0, decay: float = 1e-4, min_docs: int = MIN_DOCS) -> Model:
+    """Gradient descent with momentum on the noisy-or likelihood, over features of ``min_docs`` documents or more.
+
+    Without both classes every text scores the constant of the one class.
+    """
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), -30.0 if not len(y) or y.max() == 0 else 30.0)
+        return Model(np.zeros(1 << BITS, np.float32), 30.0 if len(y) and y.min() else -30.0)
     vocabulary: dict[str, int] = {}
     words, sentence_of, doc_of = [], [], []
     for d, text in enumerate(texts):
@@ -86,26 +101,38 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 80, rate: float
             sentence_of += [len(doc_of)] * len(own)
             doc_of.append(d)
     words, sentence_of, doc_of = (np.array(x, dtype=np.int64) for x in (words, sentence_of, doc_of))
-    pairs = [(k, f) for w, k in vocabulary.items() for f in features(w)]
-    of_word, feature = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    w, b = np.zeros(1 << BITS), -6.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):
+    of_word, feature = _common_features(vocabulary, words, doc_of[sentence_of], len(y), min_docs)
+    w, b, step, step_b = np.zeros(1 << BITS), -6.0, np.zeros(1 << BITS), 0.0
+    for _ in range(rounds):
         of_words = np.bincount(of_word, w[feature], len(vocabulary))
         z = np.bincount(sentence_of, of_words[words], len(doc_of)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))  # chance that no sentence offends
         share = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # of the gradient, per document
         g = share[doc_of] * p / len(y)
-        gw = np.bincount(feature, np.bincount(words, g[sentence_of], len(vocabulary))[of_word], 1 << BITS) + decay * w
-        gb = g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+        gradient = np.bincount(feature, np.bincount(words, g[sentence_of], len(vocabulary))[of_word], 1 << BITS) + decay * w
+        step, step_b = 0.9 * step + gradient, 0.9 * step_b + g.sum()
+        w -= rate * step
+        b -= rate * step_b
     return Model(w.astype(np.float32), float(b))
 
 
+def _common_features(vocabulary: dict[str, int], words: np.ndarray, docs: np.ndarray, n_docs: int, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of the features that ``min_docs`` documents or more have."""
+    lists = [features(w) for w in vocabulary]
+    count = np.array([len(x) for x in lists], dtype=np.int64)
+    feature = np.array([f for x in lists for f in x], dtype=np.int64)
+    first = np.cumsum(count) - count
+    seen = np.unique(words * n_docs + docs)
+    word, doc = seen // n_docs, seen % n_docs
+    spread = np.repeat(np.arange(len(word)), count[word])
+    place = first[word[spread]] + np.arange(len(spread)) - np.repeat(np.cumsum(count[word]) - count[word], count[word])
+    held = np.bincount(np.unique(feature[place] * n_docs + doc[spread]) // n_docs, minlength=1 << BITS)
+    of_word = np.repeat(np.arange(len(lists)), count)
+    common = held[feature] >= min_docs
+    return of_word[common], feature[common]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
