@@ -2,8 +2,8 @@
 
 The paths of a host form a tree of segments. Segments that look variable (numbers, hexadecimal ids, very long
 ones) become wildcards first; then, level by level, the branches below a node whose labelled shares of bad pages
-do not differ from that of their siblings are merged into one wildcard branch, and a branch that does differ stays
-literal. A template is rejected if its smoothed share of bad pages passes one half. Everything runs on
+do not differ from that of their siblings are merged into one wildcard branch (``*``); of those that do differ, the ones
+above (``*+``) or below (``*-``) the mean that agree with each other are merged, and the others stay literal. A template is rejected if its smoothed share of bad pages passes one half. Everything runs on
 counts per distinct path, so a host with a third of all pages is summed before it is shuffled.
 """
 
@@ -63,6 +63,14 @@ def _smoothed(bad: Column, n: Column) -> Column:
     return (bad + F.lit(PRIOR_BAD)) / (n + F.lit(PRIOR_ALL))
 
 
+def _differs(bad: Column, n: Column, all_bad: Column, all_n: Column, z_limit: float) -> Column:
+    """Whether a branch's smoothed share is more than ``z_limit`` standard errors from that of its siblings."""
+    rest_bad, rest = all_bad - bad, all_n - n
+    pooled = (all_bad + 2 * PRIOR_BAD) / (all_n + 2 * PRIOR_ALL)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / (n + PRIOR_ALL) + 1 / (rest + PRIOR_ALL)))
+    return F.abs(_smoothed(bad, n) - _smoothed(rest_bad, rest)) > z_limit * error
+
+
 def templates(pages: DataFrame, levels: int = LEVELS, z_limit: float = Z_LIMIT) -> DataFrame:
     """(host, segments) -> template, share, verdict, from pages (host, segments, bad); bad is 1, 0 or null (unlabelled)."""
     leaves = pages.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
@@ -73,12 +81,16 @@ def templates(pages: DataFrame, levels: int = LEVELS, z_limit: float = Z_LIMIT)
         nodes = nodes.where("child is not null")
         parents = nodes.groupBy("host", "done").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"), F.count("*").alias("children"))
         both = nodes.join(parents, ["host", "done"])
-        rest_known, rest_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
-        p, q = _smoothed(F.col("bad"), F.col("known")), _smoothed(rest_bad, rest_known)
-        pooled = (F.col("all_bad") + 2 * PRIOR_BAD) / (F.col("all_known") + 2 * PRIOR_ALL)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("known") + PRIOR_ALL) + 1 / (rest_known + PRIOR_ALL)))
-        alone = (F.col("children") == 1) | (F.abs(p - q) > z_limit * error)
-        named = both.select("host", "done", "child", F.when(alone, F.col("child")).otherwise(F.lit("*")).alias("name"))
+        apart = _differs(F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known"), z_limit)
+        both = both.withColumn("side", F.when(_smoothed(F.col("bad"), F.col("known")) > _smoothed(F.col("all_bad"), F.col("all_known")), 1).otherwise(0))
+        both = both.withColumn("apart", apart)
+        # among the branches that differ, those on one side of the mean are compared once more with each other
+        sides = both.where("apart").groupBy("host", "done", "side").agg(F.sum("known").alias("side_known"), F.sum("bad").alias("side_bad"), F.count("*").alias("like"))
+        both = both.join(sides, ["host", "done", "side"], "left")
+        again = _differs(F.col("bad"), F.col("known"), F.col("side_bad"), F.col("side_known"), z_limit)
+        merged = F.when(F.col("side") == 1, "*+").otherwise("*-")
+        name = F.when(F.col("children") == 1, F.col("child")).when(~F.col("apart"), "*").when((F.col("like") == 1) | again, F.col("child")).otherwise(merged)
+        named = both.select("host", "done", "child", name.alias("name"))
         joined = tree.withColumn("child", child).join(named, ["host", "done", "child"], "left")
         tree = joined.withColumn("done", F.when(F.col("name").isNull(), F.col("done")).otherwise(F.concat("done", F.array("name"))))
         tree = saved(tree.select("host", "segments", "n", "known", "bad", "done"), "tree")
