@@ -49,13 +49,15 @@ def exact_rank(
     """Add a dense 1-based ``name`` column ordered by (key, *tiebreak) within
     ``partition_by``; optionally ``size_name`` = rows in the group.
 
+    NULL groups are groups of their own; rows with a NULL key rank last.
+
     ``key`` must be a lowercase hex string (md5) so that its prefix is an
     order-preserving, uniformly filled bucket.
     """
     pb = list(partition_by)
     keyed = df.withColumn("_k", _col(key)).withColumn(
-        "_b", F.conv(F.substring("_k", 1, hex_digits), 16, 10).cast("int")
-    )
+        "_b", F.coalesce(F.conv(F.substring("_k", 1, hex_digits), 16, 10).cast("int"), F.lit(16**hex_digits))
+    )  # rows without a key (NULL id) come last, in a bucket of their own
     counts = keyed.groupBy(*pb, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wcum = Window.partitionBy(*pb).orderBy("_b")
     offsets = counts.withColumn(
@@ -66,14 +68,17 @@ def exact_rank(
     if size_name:
         offsets = offsets.withColumn(size_name, F.sum("_n").over(Window.partitionBy(*pb)))
         cols.append(size_name)
-    offsets = offsets.select(*cols)
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") if c in (*pb, "_b") else F.col(c) for c in cols])
     if not pb:
         # at most 16**hex_digits rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
     # with group keys the offsets table grows with the number of groups; leave
     # the strategy to AQE, which broadcasts it at runtime only if it is small.
-    joined = keyed.join(offsets, on=[*pb, "_b"], how="inner")
-    w = Window.partitionBy(*pb, "_b").orderBy("_k", *tiebreak)
+    same = F.col("_b") == F.col("_o__b")
+    for c in pb:  # a NULL group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = keyed.join(offsets, same, "inner").drop(*[f"_o_{c}" for c in (*pb, "_b")])
+    w = Window.partitionBy(*pb, "_b").orderBy(F.col("_k").asc_nulls_last(), *tiebreak)
     ranked = joined.withColumn(name, (F.col("_off") + F.row_number().over(w)).cast("long"))
     return ranked.drop("_k", "_b", "_off")
 

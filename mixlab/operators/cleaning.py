@@ -91,7 +91,7 @@ def unpack_qa(text: str, inp: str) -> tuple[Column, Column, Column]:
     ip = F.split(F.col(inp), r"[|]")
     context = F.array_join(F.slice(ip, 1, F.size(ip) - 1), "|")
     question = F.element_at(F.split(F.element_at(ip, -1), "ANSWER:"), 1)
-    stripped = F.regexp_replace(F.col(text), r"^[|]+|[|]+$", "")
+    stripped = F.regexp_replace(F.col(text), r"^[|]+|[|]+\z", "")
     answer = F.element_at(F.split(F.element_at(F.split(stripped, r"[|]"), -1), "ANSWER:"), -1)
     return context, question, answer
 

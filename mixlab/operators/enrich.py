@@ -7,18 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlab.functions.text import normalize, normalize_prediction, question_word, word_count
+from mixlab.operators.cleaning import unpack_fv, unpack_qa
+from mixlab.operators.sampling import sort_by_score
 from mixlab.operators.score import best_sentence, bleu_pairs
 from mixlab.operators.stats import describe
 
 
 def infer_task(df: DataFrame) -> str:
-    """Task from the schema: 'task' column value is not read (that would
-    be an action); answer -> qa, claim -> fv, numeric label -> fv, else qa."""
+    """The value of the ``task`` column if there is one (the first row that has it is
+    read), else from the schema: answer -> qa, claim -> fv, numeric label -> fv, else qa."""
     cols = set(df.columns)
+    if "task" in cols:
+        row = df.select("task").filter(F.col("task").isNotNull()).first()
+        if row is not None:
+            return row["task"]
     if "answer" in cols:
         return "qa"
     if "claim" in cols:
@@ -30,20 +36,26 @@ def infer_task(df: DataFrame) -> str:
     raise ValueError(f"no label column and no claim or answer column in {sorted(cols)}")
 
 
-def _wide(long: DataFrame, names: Sequence[str], id_col: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+def _wide(long: DataFrame, names: Sequence[str], keys: Sequence[str], fields: Sequence[tuple[str, str]]) -> DataFrame:
     aggs = []
     for n in names:
         for f, suffix in fields:
             aggs.append(F.max(F.when(F.col("variant") == n, F.col(f))).alias(f"{n}{suffix}"))
-    return long.groupBy(id_col).agg(*aggs)
+    return long.groupBy(*keys).agg(*aggs)
 
 
 def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFrame:
     """Normalised texts, best-evidence features for every text variant,
     question words (qa), and the per-row score when predictions exist."""
     task = task or infer_task(df)
-    cols = set(df.columns)
     text = "question" if task == "qa" else "claim"
+    if text not in df.columns and "text" in df.columns:  # a prediction file: P12 first
+        if task == "qa":
+            parts = dict(zip(("context", "question", "answer"), unpack_qa("text", "input")))
+        else:
+            parts = dict(zip(("context", "claim"), unpack_fv("text")))
+        df = df.withColumns(parts)
+    cols = set(df.columns)
     d = df.withColumn("context", normalize("context"))
     lowered = [text] + ([f"syn_{text}"] if f"syn_{text}" in cols else [])
     if task == "qa":
@@ -55,10 +67,13 @@ def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFr
     variants = {c: c for c in lowered}
     if task == "qa" and has_pred:
         variants["prediction"] = "prediction"
-    long = best_sentence(d, variants, "context", id_col)
+    # rows that share an id are told apart by their texts, so that joins stay one to one
+    d = d.withColumn("_rk", F.row_number().over(Window.partitionBy(id_col).orderBy("context", *variants)))
+    keys = [id_col, "_rk"]
+    long = best_sentence(d, variants, "context", keys)
     fields = [("bleu", "_best_bleu"), ("location", "_location"), ("location_ratio", "_location_ratio")]
-    wide = _wide(long, list(variants), id_col, fields)
-    out = d.join(wide, id_col)
+    wide = _wide(long, list(variants), keys, fields)
+    out = d.join(wide, keys)
     ren = {}
     if task == "qa":
         for v in [text] + ([f"syn_{text}"] if f"syn_{text}" in cols else []):
@@ -80,12 +95,17 @@ def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFr
     out = out.withColumn("task", F.lit(task))
     if has_pred:
         if task == "qa":
-            s = bleu_pairs(d.select(F.col(id_col).alias("pair_id"), F.col("answer").alias("ref"),
-                                    F.col("prediction").alias("pred")))
-            out = out.join(s.withColumnRenamed("pair_id", id_col).withColumnRenamed("bleu", "score"), id_col)
+            s = bleu_pairs(d, "answer", "prediction", keys).withColumnRenamed("bleu", "score")
+            out = out.join(s, keys)
         else:
             out = out.withColumn("score", 1 - F.abs(F.col("label") - F.col("prediction")))
-    return out
+    return out.drop("_rk")
+
+
+def enrich_predictions(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFrame:
+    """E3 on a prediction file (id, text, label, input, prediction): task (P11), unpacked texts (P12),
+    features, and the rows in order of falling score (W1)."""
+    return sort_by_score(enrich(df, task, id_col), "score", id_col)
 
 
 def corpus_profile(df: DataFrame, by: str = "dataset_name") -> DataFrame:

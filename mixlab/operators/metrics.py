@@ -43,23 +43,30 @@ def qa_metrics(df: DataFrame, target: str = "answer", output: str = "prediction"
     """One row -- rows dropped for NULLs, exact match, inclusion, reverse
     inclusion, BLEU and ROUGE-1 means over normalised (target, output) pairs."""
     kept = df.filter(F.col(target).isNotNull() & F.col(output).isNotNull())
-    pairs = kept.select(F.col(id_col).alias("pair_id"), normalize(target).alias("ref"),
-                        normalize_prediction(output).alias("pred"))
+    # BLEU and ROUGE-1 depend on the texts alone: equal pairs are scored once and weighted
+    pairs = kept.groupBy(normalize(target).alias("ref"), normalize_prediction(output).alias("pred")).agg(
+        F.count(F.lit(1)).alias("_w"))
+    pairs = pairs.withColumn("pair_id", F.md5(F.concat_ws("\x01", F.col("ref"), F.lit(""), F.col("pred"))))
     b = bleu_pairs(pairs)
     r = rouge1_pairs(pairs)
     j = pairs.join(b, "pair_id").join(r, "pair_id")
+
+    def mean(c):
+        return F.sum(c * F.col("_w")) / F.sum("_w")
+
     n_all = df.select(F.count(F.lit(1))).scalar()
     return j.agg(
-        (n_all - F.count(F.lit(1))).alias("dropped"),
-        F.avg((F.col("ref") == F.col("pred")).cast("double")).alias("exact_match"),
-        F.avg(contains_text("pred", "ref").cast("double")).alias("inclusion"),
-        F.avg(contains_text("ref", "pred").cast("double")).alias("reverse_inclusion"),
-        F.avg("bleu").alias("bleu"), F.avg("rouge1").alias("rouge1"))
+        (n_all - F.coalesce(F.sum("_w"), F.lit(0))).alias("dropped"),
+        mean((F.col("ref") == F.col("pred")).cast("double")).alias("exact_match"),
+        mean(contains_text("pred", "ref").cast("double")).alias("inclusion"),
+        mean(contains_text("ref", "pred").cast("double")).alias("reverse_inclusion"),
+        mean(F.col("bleu")).alias("bleu"), mean(F.col("rouge1")).alias("rouge1"))
 
 
 def clf_metrics(df: DataFrame, label: str, prob: str, threshold: float = 0.5) -> DataFrame:
     """A18 (binary): accuracy, precision, recall, F1 of prob > threshold, MSE
-    of the probability, and combined_score = mean of those five."""
+    of the probability (lower is better, so not part of it), and
+    combined_score = mean of the other four."""
     pred = (F.col(prob) > threshold).cast("int")
     y = F.col(label).cast("int")
     c = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(pred == y).alias("correct"),
@@ -72,7 +79,7 @@ def clf_metrics(df: DataFrame, label: str, prob: str, threshold: float = 0.5) ->
     out = c.select((F.col("correct") / F.col("n")).alias("accuracy"), prec.alias("precision"),
                    rec.alias("recall"), _binary_f1(tp, fp, fn).alias("f1"), F.col("mse"))
     return out.withColumn("combined_score", (F.col("accuracy") + F.col("precision") + F.col("recall")
-                                              + F.col("f1") + F.col("mse")) / 5)
+                                              + F.col("f1")) / 4)
 
 
 def multilabel_micro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -111,7 +118,8 @@ def perplexity(df: DataFrame, loss: str, gen_tokens: str | None = None, pad: int
 
 def label_vocab(df: DataFrame, label: str, split: str = "split", train: str = "train") -> DataFrame:
     """Labels of all splits (list labels exploded), sorted as strings,
-    dense 0-based ids, and whether each label occurs in the training split.
+    dense 0-based ids, and whether each label occurs in the training split. The
+    marker -1 ("no label") is not a label; see ``check_vocab`` for the one-label error.
     The vocabulary is a distinct aggregate -- tiny by nature -- ranked with a
     window over that small table only."""
     from pyspark.sql import Window
@@ -120,7 +128,19 @@ def label_vocab(df: DataFrame, label: str, split: str = "split", train: str = "t
     exploded = df.select(F.col(split), F.explode(lab).alias("_l")) if isinstance(
         df.schema[label].dataType, __import__("pyspark.sql.types", fromlist=["ArrayType"]).ArrayType
     ) else df.select(F.col(split), lab.alias("_l"))
-    v = exploded.filter(F.col("_l").isNotNull()).select(F.col("_l").cast("string").alias("label"), split)
+    v = exploded.filter(F.col("_l").isNotNull() & (F.col("_l").cast("string") != "-1")).select(F.col("_l").cast("string").alias("label"), split)
     agg = v.groupBy("label").agg(F.max((F.col(split) == train).cast("int")).alias("_t"))
     return agg.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("label_id"),
                       (F.col("_t") == 1).alias("in_train"))
+
+
+def check_vocab(vocab: DataFrame) -> DataFrame:
+    """A classifier needs two labels at least; raises otherwise (reads two rows)."""
+    if len(vocab.limit(2).collect()) < 2:
+        raise ValueError("at least two distinct labels are needed")
+    return vocab
+
+
+def unseen_labels(vocab: DataFrame) -> DataFrame:
+    """Labels of the other splits that the training split lacks."""
+    return vocab.filter(~F.col("in_train")).select("label")

@@ -23,6 +23,17 @@ from mixlab.functions.bleu import GRAM_TYPE, MAX_ORDER, bleu_sql, tokens_13a, to
 from mixlab.functions.text import dot_pieces, words
 
 _SIDE_REF, _SIDE_PRED, _SIDE_VMETA, _SIDE_ROWMETA = 0, 1, 2, 3
+def _keys(id_col: str | Sequence[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def _one_per_row(base: DataFrame, ids: list[str], texts: list[str]) -> DataFrame:
+    """Add ``_row``: rows that share an id are told apart by their texts, then by count.
+    The window is keyed like the partitioning, so it adds no exchange."""
+    w = Window.partitionBy(*ids).orderBy(*texts)
+    return base.withColumn("_row", F.row_number().over(w))
+
+
 def _by_id(df: DataFrame, id_col: str, partitions: int | None = None) -> DataFrame:
     """Hash-partition on ``id`` with an explicit partition count. The input is
     small in bytes but expands ~20x into grams, so AQE must not coalesce this
@@ -59,30 +70,30 @@ def _stream_sql(pieces: str, piece_toks: str, preds: list[str], pred_toks: list[
     return "concat(" + ", ".join(parts) + ")"
 
 
-def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column], tokenizer, max_n: int,
+def _score(base: DataFrame, ids: list[str], pieces: Column, preds: Sequence[Column], tokenizer, max_n: int,
            scorer) -> DataFrame:
     """Per id: ``_np`` (pieces, NULL for a NULL context), and per variant k
     ``_pw{k}`` (words, -1 for NULL), ``_el{k}`` (first equal piece or -1) and
     ``b{k}`` = struct(s, score) of the best positive piece (first wins ties).
 
-    ``base`` must already be hash-partitioned on ``id_col``; every aggregate
-    below is keyed by ``id_col`` first and adds no exchange.
+    ``base`` must already be hash-partitioned on the first of ``ids``; every aggregate
+    below is keyed by ``ids`` first and adds no exchange.
     """
     K = len(preds)
-    tok = base.select(id_col, pieces.alias("_pieces"), F.transform(pieces, tokenizer).alias("_ptoks"),
+    tok = base.select(*ids, pieces.alias("_pieces"), F.transform(pieces, tokenizer).alias("_ptoks"),
                       *[p.alias(f"_q{k}") for k, p in enumerate(preds)],
                       *[tokenizer(p).alias(f"_qt{k}") for k, p in enumerate(preds)],
                       *[words(p).alias(f"_qw{k}") for k, p in enumerate(preds)])
-    g = tok.select(id_col, F.inline(F.expr(_stream_sql(
+    g = tok.select(*ids, F.inline(F.expr(_stream_sql(
         "_pieces", "_ptoks", [f"_q{k}" for k in range(K)], [f"_qt{k}" for k in range(K)],
         [f"_qw{k}" for k in range(K)], max_n))))
     # 1) occurrences per (id, n, gram, side, idx); meta elements pass through
-    occ = g.groupBy(id_col, "n", "g", "side", "idx").agg(
+    occ = g.groupBy(*ids, "n", "g", "side", "idx").agg(
         F.count(F.lit(1)).alias("c"), F.max("len").alias("len"), F.max("el").alias("el"))
     E = F.expr
     # 2) every occurrence row learns the gram's count in each variant (a window
     #    on (id, n, gram): same partitioning, no collect, no explode)
-    w = Window.partitionBy(id_col, "n", "g")
+    w = Window.partitionBy(*ids, "n", "g")
     ann = occ.withColumns({
         **{f"pc{k}": E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN c END)").over(w) for k in range(K)},
         **{f"pl{k}": E(f"max(CASE WHEN side = {_SIDE_PRED} AND idx = {k} THEN len END)").over(w) for k in range(K)}})
@@ -99,13 +110,13 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
             aggs.append(E(f"sum(CASE WHEN side = {_SIDE_REF} AND n = {n} THEN least(c, coalesce(pc{k}, 0)) END)")
                         .alias(f"m{n}_{k}"))
     sid = F.when(F.col("side") == _SIDE_REF, F.col("idx")).alias("s")
-    per_piece = ex.groupBy(id_col, sid).agg(*aggs)
+    per_piece = ex.groupBy(*ids, sid).agg(*aggs)
     scored = per_piece.select(
-        id_col, "s", "_np", *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)],
+        *ids, "s", "_np", *[f"_pw{k}" for k in range(K)], *[f"_el{k}" for k in range(K)],
         *[E(f"CASE WHEN s IS NOT NULL THEN " + scorer("rl", f"pl{k}", [f"coalesce(m{n}_{k}, 0)" for n in range(1, max_n + 1)])
             + " END").alias(f"sc{k}") for k in range(K)])
     # 4) best piece per id and variant
-    return scored.groupBy(id_col).agg(
+    return scored.groupBy(*ids).agg(
         F.max("_np").alias("_np"),
         *[F.max(f"_pw{k}").alias(f"_pw{k}") for k in range(K)],
         *[F.max(f"_el{k}").alias(f"_el{k}") for k in range(K)],
@@ -115,20 +126,22 @@ def _score(base: DataFrame, id_col: str, pieces: Column, preds: Sequence[Column]
     )
 
 
-def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "context", id_col: str = "id") -> DataFrame:
+def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "context",
+                  id_col: str | Sequence[str] = "id") -> DataFrame:
     """For each text variant, the dot piece of ``context`` it matches best.
 
     Output (id, variant, location, location_ratio, bleu). Each piece is the
     BLEU *reference* and the text the *prediction*; the first piece wins
     ties; with no piece above 0 the answer is (0, 0.0, 0.0); a text without
-    words scores 1 only on a piece equal to it; NULL context -> NULL.
+    words scores 1 only on a piece equal to it; NULL context -> NULL. Rows that
+    share an id are scored apart, one answer per row and variant.
     """
-    names = list(variants)
-    base = df.select(id_col, F.col(context).alias("_ctx"),
+    names, ids = list(variants), _keys(id_col)
+    base = df.select(*ids, F.col(context).alias("_ctx"),
                      *[F.col(variants[n]).cast("string").alias(f"_p{k}") for k, n in enumerate(names)])
-    base = _by_id(base, id_col)
+    base = _one_per_row(_by_id(base, ids[0]), ids, ["_ctx", *[f"_p{k}" for k in range(len(names))]])
     preds = [F.col(f"_p{k}") for k in range(len(names))]
-    r = _score(base, id_col, dot_pieces("_ctx"), preds, tokens_13a, MAX_ORDER, bleu_sql)
+    r = _score(base, [*ids, "_row"], dot_pieces("_ctx"), preds, tokens_13a, MAX_ORDER, bleu_sql)
     rows = []
     for k, n in enumerate(names):
         nullctx = F.col("_np").isNull()
@@ -141,22 +154,24 @@ def best_sentence(df: DataFrame, variants: dict[str, str], context: str = "conte
         rows.append(F.struct(F.lit(n).alias("variant"), loc.cast("long").alias("location"),
                              (loc.cast("double") / F.col("_np")).alias("location_ratio"),
                              bleu.cast("double").alias("bleu")))
-    return r.select(id_col, F.inline(F.array(*rows)))
+    return r.select(*ids, F.inline(F.array(*rows)))
 
 
 def _pair_score(df: DataFrame, ref: str, pred: str, id_col: str, tokenizer, max_n: int, scorer) -> DataFrame:
-    base = _by_id(df.select(id_col, F.col(ref).alias("_ref"), F.col(pred).alias("_pred")), id_col)
-    r = _score(base, id_col, F.array(F.col("_ref")), [F.col("_pred")], tokenizer, max_n, scorer)
+    ids = _keys(id_col)
+    base = _by_id(df.select(*ids, F.col(ref).alias("_ref"), F.col(pred).alias("_pred")), ids[0])
+    base = _one_per_row(base, ids, ["_ref", "_pred"])
+    r = _score(base, [*ids, "_row"], F.array(F.col("_ref")), [F.col("_pred")], tokenizer, max_n, scorer)
     null_side = F.col("_el0").isNull()  # NULL prediction
     # the reference text is the single piece: a prediction without words
     # scores 1 only when equal to it; a NULL reference never matches
     out = (F.when(null_side, F.lit(0.0))
            .when(F.col("_pw0") == 0, F.when(F.col("_el0") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
            .otherwise(F.coalesce(F.col("b0.score"), F.lit(0.0))))
-    return r.select(id_col, out.alias("score"))
+    return r.select(*ids, out.alias("score"))
 
 
-def bleu_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str = "pair_id") -> DataFrame:
+def bleu_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str | Sequence[str] = "pair_id") -> DataFrame:
     """(id, ref, pred) -> (id, bleu).
 
     NULL side -> 0; a side without words -> 1 if the strings are equal else 0;
@@ -173,7 +188,7 @@ def _rouge_f(rl: str, pl: str, m: list[str]) -> str:
     return f"(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0D END)"
 
 
-def rouge1_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str = "pair_id") -> DataFrame:
+def rouge1_pairs(df: DataFrame, ref: str = "ref", pred: str = "pred", id_col: str | Sequence[str] = "pair_id") -> DataFrame:
     """ROUGE-1 F-measure per pair (clipped unigram overlap on the default
     ROUGE tokens). A prediction without words scores 1 if equal else 0."""
     return _pair_score(df, ref, pred, id_col, tokens_rouge, 1, _rouge_f).withColumnRenamed("score", "rouge1")
@@ -203,9 +218,9 @@ def vector_match_f1(vecs: DataFrame, pair: str = "pair_id", side: str = "side",
     def mean(arr):
         return F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.size(arr)
 
-    g = g.filter((F.size("_c") > 0) & (F.size("_r") > 0))
-    g = g.select(pair, mean(best(F.col("_c"), F.col("_r"))).alias("precision"),
-                 mean(best(F.col("_r"), F.col("_c"))).alias("recall"))
+    both = (F.size("_c") > 0) & (F.size("_r") > 0)  # a pair with an empty side scores 0
+    g = g.select(pair, F.when(both, mean(best(F.col("_c"), F.col("_r")))).otherwise(0.0).alias("precision"),
+                 F.when(both, mean(best(F.col("_r"), F.col("_c")))).otherwise(0.0).alias("recall"))
     return g.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                         .otherwise(F.lit(0.0)))

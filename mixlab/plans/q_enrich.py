@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mixlab.operators import enrich as en
+from mixlab.operators.mixture import mixture
 from mixlab.plans.oracle_fixtures import words_sql
 from mixlab.plans.q_clean import _qw_sql
 from mixlab.plans.registry import register, rounded
@@ -88,6 +89,38 @@ def q_enrich_qa(spark, sf):
     return rounded(_enrich_qa(spark, sf).select("id", "task", *QA_OUT, "question_word", "syn_question_word", "score"))
 
 
+def _predictions(df, task, predictions):
+    """A prediction file as the model runner writes it: packed texts and a prediction, no separate columns."""
+    packed = mixture(df.withColumn("dataset_name", F.lit("all")), task, 0.0).drop("dataset_name")
+    return packed.join(predictions, "id").withColumn("task", F.lit(task))
+
+
+PRED_QA_OUT = [c for c in QA_OUT if not c.startswith("syn_")]
+
+
+@register("enrich_predfile_qa", sql=f"""WITH {ENRICH_QA_CTE}
+SELECT id, task, {", ".join(c if c.endswith('location') else _r(c) for c in PRED_QA_OUT)}, question_word, round(score, 6) AS score FROM eqa""",
+          fx=["fx_qa"])
+def q_enrich_predfile_qa(spark, sf):
+    """E3 from text, input, label and prediction alone."""
+    qa = fx.fx_qa(Tables(spark, sf))
+    out = en.enrich_predictions(_predictions(qa, "qa", qa.select("id", "prediction")))
+    return rounded(out.select("id", "task", *PRED_QA_OUT, "question_word", "score"))
+
+
+PRED_FV_OUT = [c for c in FV_OUT if not c.startswith("syn_")]
+
+
+@register("enrich_predfile_fv", sql=f"""WITH {ENRICH_FV_CTE}
+SELECT id, task, {", ".join(_r(c) if not c.endswith('_location') else c for c in PRED_FV_OUT)}, round(score, 6) AS score FROM efv""",
+          fx=["fx_fv", "fx_scores"])
+def q_enrich_predfile_fv(spark, sf):
+    t = Tables(spark, sf)
+    pred = fx.fx_scores(t).select("id", F.col("output").alias("prediction"))
+    out = en.enrich_predictions(_predictions(fx.fx_fv(t), "fv", pred))
+    return rounded(out.select("id", "task", *PRED_FV_OUT, "score"))
+
+
 PROFILE_COLS = ["context_words", "claim_words", "syn_claim_words", "label", "syn_label"]
 
 

@@ -155,7 +155,7 @@ m AS (SELECT CAST(correct AS DOUBLE) / n AS accuracy,
              CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
              {f1_sql('tp', 'fp', 'fn')} AS f1, mse FROM c)
 SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       round(mse, 6) AS mse, round((accuracy + precision + recall + f1 + mse) / 5, 6) AS combined_score FROM m""",
+       round(mse, 6) AS mse, round((accuracy + precision + recall + f1) / 4, 6) AS combined_score FROM m""",
           fx=["fx_scores"])
 def q_clf_metrics(spark, sf):
     return rounded(mt.clf_metrics(fx.fx_scores(Tables(spark, sf)), "label", "output"))

@@ -35,13 +35,23 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(f"{run}/out/parsed").select("dataset_name", "batch", "custom_id", "claim", "label")
 
 
-@register("stream_dedup")
+@register("stream_dedup", sql=f"""
+WITH {SLICES_CTE} SELECT f.dataset_name, s.batch, s.custom_id, c.completion FROM sl2 s JOIN fx_completions c USING (id) JOIN fx_fv f USING (id)""",
+          fx=["fx_completions"])
 def q_stream_dedup(spark, sf):
-    """T2 (rows-only): events deduplicated on (user_id, event_type) within an hour."""
+    """Results delivered twice, deduplicated on (dataset, batch, custom id) within the watermark."""
+    t = Tables(spark, sf)
+    f = fx.fx_fv(t)
+    sl = sm.slices(f.select("id", "dataset_name"), by=["dataset_name"])
+    sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 1800)
+    lines = sl.join(fx.fx_completions(t).select("id", "completion"), "id").select(
+        "dataset_name", "batch", "custom_id", "completion", sent.alias("ts"))
     run = st.new_run_dir(spark, "stream-dedup")
-    q = st.dedup_stream(spark, sf, f"{run}/out", ["user_id", "event_type"])
+    for delivery in ("first", "again"):
+        lines.write.parquet(f"{run}/incoming/{delivery}")
+    q = st.dedup_stream(spark, f"{run}/incoming", f"{run}/out", ["dataset_name", "batch", "custom_id"])
     q.awaitTermination()
-    return spark.read.parquet(f"{run}/out").drop("micro_batch")
+    return spark.read.parquet(f"{run}/out").select("dataset_name", "batch", "custom_id", "completion")
 
 
 @register("stream_cost", sql="""
@@ -60,6 +70,6 @@ def q_stream_cost(spark, sf):
     run = st.new_run_dir(spark, "stream-cost")
     q = st.cost_stream(spark, usage, f"{run}/out")
     q.awaitTermination()
-    out = spark.read.parquet(f"{run}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = st.cost_table(spark, f"{run}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     return rounded(out.select("window_start", "model", "requests", "prompt_tokens",
                                                            "completion_tokens", "prompt_cost", "completion_cost"), 9)

@@ -88,8 +88,8 @@ def guard_new_column(df: DataFrame, column: str, overwrite: bool = False) -> Non
 
 
 # Candidate input / output column names, in order of preference.
-INPUT_CANDIDATES = ["text", "input", "sentence", "question", "claim", "context"]
-OUTPUT_CANDIDATES = ["label", "output", "answer", "target"]
+INPUT_CANDIDATES = ["text", "sentence", "input"]
+OUTPUT_CANDIDATES = ["label", "target", "output"]
 
 
 def infer_io_columns(df: DataFrame, strict: bool = True) -> tuple[str, str | None]:

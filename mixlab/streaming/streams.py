@@ -60,11 +60,14 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, task: str
     return w.start()
 
 
-def dedup_stream(spark: SparkSession, events_dir: str, out_dir: str, keys: list[str], ts: str = "ts",
-                 delay: str = "1 hour", glob: str = "events.parquet"):
-    """Drop rows repeating ``keys`` within ``delay`` of event time."""
-    schema = spark.read.parquet(f"{events_dir}/{glob}").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(events_dir)
+def dedup_stream(spark: SparkSession, source_dir: str, out_dir: str, keys: list[str], ts: str = "ts",
+                 delay: str = "1 hour", glob: str = "*.parquet"):
+    """Drop redelivered rows. ``keys`` identify a row for good (a result's batch and custom id): whichever
+    copy comes first stays, so the result does not depend on the files' order as long as
+    copies arrive within ``delay`` of event time."""
+    schema = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).parquet(source_dir).schema
+    s = (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+         .parquet(source_dir))
     s = s.withColumn("_event_time", F.col(ts).cast("timestamp"))  # watermarks need TIMESTAMP (not NTZ)
     d = s.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(keys).drop("_event_time")
     return (d.writeStream.foreachBatch(_upsert_batch(out_dir)).option("checkpointLocation", f"{out_dir}_checkpoint")
@@ -83,9 +86,15 @@ def cost_stream(spark: SparkSession, usage: DataFrame, out_dir: str, window: str
     out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "model", "requests", "prompt_tokens",
                      "completion_tokens", "prompt_cost", "completion_cost")
 
-    def write(bdf: DataFrame, batch_id: int) -> None:
-        # update mode: merge this batch's windows into the table (rewrite per window partition)
-        bdf.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(out_dir)
-
-    return (out.writeStream.outputMode("update").foreachBatch(write)
+    # update mode emits only the (window, model) rows that changed: each batch keeps a partition of its
+    # own, rewritten whole on replay, and ``cost_table`` reads the newest row of each pair
+    return (out.writeStream.outputMode("update").foreachBatch(_upsert_batch(out_dir))
             .option("checkpointLocation", f"{out_dir}_checkpoint").trigger(availableNow=True).start())
+
+
+def cost_table(spark: SparkSession, out_dir: str) -> DataFrame:
+    """T3 as of now: per window and model the row of the last batch that changed it."""
+    rows = spark.read.parquet(out_dir)
+    last = [c for c in rows.columns if c not in ("window_start", "model", "micro_batch")]
+    newest = rows.groupBy("window_start", "model").agg(F.max_by(F.struct(*last), "micro_batch").alias("r"))
+    return newest.select("window_start", "model", "r.*")

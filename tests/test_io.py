@@ -47,9 +47,11 @@ def test_guards(spark):
 
 
 def test_column_inference(spark):
-    df = spark.createDataFrame([(1, "t", 1)], "id long, claim string, label int")
+    df = spark.createDataFrame([(1, "t", 1)], "id long, sentence string, target int")
     assert io.to_text_label(df).columns == ["id", "text", "label"]
-    amb = spark.createDataFrame([(1, "t", "u", 1)], "id long, claim string, question string, label int")
+    amb = spark.createDataFrame([(1, "t", "u", 1)], "id long, sentence string, input string, label int")
     with pytest.raises(ValueError):
         io.infer_io_columns(amb, strict=True)
-    assert io.infer_io_columns(amb, strict=False) == ("question", "label")
+    assert io.infer_io_columns(amb, strict=False) == ("sentence", "label")
+    with pytest.raises(ValueError):
+        io.infer_io_columns(spark.createDataFrame([(1, "t")], "id long, claim string"))

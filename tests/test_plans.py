@@ -26,10 +26,12 @@ def test_no_python_udfs(spark):
 
 
 def test_exact_rank_avoids_single_partition_window(spark):
-    plan = _plan(QUERIES["mixture"](spark, SF01))
-    for line in plan.split("\n"):
-        if "Window" in line:
-            assert "SinglePartition" not in line
+    """What goes to one partition is summed before: bucket counts and totals, never rows of the table."""
+    for name in ["mixture", "slices", "shuffle_split", "nested_samples"]:
+        lines = _plan(QUERIES[name](spark, SF01)).split("\n")
+        for k, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                assert any("Aggregate" in x for x in lines[k + 1 : k + 5]), (name, lines[k : k + 5])
 
 
 def test_partition_invariance(spark):
