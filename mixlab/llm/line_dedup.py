@@ -6,12 +6,15 @@ are ordered by rarity; two sets of Jaccard similarity ``THRESHOLD`` or more shar
 enough words behind it (positional filter). What passes is verified on the whole sets. Every line that has a
 similar line before it, in order of (doc_id, line number), is removed.
 
-Rarity is the number of lines that hold a word of the same hash bucket, counted over all documents; the
-table of ``BUCKETS`` counts is all that is broadcast, and any fixed order keeps the join exact.
+Rarity is the number of occurrences of the words of a hash bucket, counted over all documents; the
+table of ``BUCKETS`` bytes is all that is broadcast, and any fixed order keeps the join exact. A word that occurs
+once has no partner and is not listed. A 128-bit map of each set's words bounds the overlap of a
+pair before it leaves the join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +26,14 @@ from pyspark.sql import functions as F
 from mixlab.llm.common import prepare, saved
 
 THRESHOLD = 0.8
-#: Entries of the rarity table, 4 MB.
-BUCKETS = 1 << 20
-#: Words whose keys a worker remembers.
-CACHED_WORDS = 300_000
+#: Entries of the rarity table, a byte each.
+BUCKETS = 1 << 23
+#: Words that a worker counts or remembers at a time.
+CACHED_WORDS = 400_000
 
 
-def _hash(word: str) -> bytes:
-    return xxhash.xxh3_128_digest(word.encode("utf-8"))
-
-
-def _bucket(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") % BUCKETS
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8"))
 
 
 class _Remembered(dict):
@@ -59,103 +58,124 @@ def _lines(text: str | None) -> Iterator[tuple[int, set[str]]]:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Lines per hash bucket of words, over all documents: a table of fixed size."""
+    """Occurrences per hash bucket of words over all documents, as a class of one byte: exact up to 64, then by a
+    sixteenth of a power of two. A table of fixed size."""
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = _Remembered(lambda w: _bucket(_hash(w)))
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        def emit() -> pa.RecordBatch:
+            bucket = np.array([_hash(w) % BUCKETS for w in found], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(list(found.values()), pa.int64())], names=["bucket", "n"])
+
+        found: Counter[str] = Counter()
         for batch in batches:
-            found: list[int] = []
             for text in batch.column(0).to_pylist():
-                for _, words in _lines(text):
-                    found += [bucket[w] for w in words]
-            counts += np.bincount(np.array(found, dtype=np.int64), minlength=BUCKETS)
-        (at,) = counts.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+                found.update((text or "").lower().split())
+            if len(found) > CACHED_WORDS:
+                yield emit()
+                found.clear()
+        if found:
+            yield emit()
 
     counted = docs.select(text_col).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(BUCKETS, dtype=np.uint32)
-    rows = counted.toArrow()  # at most BUCKETS rows
-    table[rows.column(0).to_numpy()] = np.minimum(rows.column(1).to_numpy(), 2**32 - 1)
+    log = F.least(F.lit(255), F.lit(64) + F.floor(16 * (F.log2("n") - 6)))
+    classes = counted.where("n > 1").select("bucket", F.when(F.col("n") <= 64, F.col("n")).otherwise(log).cast("short").alias("n"))
+    table = np.ones(BUCKETS, dtype=np.uint8)
+    rows = classes.toArrow()  # at most BUCKETS rows
+    table[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.uint8)
     return table
 
 
-LINES = "doc_id long, line_no int, set_id binary, size int, prefix array<long>"
+LINES = "doc_id long, line_no int, set_id binary, size int, at int, prefix array<long>, map0 long, map1 long"
+#: A word of a sorted set: class of rarity, then hash.
+KEY = np.dtype([("rare", "u1"), ("hash", "<i8")])
 
 
 def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line that is not blank: doc_id, line_no, set_id, size and the keys of its prefix, rarest first."""
+    """Per line that is not blank: doc_id, line_no, set_id, size, the keys of its prefix from place ``at`` on
+    (rarest first, without those that occur once) and the map of its words."""
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
 
         def ordered(word: str) -> bytes:
-            digest = _hash(word)
-            return int(counts[_bucket(digest)]).to_bytes(4, "big") + digest
+            h = _hash(word)
+            return int(counts[h % BUCKETS]).to_bytes(1, "big") + h.to_bytes(8, "little")
 
         key = _Remembered(ordered)
+        get = key.__getitem__
         for batch in batches:
-            out: list[tuple] = []
+            ids, places, digests, joined = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, words in _lines(text):
-                    keys = sorted([key[w] for w in words])
-                    joined = b"".join(keys)
-                    n = len(keys)
-                    p = n - _ceil(threshold * n) + 1
-                    prefix = np.frombuffer(joined[: 20 * p], dtype=np.dtype([("n", "V4"), ("key", "<i8"), ("rest", "V8")]))["key"]
-                    out.append((doc_id, k, xxhash.xxh3_128_digest(joined), n, prefix))
-            if out:
-                doc_id, k, s, n, prefix = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.binary()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "line_no", "set_id", "size", "prefix"])
+                    keys = b"".join(sorted(map(get, words)))
+                    ids.append(doc_id)
+                    places.append(k)
+                    digests.append(xxhash.xxh3_128_digest(keys))
+                    joined.append(keys)
+            if not ids:
+                continue
+            n = np.fromiter(map(len, joined), np.int64, len(joined)) // KEY.itemsize
+            flat = np.frombuffer(b"".join(joined), KEY)
+            start = np.cumsum(n) - n
+            at = np.add.reduceat((flat["rare"] <= 1).astype(np.int64), start)
+            last = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            at = np.minimum(at, last)
+            place = np.arange(len(flat)) - np.repeat(start, n)
+            listed = (place >= np.repeat(at, n)) & (place < np.repeat(last, n))
+            offsets = np.concatenate([[0], np.cumsum(last - at)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat["hash"][listed]))
+            h = flat["hash"].view() if flat["hash"].flags.c_contiguous else np.ascontiguousarray(flat["hash"])
+            bit, half = np.left_shift(np.uint64(1), ((h >> 8) & 63).astype(np.uint64)), (h >> 14) & 1
+            maps = [np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), start).view(np.int64) for k in (0, 1)]
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), prefix, *map(pa.array, maps)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "set_id", "size", "at", "prefix", "map0", "map1"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sets, LINES)
 
 
-def _ceil(x: float) -> int:
-    return int(np.ceil(x - 1e-9))
-
-
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of set ids that pass the prefix, length and positional filters; b is the smaller set or the smaller id.
+    """Pairs (a, b) of class ids that pass the prefix, length, positional and map filters; b has the smaller set or id.
 
-    Sets fall into classes of size by a factor of 1 / threshold, so partners stand in the
-    same class or the one below; the smaller set is listed under its shorter index prefix.
+    Sets fall into levels of size by a factor of 1 / threshold, so partners stand on the
+    same level or the next; the smaller set is listed under its shorter index prefix, on both.
     """
     t = threshold
     level = F.floor(F.log(1 / t, F.col("size").cast("double")) + 1e-9).cast("int")
-    # a set of n words with fewer than t / (1 - t) has no partner but itself and one larger
-    sets = classes.select("set_id", "size", "prefix", level.alias("level"))
-    posted = sets.select("set_id", "size", "level", F.posexplode("prefix").alias("at", "key"))
+    posted = classes.select("id", "size", "map0", "map1", level.alias("level"), F.col("at").alias("skip"), F.posexplode("prefix").alias("at", "key"))
+    posted = posted.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
     short = F.col("size") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("size") - 1e-9) + 1
-    index = posted.where(F.col("at") < short).select(F.col("set_id").alias("b"), F.col("size").alias("bs"), F.col("at").alias("bi"), "level", "key")
-    probe = posted.select(F.col("set_id").alias("a"), F.col("size").alias("as_"), F.col("at").alias("ai"), F.explode(F.array("level", F.col("level") - 1)).alias("level"), "key")
+    index = posted.where(F.col("at") < short).withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
+    index = index.select(F.col("id").alias("b"), F.col("size").alias("bs"), F.col("at").alias("bi"), F.col("map0").alias("b0"), F.col("map1").alias("b1"), "level", "key")
+    probe = posted.select(F.col("id").alias("a"), F.col("size").alias("as_"), F.col("at").alias("ai"), "map0", "map1", "level", "key")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("as_") + F.col("bs")) - 1e-9)
     most = F.least("ai", "bi") + F.least(F.col("as_") - F.col("ai"), F.col("bs") - F.col("bi"))
+    differ = F.bit_count(F.col("map0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("map1").bitwiseXOR(F.col("b1")))
+    bound = (F.col("as_") + F.col("bs") - differ) / 2
     smaller = (F.col("bs") < F.col("as_")) | ((F.col("bs") == F.col("as_")) & (F.col("b") < F.col("a")))
-    pairs = probe.join(index, ["key", "level"]).where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need))
+    pairs = probe.join(index, ["key", "level"]).where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
     return pairs.select("a", "b", "as_", "bs").distinct()
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, words) of the wanted lines (set_id, doc_id, line_no): words as sorted 64-bit hashes."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "set_id")).alias("lines"))
+    """(id, words) of the wanted lines (id, doc_id, line_no): words as 64-bit hashes."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = _Remembered(lambda w: int.from_bytes(_hash(w)[:8], "big", signed=True))
+        key = _Remembered(lambda w: _hash(w) - (1 << 63))
         for batch in batches:
             ids, sets = [], []
             for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = text.lower().split("\n")
                 for line in lines:
-                    ids.append(line["set_id"])
+                    ids.append(line["id"])
                     sets.append(sorted({key[w] for w in parts[line["line_no"]].split()}))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
 
-    return texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.doc_id)).select("text", "lines").mapInArrow(words, "set_id binary, words array<long>")
+    return texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.doc_id)).select("text", "lines").mapInArrow(words, "id long, words array<long>")
 
 
 def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,22 +188,22 @@ def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     """
     lines = saved(line_sets(docs, threshold, id_col, text_col), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = saved(classes, "classes")
+    classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "at", "prefix", "map0", "map1")])
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     pairs = saved(candidates(classes, threshold), "candidates")
 
-    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = classes.join(wanted, "set_id", "left_semi").select("set_id", "first.doc_id", "first.line_no")
-    sets = saved(_words_of(docs, wanted, id_col, text_col).dropDuplicates(["set_id"]), "words")
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.line_no")
+    sets = saved(_words_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "words")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("words").alias("aw")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("words").alias("bw")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("aw")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("bw")), "b")
     links = both.where(F.size(F.array_intersect("aw", "bw")) >= need).select("a", "b")
     links = saved(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
 
-    firsts = classes.select("set_id", "first")
-    partners = links.join(firsts.select(F.col("set_id").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("partner"))
-    named = firsts.join(partners, firsts.set_id == partners.a, "left").select("set_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("partner") < F.col("first"), F.lit(False)).alias("late"))
-    out = lines.join(named, "set_id")
+    firsts = classes.select("id", "set_id", "first")
+    partners = links.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("partner"))
+    named = firsts.join(partners, firsts.id == partners.a, "left").select("set_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("partner") < F.col("first"), F.lit(False)).alias("late"))
+    out = lines.select("doc_id", "line_no", "set_id", "size").join(named, "set_id")
     return out.select("doc_id", "line_no", "size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", (F.col("late") | (place != F.col("first"))).alias("removed"))
 
 
