@@ -16,27 +16,31 @@ def first_words_sql(x: str, n: int) -> str:
     return f"array_to_string({words_sql(x)}[1:{n}], ' ')"
 
 
+def all_words_sql(x: str) -> str:
+    return f"array_to_string({words_sql(x)}, ' ')"
+
+
 FX: dict[str, str] = {}
 
 FX["fx_fv"] = """
 SELECT d.doc_id AS id, d.doc_id AS context_id, d.source AS dataset_name, 'fv' AS task,
-       d.text AS context, b1.text AS claim, l.quality AS label, b2.text AS syn_claim,
-       l.toxic AS syn_label, d.lang AS meta
+       d.text AS context, b1.text AS claim, coalesce(l.quality, d.doc_id % 2) AS label, b2.text AS syn_claim,
+       coalesce(l.toxic, 0) AS syn_label, d.lang AS meta
 FROM documents d
-JOIN labels l ON l.doc_id = d.doc_id
+LEFT JOIN labels l ON l.doc_id = d.doc_id
 JOIN benchmark b1 ON b1.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 JOIN benchmark b2 ON b2.item_id = (d.doc_id + 1) % (SELECT count(*) FROM benchmark)
 """
 
 FX["fx_qa"] = f"""
-SELECT u.conv_id * 100 + u.turn AS id, u.conv_id AS context_id,
+SELECT u.conv_id * 1000000 + u.turn AS id, u.conv_id AS context_id,
        'conv' || CAST(u.conv_id % 3 AS VARCHAR) AS dataset_name, 'qa' AS task,
        u.text AS question, a.text AS context,
        str_split(a.text, '.')[1] AS answer,
        n.text AS syn_question,
        str_split(a.text, '.')[2] AS syn_answer,
-       CASE WHEN (u.conv_id * 100 + u.turn) % 17 = 0 THEN NULL
-            ELSE {first_words_sql('a.text', 6)} || ' | tail' END AS prediction,
+       CASE WHEN (u.conv_id * 1000000 + u.turn) % 17 = 0 THEN NULL
+            ELSE a.text || ' | tail' END AS prediction,
        'turn' || CAST(u.turn AS VARCHAR) AS meta
 FROM conversations u
 JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -45,8 +49,8 @@ WHERE u.role = 'user'
 """
 
 FX["fx_scores"] = """
-SELECT d.doc_id AS id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) / 1000.0 AS output
-FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+SELECT d.doc_id AS id, coalesce(l.quality, d.doc_id % 2) AS label, CAST(d.n_chars % 1000 AS DOUBLE) / 1000.0 AS output
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 FX["fx_runs"] = """
@@ -97,8 +101,8 @@ FX["fx_urls"] = """
 SELECT page_id AS id, 'see ' || url || ' and ' || html AS text FROM pages
 """
 
-_C = first_words_sql("claim", 8)
-_A = first_words_sql("context", 3)
+_C = all_words_sql("claim")
+_A = all_words_sql("context")
 FX["fx_completions"] = f"""
 SELECT id, dataset_name,
   [ 'Claim: ' || {_C} || '||' || chr(10) || 'Label: True',
@@ -114,7 +118,7 @@ SELECT id, dataset_name,
 FROM fx_fv
 """
 
-_E = first_words_sql("syn_claim", 5)
+_E = all_words_sql("syn_claim")
 FX["fx_completions_x"] = f"""
 SELECT id, dataset_name,
   CASE WHEN id % 10 < 5

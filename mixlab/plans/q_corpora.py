@@ -90,9 +90,9 @@ narr AS (SELECT * FROM (
     AND split IS NOT NULL AND context_id IS NOT NULL AND meta IS NOT NULL),
 coqa AS (SELECT * FROM (
   SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, pieces[1] AS answer, context,
-         CAST(c * 100 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta FROM qb)
+         CAST(c * 1000000 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta FROM qb)
   WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
-ft0 AS (SELECT {SPLITS_SQL}[['train', 'validation', 'test'][c % 3 + 1]] AS split, c * 100 + t AS id, question,
+ft0 AS (SELECT {SPLITS_SQL}[['train', 'validation', 'test'][c % 3 + 1]] AS split, c * 1000000 + t AS id, question,
                pieces[1] AS answer, context, 'turn' || CAST(t AS VARCHAR) AS meta FROM qb),
 ftf AS (SELECT split, context, row_number() OVER (PARTITION BY split ORDER BY min(id), context) - 1 AS cid
         FROM ft0 GROUP BY split, context),
@@ -111,7 +111,7 @@ qc AS (SELECT * FROM (
   WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
 rp0 AS (SELECT * FROM (
   SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, pieces[3] AS answer,
-         pieces[1] || chr(10) || pieces[2] AS context, CAST(c * 100 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta
+         pieces[1] || chr(10) || pieces[2] AS context, CAST(c * 1000000 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta
   FROM qb WHERE len(pieces) >= 3)
   WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')})
 SELECT 'narrativeqa' AS dataset_name, split, 'qa' AS task, question, answer, context, context_id, meta FROM narr

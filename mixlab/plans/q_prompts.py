@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mixlab.functions.text import words
 from mixlab.operators import prompts as pr
 from mixlab.operators import sampling as sm
-from mixlab.plans.oracle_fixtures import first_words_sql, words_sql
+from mixlab.plans.oracle_fixtures import all_words_sql, words_sql
 from mixlab.plans.q_sampling import cnt, rk
 from mixlab.plans.registry import register
 from mixlab.plans.sql_parse import fv_stages
@@ -56,7 +56,7 @@ def q_few_shot(spark, sf):
 
 
 @register("few_shot_explained", sql=f"""
-WITH x AS (SELECT *, {first_words_sql('syn_claim', 5)} AS explanation FROM fx_fv),
+WITH x AS (SELECT *, {all_words_sql('syn_claim')} AS explanation FROM fx_fv),
 cur AS (SELECT * FROM (SELECT *, {rk('dataset_name, label')} AS cr FROM x) WHERE cr <= 10),
 cand AS (SELECT x.id, x.dataset_name, x.label, x.context, c.id AS ex_id, c.context AS ex_context, c.explanation AS ex_explanation,
                 c.claim AS ex_claim, c.label AS ex_label,
@@ -72,7 +72,7 @@ UNION ALL SELECT id, CAST(2 * j AS INTEGER), 'assistant',
   {URL_SQL.format(x=f"replace(replace(replace({ANS_FVX}, '[CLAIM]', ex_claim), '[LABEL]', {LAB_ANS}), '[EXPLANATION]', ex_explanation)")}
 FROM ex WHERE id IN (SELECT id FROM full_)""", fx=["fx_fv"])
 def q_few_shot_explained(spark, sf):
-    f = _fv(spark, sf).withColumn("explanation", F.array_join(F.slice(words("syn_claim"), 1, 5), " "))
+    f = _fv(spark, sf).withColumn("explanation", F.array_join(words("syn_claim"), " "))
     cur = pr.curated_examples(f, "fv", 10)
     msgs, _ = pr.few_shot_explained(f, cur, "fv")
     return msgs.withColumn("pos", F.col("pos").cast("int"))

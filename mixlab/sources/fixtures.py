@@ -26,7 +26,7 @@ def fx_fv(t: Tables) -> DataFrame:
     claims = bench.select(F.col("item_id").alias("_i1"), F.col("text").alias("claim"))
     syn = bench.select(F.col("item_id").alias("_i2"), F.col("text").alias("syn_claim"))
     base = (
-        t.documents.join(t.labels, "doc_id")
+        t.documents.join(t.labels, "doc_id", "left")  # a document without a label gets one by its id
         .withColumn("_i1", F.col("doc_id") % n_items)
         .withColumn("_i2", (F.col("doc_id") + 1) % n_items)
         .join(claims, "_i1")
@@ -39,9 +39,9 @@ def fx_fv(t: Tables) -> DataFrame:
         F.lit("fv").alias("task"),
         F.col("text").alias("context"),
         F.col("claim"),
-        F.col("quality").alias("label"),
+        F.coalesce("quality", F.col("doc_id") % 2).alias("label"),
         F.col("syn_claim"),
-        F.col("toxic").alias("syn_label"),
+        F.coalesce("toxic", F.lit(0)).alias("syn_label"),
         F.col("lang").alias("meta"),
     )
 
@@ -57,9 +57,9 @@ def fx_qa(t: Tables) -> DataFrame:
         "conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("syn_question")
     )
     j = u.join(a, ["conv_id", "turn"]).join(nxt, ["conv_id", "turn"], "left")
-    rid = F.col("conv_id") * 100 + F.col("turn")
+    rid = F.col("conv_id") * 1_000_000 + F.col("turn")
     pieces = F.split("context", r"[.]")
-    pred = F.concat(F.array_join(F.slice(words("context"), 1, 6), " "), F.lit(" | tail"))
+    pred = F.concat(F.col("context"), F.lit(" | tail"))
     return j.select(
         rid.alias("id"),
         F.col("conv_id").alias("context_id"),
@@ -77,9 +77,9 @@ def fx_qa(t: Tables) -> DataFrame:
 
 def fx_scores(t: Tables) -> DataFrame:
     """Binary labels with a score in [0, 1)."""
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
-        F.col("quality").alias("label"),
+        F.coalesce("quality", F.col("doc_id") % 2).alias("label"),
         ((F.col("n_chars") % 1000).cast("double") / 1000.0).alias("output"),
     )
 
@@ -153,9 +153,9 @@ def fx_urls(t: Tables) -> DataFrame:
 
 def fx_completion_layouts(claim, context) -> list:
     """Completion texts shaped like §4.1 of FIXTURES.md, from a claim ``c``
-    (first 8 words) and an answer ``a`` (first 3 context words)."""
-    c = F.array_join(F.slice(words(claim), 1, 8), " ")
-    a = F.array_join(F.slice(words(context), 1, 3), " ")
+    and an answer ``a`` (the context), each on one line."""
+    c = F.array_join(words(claim), " ")
+    a = F.array_join(words(context), " ")
     nl = F.lit("\n")
     return [
         F.concat(F.lit("Claim: "), c, F.lit("||"), nl, F.lit("Label: True")),
@@ -175,9 +175,9 @@ def fx_completions(t: Tables, explained: bool = False) -> DataFrame:
     """Completions, one per fx_fv row, layout chosen by ``id mod 10``."""
     fv = fx_fv(t)
     if explained:
-        c = F.array_join(F.slice(words("claim"), 1, 8), " ")
-        a = F.array_join(F.slice(words("context"), 1, 3), " ")
-        e = F.array_join(F.slice(words("syn_claim"), 1, 5), " ")
+        c = F.array_join(words("claim"), " ")
+        a = F.array_join(words("context"), " ")
+        e = F.array_join(words("syn_claim"), " ")
         text = F.when(
             F.col("id") % 10 < 5,
             F.concat(F.lit("Explanation: "), e, F.lit("||\nQuestion: "), c, F.lit("?||\nAnswer: "), a),

@@ -70,14 +70,14 @@ def narrativeqa_raw(t: Tables) -> DataFrame:
 
 def coqa_raw(t: Tables) -> DataFrame:
     q = qa_base(t)
-    return q.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("context").alias("story"),
+    return q.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("context").alias("story"),
                     F.array("question").alias("questions"), F.struct(F.slice("pieces", 1, 2).alias("input_text")).alias("answers"),
                     F.when(F.col("conv_id") % 4 == 0, F.lit("validation")).otherwise(F.lit("train")).alias("split"))
 
 
 def fairytaleqa_raw(t: Tables) -> DataFrame:
     q = qa_base(t)
-    return q.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("context").alias("content"), "question",
+    return q.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("context").alias("content"), "question",
                     F.get("pieces", 0).alias("answer"), F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("attribute"),
                     _pick(["train", "validation", "test"], F.col("conv_id") % 3).alias("split"))
 
@@ -96,7 +96,7 @@ def qaconv_raw(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def ropes_raw(t: Tables) -> DataFrame:
     q = qa_base(t)
-    return q.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.get("pieces", 0).alias("background"),
+    return q.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.get("pieces", 0).alias("background"),
                     F.get("pieces", 1).alias("situation"), "question",
                     F.struct(F.filter(F.array(F.get("pieces", 2)), lambda x: x.isNotNull()).alias("text")).alias("answers"),
                     F.when(F.col("conv_id") % 4 == 0, F.lit("validation")).otherwise(F.lit("train")).alias("split"))
