@@ -49,52 +49,8 @@ def tokens_rouge(c: str | Column) -> Column:
 GRAM_TYPE = "array<struct<n:int,g:string>>"
 
 
-def ngram_structs(tokens: Column, max_n: int = MAX_ORDER) -> Column:
-    """array<struct<n:int,g:string>> of all 1..max_n grams (tokens hold no
-    spaces); empty (never NULL) when there are no tokens."""
-    size = F.coalesce(F.size(tokens), F.lit(0))
-    return F.when(
-        size > 0,
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_n), size)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), size - n + 1),
-                    lambda i: F.struct(n.alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("g")),
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast(GRAM_TYPE))
-
-
-def bleu_from_counts(ref_len: Column, pred_len: Column, matches: list[Column]) -> Column:
-    """BLEU from clipped n-gram matches.
-
-    Order N = min(ref_len, 4) (short references use BLEU-N with weights 1/N,
-    longer ones standard BLEU-4); precision_n = m_n / (pred_len - n + 1), 0
-    when that count is not positive; any zero precision -> 0; brevity penalty
-    exp(1 - ref_len / pred_len) when pred_len <= ref_len. ``ln(0)`` is never
-    evaluated: the zero test guards the logarithm.
-    """
-    order = F.least(ref_len, F.lit(MAX_ORDER))
-    precs = []
-    for n, m in enumerate(matches, start=1):
-        possible = pred_len - n + 1
-        precs.append(F.when(possible > 0, m.cast("double") / possible).otherwise(F.lit(0.0)))
-    all_pos = None
-    log_sum = None
-    for n, p in enumerate(precs, start=1):
-        used = order >= n
-        pos = (~used) | (p > 0)
-        all_pos = pos if all_pos is None else (all_pos & pos)
-        term = F.when(used & (p > 0), F.log(p) / order).otherwise(F.lit(0.0))
-        log_sum = term if log_sum is None else log_sum + term
-    bp = F.when(pred_len > ref_len, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref_len / pred_len))
-    return F.when((ref_len > 0) & (pred_len > 0) & all_pos, bp * F.exp(log_sum)).otherwise(F.lit(0.0))
-
-
 def bleu_sql(rl: str, pl: str, m: list[str]) -> str:
-    """SQL-expression twin of ``bleu_from_counts`` (one analyzer round trip
+    """BLEU from counts as a SQL expression (one analyzer round trip
     instead of hundreds of Column calls when plans are built)."""
     order = f"least({rl}, {MAX_ORDER})"
     precs = [f"(CASE WHEN {pl} - {k} + 1 > 0 THEN CAST({m[k - 1]} AS DOUBLE) / ({pl} - {k} + 1) ELSE 0.0D END)"

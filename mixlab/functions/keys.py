@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 DEFAULT_SEED = 42
 # 16**3 = 4096 ordered buckets; the offsets table is bounded by this many rows
@@ -89,24 +90,40 @@ def numeric_rank(
     descending: bool = True,
     tiebreak: Sequence[str] = ("id",),
     name: str = "rank",
-    buckets: int = 4096,
+    buckets: int = 64,
 ) -> DataFrame:
     """Exact 1-based rank by a numeric column (NULLs last), then ``tiebreak``.
 
-    Buckets are equal-width ranges of the value between its min and max
-    (found by one small aggregate); each bucket is ranked on its own and
-    shifted by the cumulative count of the buckets before it.
+    Buckets are cut at quantiles of the value (one aggregate, ``buckets`` numbers), so outliers
+    do not fill one of them. A value that stands at two quantiles or more is hot: it has a bucket of
+    its own, cut again at quantiles of the first tie-break column if that is a number. Each
+    bucket is ranked on its own and shifted by the count of the buckets before it.
     """
     v = F.col(value).cast("double")
-    bounds = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    lo = bounds.select("_lo").scalar()
-    hi = bounds.select("_hi").scalar()
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    raw = F.floor((v - lo) / span * F.lit(buckets)).cast("int")
-    raw = F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1))
-    b = F.when(v.isNull(), F.lit(buckets)).otherwise(
-        (F.lit(buckets - 1) - raw) if descending else raw
-    )
+    probs = [k / buckets for k in range(1, buckets)]
+    cuts = [F.percentile_approx(v, probs).alias("v")]
+    split_ties = bool(tiebreak) and isinstance(df.schema[tiebreak[0]].dataType, NumericType)
+    if split_ties:
+        tie = F.col(tiebreak[0]).cast("double")
+        cuts.append(F.percentile_approx(tie, probs).alias("t"))
+    found = df.agg(*cuts).first()
+    at = found["v"] or []
+
+    def below(c: Column, edges: list[float]) -> Column:
+        if not edges:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < c))
+
+    hot = sorted({x for x in at if at.count(x) > 1})
+    edges = sorted(set(at))
+    place = 2 * below(v, edges) + F.when(v.isin(hot), 1).otherwise(0) if hot else 2 * below(v, edges)
+    if descending:
+        place = F.lit(2 * len(edges) + 1) - place
+    if split_ties and hot:
+        ties = F.when(v.isin(hot), below(tie, sorted(set(found["t"] or [])))).otherwise(0)
+    else:
+        ties = F.lit(0)
+    b = F.when(v.isNull(), F.lit((2 * buckets + 2) * buckets)).otherwise(place * buckets + ties)
     keyed = df.withColumn("_b", b)
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
@@ -116,7 +133,7 @@ def numeric_rank(
             F.lit(0),
         ),
     ).select("_b", "_off")
-    joined = keyed.join(F.broadcast(offsets), on="_b")  # <= buckets+1 rows
+    joined = keyed.join(F.broadcast(offsets), on="_b")  # a row for each bucket that has any
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     w = Window.partitionBy("_b").orderBy(order, *tiebreak)
     return joined.withColumn(name, (F.col("_off") + F.row_number().over(w)).cast("long")).drop(

@@ -64,15 +64,6 @@ def strip_urls(c: str | Column) -> Column:
     return F.regexp_replace(_c(c), URL_PATTERN, "")
 
 
-def fill_template(template: str, **slots: str | Column) -> Column:
-    """literal (not regex) replacement of ``[SLOT]`` markers, applied in
-    the given order so a value containing a later marker is replaced too."""
-    out: Column = F.lit(template)
-    for slot, value in slots.items():
-        out = F.replace(out, F.lit(f"[{slot}]"), _c(value) if not isinstance(value, str) else F.lit(value))
-    return out
-
-
 def question_word(c: str | Column) -> Column:
     """first question word occurring as a substring of the lower-cased text."""
     low = F.lower(_c(c))

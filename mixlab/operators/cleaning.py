@@ -117,4 +117,31 @@ def multi_hot(labels: str | Column, vocab: Column) -> Column:
     return F.transform(vocab, lambda v: F.when(F.array_contains(lab, v), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-__all__ = ["normalize", "normalize_prediction", "words"]
+def label_id(label: str | Column, vocab: list[str]) -> Column:
+    """F15 (one label): its place in the vocabulary; the marker -1 stays -1, an unknown label is NULL."""
+    lab = (F.col(label) if isinstance(label, str) else label).cast("string")
+    place = F.array_position(F.array(*map(F.lit, vocab)), lab)
+    return F.when(lab == "-1", F.lit(-1)).when(place > 0, (place - 1).cast("int"))
+
+
+# Display names of the corpora.
+DISPLAY_NAMES = {
+    "factify": "Factify",
+    "scifact": "SciFact",
+    "wanli": "WANLI",
+    "fever": "FEVER",
+    "ropes": "ROPES",
+    "qaconv": "QAConv",
+    "coqa": "CoQA",
+    "narrativeqa": "NarrativeQA",
+    "fairytaleqa": "FairytaleQA",
+}
+
+
+def display_name(path: str | Column) -> Column:
+    """F16: the display name of the first corpus (in the order above) whose key the path holds, else the path."""
+    p = F.col(path) if isinstance(path, str) else path
+    return F.coalesce(*[F.when(p.contains(k), F.lit(v)) for k, v in DISPLAY_NAMES.items()], p)
+
+
+__all__ = ["DISPLAY_NAMES", "display_name", "label_id", "normalize", "normalize_prediction", "words"]

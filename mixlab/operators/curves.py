@@ -63,13 +63,13 @@ def equivalence_points(df: DataFrame, by: Sequence[str] = ("dataset_name",), met
                        synthetic: str = "synthetic", real: str = "real") -> DataFrame:
     """A13 per point: generated rows worth the added human rows,
     exp((y - a) / b) - n_synthetic, with (a, b) of the pure-generated fit; J5
-    attaches the pure-generated point of the same size (first by metric)."""
+    attaches the pure-generated value of the same size (the mean, if there are several)."""
     fits = log_fit(df, by, metrics, synthetic, real).filter(F.col("kind") == "synthetic").select(
         *by, "metric", "slope", "intercept")
     m = melt(df.na.drop(), [*by, synthetic, real], metrics)
     mixed = m.filter(F.col(real) != 0)
     pure = m.filter(F.col(real) == 0).groupBy(*by, "metric", synthetic).agg(
-        F.min_by("value", F.col(real)).alias("base_value"))
+        F.avg("value").alias("base_value"))
     j = mixed.join(fits, [*by, "metric"]).join(pure, [*by, "metric", synthetic], "left")
     need = F.exp(F.try_divide(F.col("value") - F.col("intercept"), F.col("slope"))) - F.col(synthetic)
     return j.withColumn("n_needed", need)

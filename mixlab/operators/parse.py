@@ -52,15 +52,6 @@ def clean_explanation(c: Column) -> Column:
     return strip_bars(strip_ws(after_first_colon(c)))
 
 
-def _split_at_key(o: Column, keys: list[str]) -> tuple[Column, Column, Column]:
-    """First key occurring exactly once: (hit, text before, text after)."""
-    hit = F.coalesce(*[F.when(occurrences(o, k) == 1, F.lit(k)) for k in keys])
-    h = F.col("_hit") if False else hit
-    before = F.coalesce(*[F.when(h == k, F.substring_index(o, k, 1)) for k in keys])
-    after = F.coalesce(*[F.when(h == k, F.substring_index(o, k, -1)) for k in keys])
-    return hit, before, after
-
-
 def _key_parts(df: DataFrame, o: str, keys: list[str], prefix: str) -> DataFrame:
     hit = F.coalesce(*[F.when(occurrences(F.col(o), k) == 1, F.lit(k)) for k in keys])
     d = df.withColumn(f"{prefix}hit", hit)
@@ -193,11 +184,6 @@ def _emit(d: DataFrame, out: str, struct: Column) -> DataFrame:
     return d.select("*", F.explode(F.array(struct)).alias(out))
 
 
-def split_rejects(df: DataFrame, parsed: str = "parsed") -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, rejected rows) of a frame holding a parser struct."""
-    return df.filter(~F.col(f"{parsed}.rejected")), df.filter(F.col(f"{parsed}.rejected"))
-
-
 def yield_report(df: DataFrame, a: str, b: str) -> DataFrame:
     """Generation yield -- rows, rows missing a generated field, kept."""
     miss = F.col(a).isNull() | F.col(b).isNull()

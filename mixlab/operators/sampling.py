@@ -89,10 +89,17 @@ def repeat_draws(df: DataFrame, sizes: Sequence[int], runs: int, seed: int = DEF
     return r.filter(F.col("_r") <= F.col("size")).drop("_r")
 
 
+def shuffled(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
+    """Rows in shuffled order for a sink (a range-partitioned sort by the seeded key)."""
+    return df.orderBy(order_key(id_col, seed), id_col)
+
+
 def cap_per_split(df: DataFrame, caps: dict[str, int], split_col: str = "split", seed: int = DEFAULT_SEED,
-                  id_col: str = "id") -> DataFrame:
-    """After a shuffle keep at most caps[split] rows of each split
+                  id_col: str = "id", input_col: str | None = None) -> DataFrame:
+    """Rows with a blank ``input_col`` are skipped; after a shuffle keep at most caps[split] rows of each split
     (exactly n, not n-1); splits without a cap are kept whole."""
+    if input_col:
+        df = df.filter(F.col(input_col).isNotNull() & (F.trim(input_col) != ""))
     r = exact_rank(df, order_key(id_col, seed), tiebreak=[id_col], partition_by=[split_col], name="_r")
     cap = F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(int(v)))]),
                        F.col(split_col))

@@ -12,10 +12,6 @@ def words_sql(x: str) -> str:
     return WORDS.format(x=x)
 
 
-def first_words_sql(x: str, n: int) -> str:
-    return f"array_to_string({words_sql(x)}[1:{n}], ' ')"
-
-
 def all_words_sql(x: str) -> str:
     return f"array_to_string({words_sql(x)}, ' ')"
 

@@ -211,20 +211,20 @@ def q_multi_hot(spark, sf):
     t = Tables(spark, sf)
     l = t.documents.join(t.labels, "doc_id").select(
         "doc_id", F.array("lang", F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("labels"))
-    vocab = l.select(F.sort_array(F.array_distinct(F.flatten(F.collect_list("labels"))))).scalar()
+    distinct = l.select(F.explode("labels").alias("x")).distinct()  # the vocabulary alone is gathered
+    vocab = distinct.select(F.sort_array(F.collect_list("x"))).scalar()
     l = l.withColumn("vocab", vocab)
     mh = cl.multi_hot("labels", F.col("vocab"))
     return l.select("doc_id", F.array_join(F.transform(mh, lambda x: x.cast("int").cast("string")), ",").alias("multi_hot"))
 
 
-@register("path_columns")
+@register("path_columns", sql="SELECT doc_id, 'documents' AS table_name FROM documents")
 def q_path_columns(spark, sf):
-    """S7 / S8 (rows-only): scan a table keeping its file path; the table
-    name and scale factor are cut out of the path."""
+    """Scan a table keeping its file path; the table name is cut out of the path."""
     from mixlab.sources.io import path_columns
 
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("_metadata.file_path").alias("path"))
-    return path_columns(d, "path", r"/sf([0-9.]+)/([a-z_]+)\.parquet", ["sf", "table_name"]).drop("path")
+    return path_columns(d, "path", r"/([a-z_]+)\.parquet", ["table_name"]).drop("path")
 
 
 @register("column_inference", sql="SELECT id, context || ' | ' || claim AS text, label FROM fx_fv", fx=["fx_fv"])

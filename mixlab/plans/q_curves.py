@@ -73,6 +73,16 @@ def q_equivalence(spark, sf):
     return e.select("dataset_name", "metric", "n_points", *[_sci(F.col(c)).alias(c) for c in ("mean", "median", "q25", "q75")])
 
 
+@register("base_value", sql="""
+SELECT e.dataset_name, 'acc' AS metric, e.synthetic, e.real, round(e.acc, 6) AS value, round(p.acc, 6) AS base_value
+FROM fx_equiv e LEFT JOIN fx_equiv p ON p.dataset_name = e.dataset_name AND p.synthetic = e.synthetic AND p.real = 0
+WHERE e.real <> 0""", fx=["fx_equiv"])
+def q_base_value(spark, sf):
+    """Each mixed point beside the pure-generated point of its size."""
+    points = cv.equivalence_points(fx.fx_equiv(Tables(spark, sf)))
+    return rounded(points.select("dataset_name", "metric", "synthetic", "real", "value", "base_value"))
+
+
 @register("trend_grid", sql=f"""
 WITH f AS (SELECT dataset_name, max(CASE WHEN kind = 'synthetic' THEN slope END) AS bs, max(CASE WHEN kind = 'synthetic' THEN intercept END) AS a_s,
                   max(CASE WHEN kind = 'mixed' THEN slope END) AS bm, max(CASE WHEN kind = 'mixed' THEN intercept END) AS am

@@ -66,3 +66,27 @@ def test_cost_stream_over_two_files_keeps_every_model(spark):
         st.cost_stream(spark, usage, f"{run}/out").awaitTermination()
     got = {r.model: (r.requests, r.prompt_tokens) for r in st.cost_table(spark, f"{run}/out").collect()}
     assert got == {m1: (2, 11), m2: (1, 2)}
+
+
+def test_numeric_rank_with_outliers_and_a_hot_value(spark):
+    import math
+    import random
+
+    from mixlab.functions.keys import numeric_rank
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice([0.5, rng.random(), 1e300, -1e300, math.inf, None])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, score double")
+    for desc in (True, False):
+        got = {r.id: r.rank for r in numeric_rank(df, "score", desc).collect()}
+        key = lambda r: (r[1] is None, (-r[1] if desc else r[1]) if r[1] is not None else 0, r[0])
+        assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=key))}
+
+
+def test_label_ids_names_and_blank_inputs(spark):
+    from mixlab.operators import cleaning
+
+    df = spark.createDataFrame([("a", "x/fever/1", "t"), ("-1", "other", " "), ("z", "coqa", None)], "label string, path string, text string")
+    got = df.select(cleaning.label_id("label", ["a", "b"]).alias("l"), cleaning.display_name("path").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(0, "FEVER"), (-1, "other"), (None, "CoQA")]
+    assert sampling.cap_per_split(df, {}, split_col="path", id_col="label", input_col="text").count() == 1
