@@ -54,8 +54,11 @@ def _stream_sql(pieces: str, piece_toks: str, preds: list[str], pred_toks: list[
                 max_n: int) -> str:
     """SQL-expression twin of ``_stream`` (same elements, one round trip)."""
     safe = f"coalesce({pieces}, CAST(array() AS array<string>))"
+    # a piece that shares no token with any text never scores: its grams are not built
+    theirs = "concat(" + ", ".join(f"coalesce({t}, CAST(array() AS array<string>))" for t in pred_toks) + ")"
     refs = (f"flatten(transform(coalesce({piece_toks}, CAST(array() AS array<array<string>>)), (_t_, _s_) -> "
-            f"transform({_grams_sql('_t_', max_n)}, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_REF}, "
+            f"transform(CASE WHEN arrays_overlap(_t_, {theirs}) THEN {_grams_sql('_t_', max_n)} "
+            f"ELSE CAST(array() AS {GRAM_TYPE}) END, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_REF}, "
             f"'idx', _s_, 'len', size(_t_), 'el', CAST(NULL AS INT)))))")
     parts = [refs]
     for k, t in enumerate(pred_toks):

@@ -55,6 +55,13 @@ def q_few_shot(spark, sf):
     return msgs
 
 
+@register("few_shot_rejects", sql=f"""
+WITH r AS (SELECT id, {cnt('dataset_name, label')} AS n FROM fx_fv) SELECT id FROM r WHERE n <= 3""", fx=["fx_fv"])
+def q_few_shot_rejects(spark, sf):
+    """Rows whose group has too few others to draw examples from."""
+    return pr.few_shot(_fv(spark, sf), "fv")[1]
+
+
 @register("few_shot_explained", sql=f"""
 WITH x AS (SELECT *, {all_words_sql('syn_claim')} AS explanation FROM fx_fv),
 cur AS (SELECT * FROM (SELECT *, {rk('dataset_name, label')} AS cr FROM x) WHERE cr <= 10),
