@@ -10,6 +10,7 @@ sample of labelled documents; scoring takes every whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from mixlab.llm.common import prepare
 
 #: Bounds of the training sample: documents, and characters of one of them.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 5_000
 TRAIN_CHARS = 40_000
 #: Hashed features; the weights take 4 MB.
 BITS = 20
@@ -93,14 +94,16 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 120, rate: floa
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 30.0 if len(y) and y.min() else -30.0)
     vocabulary: dict[str, int] = {}
-    words, sentence_of, doc_of = [], [], []
+    words, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in sentences((text or "").lower()):
             own = [vocabulary.setdefault(w, len(vocabulary)) for w in set(WORD.findall(s))]
-            words += own
-            sentence_of += [len(doc_of)] * len(own)
+            words.extend(own)
+            sentence_of.extend([len(doc_of)] * len(own))
             doc_of.append(d)
-    words, sentence_of, doc_of = (np.array(x, dtype=np.int64) for x in (words, sentence_of, doc_of))
+    words, sentence_of, doc_of = (np.frombuffer(x, dtype=np.intc) if x else np.zeros(0, np.intc) for x in (words, sentence_of, doc_of))
+    if not len(words):
+        return Model(np.zeros(1 << BITS, np.float32), -30.0)
     of_word, feature = _common_features(vocabulary, words, doc_of[sentence_of], len(y), min_docs)
     w, b, step, step_b = np.zeros(1 << BITS), -6.0, np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
@@ -121,14 +124,18 @@ def _common_features(vocabulary: dict[str, int], words: np.ndarray, docs: np.nda
     """(word, feature) pairs of the features that ``min_docs`` documents or more have."""
     lists = [features(w) for w in vocabulary]
     count = np.array([len(x) for x in lists], dtype=np.int64)
-    feature = np.array([f for x in lists for f in x], dtype=np.int64)
+    feature = np.array([f for x in lists for f in x], dtype=np.intc)
+    del lists
     first = np.cumsum(count) - count
-    seen = np.unique(words * n_docs + docs)
-    word, doc = seen // n_docs, seen % n_docs
-    spread = np.repeat(np.arange(len(word)), count[word])
-    place = first[word[spread]] + np.arange(len(spread)) - np.repeat(np.cumsum(count[word]) - count[word], count[word])
-    held = np.bincount(np.unique(feature[place] * n_docs + doc[spread]) // n_docs, minlength=1 << BITS)
-    of_word = np.repeat(np.arange(len(lists)), count)
+    seen = np.unique(docs.astype(np.int64) * len(vocabulary) + words)
+    held = np.zeros(1 << BITS, dtype=np.int64)
+    for at in range(0, n_docs, 500):  # some documents at a time
+        lo, hi = np.searchsorted(seen, [at * len(vocabulary), (at + 500) * len(vocabulary)])
+        doc, word = np.divmod(seen[lo:hi], len(vocabulary))
+        spread = np.repeat(np.arange(len(word)), count[word])
+        place = first[word[spread]] + np.arange(len(spread)) - np.repeat(np.cumsum(count[word]) - count[word], count[word])
+        held += np.bincount(np.unique(doc[spread] << BITS | feature[place]) & ((1 << BITS) - 1), minlength=1 << BITS)
+    of_word = np.repeat(np.arange(len(count), dtype=np.intc), count)
     common = held[feature] >= min_docs
     return of_word[common], feature[common]
 
