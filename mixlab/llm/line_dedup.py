@@ -8,8 +8,9 @@ similar line before it, in order of (doc_id, line number), is removed.
 
 Rarity is the number of occurrences of the words of a hash bucket, counted over all documents; the
 table of ``BUCKETS`` bytes is all that is broadcast, and any fixed order keeps the join exact. A word that occurs
-once has no partner and is not listed. A 128-bit map of each set's words bounds the overlap of a
-pair before it leaves the join.
+once has no partner and is not listed. A 64-bit map holds the parity of each set's words per hash bucket: two
+maps differ in no more bits than the sets differ in words, which bounds the overlap of a pair before it leaves
+the join.
 """
 
 from __future__ import annotations
@@ -86,14 +87,16 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
-LINES = "doc_id long, line_no int, set_id binary, size int, at int, prefix array<long>, map0 long, map1 long"
+LINES = "doc_id long, line_no int, set_id binary, size int, at int, prefix array<int>, parity long"
 #: A word of a sorted set: class of rarity, then hash.
 KEY = np.dtype([("rare", "u1"), ("hash", "<i8")])
+#: Bits of the filter that names the lines to verify, 1 MB.
+WANTED_BITS = 1 << 23
 
 
 def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per line that is not blank: doc_id, line_no, set_id, size, the keys of its prefix from place ``at`` on
-    (rarest first, without those that occur once) and the map of its words."""
+    (rarest first, without those that occur once, as 32 bits of their hashes) and the parity map."""
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,57 +128,73 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
             place = np.arange(len(flat)) - np.repeat(start, n)
             listed = (place >= np.repeat(at, n)) & (place < np.repeat(last, n))
             offsets = np.concatenate([[0], np.cumsum(last - at)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat["hash"][listed]))
-            h = flat["hash"].view() if flat["hash"].flags.c_contiguous else np.ascontiguousarray(flat["hash"])
-            bit, half = np.left_shift(np.uint64(1), ((h >> 8) & 63).astype(np.uint64)), (h >> 14) & 1
-            maps = [np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), start).view(np.int64) for k in (0, 1)]
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), prefix, *map(pa.array, maps)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "set_id", "size", "at", "prefix", "map0", "map1"])
+            h = np.ascontiguousarray(flat["hash"])
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[listed] >> 32).astype(np.int32)))
+            parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (h & 63).astype(np.uint64)), start).view(np.int64)
+            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), prefix, pa.array(parity)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "set_id", "size", "at", "prefix", "parity"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sets, LINES)
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of class ids that pass the prefix, length, positional and map filters; b has the smaller set or id.
-
-    Sets fall into levels of size by a factor of 1 / threshold, so partners stand on the
-    same level or the next; the smaller set is listed under its shorter index prefix, on both.
-    """
+    """Pairs (a, b) of class ids that pass the prefix, length, positional and parity filters; b has the smaller set or
+    id and is listed under its shorter index prefix. Keys are part of a hash: a collision only adds a candidate."""
     t = threshold
-    level = F.floor(F.log(1 / t, F.col("size").cast("double")) + 1e-9).cast("int")
-    posted = classes.select("id", "size", "map0", "map1", level.alias("level"), F.col("at").alias("skip"), F.posexplode("prefix").alias("at", "key"))
+    posted = classes.select("id", "size", "parity", F.col("at").alias("skip"), F.posexplode("prefix").alias("at", "key"))
     posted = posted.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
     short = F.col("size") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("size") - 1e-9) + 1
-    index = posted.where(F.col("at") < short).withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
-    index = index.select(F.col("id").alias("b"), F.col("size").alias("bs"), F.col("at").alias("bi"), F.col("map0").alias("b0"), F.col("map1").alias("b1"), "level", "key")
-    probe = posted.select(F.col("id").alias("a"), F.col("size").alias("as_"), F.col("at").alias("ai"), "map0", "map1", "level", "key")
+    index = posted.where(F.col("at") < short)
+    index = index.select(F.col("id").alias("b"), F.col("size").alias("bs"), F.col("at").alias("bi"), F.col("parity").alias("other"), "key")
+    probe = posted.select(F.col("id").alias("a"), F.col("size").alias("as_"), F.col("at").alias("ai"), "parity", "key")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("as_") + F.col("bs")) - 1e-9)
     most = F.least("ai", "bi") + F.least(F.col("as_") - F.col("ai"), F.col("bs") - F.col("bi"))
-    differ = F.bit_count(F.col("map0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("map1").bitwiseXOR(F.col("b1")))
+    differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("other")))
     bound = (F.col("as_") + F.col("bs") - differ) / 2
     smaller = (F.col("bs") < F.col("as_")) | ((F.col("bs") == F.col("as_")) & (F.col("b") < F.col("a")))
-    pairs = probe.join(index, ["key", "level"]).where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
+    pairs = probe.join(index, "key").where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
     return pairs.select("a", "b", "as_", "bs").distinct()
 
 
+def _place_bit(doc_id: int | None, line_no: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{doc_id},{line_no}") % WANTED_BITS
+
+
 def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words) of the wanted lines (id, doc_id, line_no): words as 64-bit hashes."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("lines"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(id, words) of the wanted lines (id, doc_id, line_no): words as 64-bit hashes.
+
+    A broadcast filter of a fixed size names the lines, so that texts stay where they are read; what
+    passes it is joined with the wanted lines exactly.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {_place_bit(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32())], names=["bit"])
+
+    named = wanted.select("doc_id", "line_no").mapInArrow(bits, "bit int").distinct().toArrow()  # at most WANTED_BITS rows
+    table = np.zeros(WANTED_BITS, dtype=bool)
+    table[named.column(0).to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value)
         key = _Remembered(lambda w: _hash(w) - (1 << 63))
         for batch in batches:
-            ids, sets = [], []
-            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = text.lower().split("\n")
-                for line in lines:
-                    ids.append(line["id"])
-                    sets.append(sorted({key[w] for w in parts[line["line_no"]].split()}))
+            ids, places, sets = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, line in enumerate((text or "").lower().split("\n")):
+                    if table[_place_bit(doc_id, k)] and (found := line.split()):
+                        ids.append(doc_id)
+                        places.append(k)
+                        sets.append(list({key[w] for w in found}))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line_no", "words"])
 
-    return texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.doc_id)).select("text", "lines").mapInArrow(words, "id long, words array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = texts.mapInArrow(words, "doc_id long, line_no int, words array<long>")
+    same = found.doc_id.eqNullSafe(wanted.doc_id) & (found.line_no == wanted.line_no)
+    return found.join(wanted, same).select("id", "words")
 
 
 def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,12 +207,12 @@ def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     """
     lines = saved(line_sets(docs, threshold, id_col, text_col), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "at", "prefix", "map0", "map1")])
+    classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "at", "prefix", "parity")])
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     pairs = saved(candidates(classes, threshold), "candidates")
 
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.line_no")
+    wanted = saved(classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.line_no"), "wanted")
     sets = saved(_words_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "words")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("aw")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("bw")), "b")
