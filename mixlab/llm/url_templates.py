@@ -3,7 +3,8 @@
 The paths of a host form a tree of segments. Segments that look variable (numbers, hexadecimal ids, very long
 ones) become wildcards first; then, level by level, the branches below a node whose labelled shares of bad pages
 do not differ from that of their siblings are merged into one wildcard branch (``*``); of those that do differ, the ones
-above (``*+``) or below (``*-``) the mean that agree with each other are merged, and the others stay literal. A template is rejected if its smoothed share of bad pages passes one half. Everything runs on
+above (``*+``) or below (``*-``) the mean that agree with each other are merged, and the others stay literal. Branches without
+a labelled page say nothing about their siblings, nor these about them: they have a wildcard of their own (``*?``). A template is rejected if its smoothed share of bad pages passes one half. Everything runs on
 counts per distinct path, so a host with a third of all pages is summed before it is shuffled.
 """
 
@@ -79,17 +80,19 @@ def templates(pages: DataFrame, levels: int = LEVELS, z_limit: float = Z_LIMIT)
         child = F.get("segments", F.lit(level))
         nodes = tree.groupBy("host", "done", child.alias("child")).agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
         nodes = nodes.where("child is not null")
-        parents = nodes.groupBy("host", "done").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"), F.count("*").alias("children"))
+        labelled = F.count(F.when(F.col("known") > 0, 1)).alias("labelled")
+        parents = nodes.groupBy("host", "done").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"), F.count("*").alias("children"), labelled)
         both = nodes.join(parents, ["host", "done"])
         apart = _differs(F.col("bad"), F.col("known"), F.col("all_bad"), F.col("all_known"), z_limit)
         both = both.withColumn("side", F.when(_smoothed(F.col("bad"), F.col("known")) > _smoothed(F.col("all_bad"), F.col("all_known")), 1).otherwise(0))
-        both = both.withColumn("apart", apart)
+        both = both.withColumn("apart", apart & (F.col("known") > 0))
         # among the branches that differ, those on one side of the mean are compared once more with each other
         sides = both.where("apart").groupBy("host", "done", "side").agg(F.sum("known").alias("side_known"), F.sum("bad").alias("side_bad"), F.count("*").alias("like"))
         both = both.join(sides, ["host", "done", "side"], "left")
         again = _differs(F.col("bad"), F.col("known"), F.col("side_bad"), F.col("side_known"), z_limit)
         merged = F.when(F.col("side") == 1, "*+").otherwise("*-")
-        name = F.when(F.col("children") == 1, F.col("child")).when(~F.col("apart"), "*").when((F.col("like") == 1) | again, F.col("child")).otherwise(merged)
+        alone = (F.col("children") == 1) | ((F.col("labelled") == 1) & (F.col("known") > 0))
+        name = F.when(alone, F.col("child")).when(F.col("known") == 0, "*?").when(~F.col("apart"), "*").when((F.col("like") == 1) | again, F.col("child")).otherwise(merged)
         named = both.select("host", "done", "child", name.alias("name"))
         joined = tree.withColumn("child", child).join(named, ["host", "done", "child"], "left")
         tree = joined.withColumn("done", F.when(F.col("name").isNull(), F.col("done")).otherwise(F.concat("done", F.array("name"))))

@@ -264,6 +264,14 @@ def test_url_templates_learn_from_labels(spark):
     assert {r.template.split("/<n>/")[0] for r in got if "/shop/" not in r.path} == {"/*-"}
 
 
+def test_url_templates_without_evidence_keep_the_prior(spark):
+    urls = [f"http://h{n}.example.com/{kind}/{k}" for n in (3, 5, 9, 12) for k in range(n) for kind in ("de", "en", "fr")]
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.verdict for r in got if r.rule} == {"block"}
+    assert {(r.verdict, r.bad_share, r.template) for r in got if not r.rule} == {("allow", 0.2, "/*?/<n>")}
+    assert {r.template for r in got if r.rule} == {"/de/<n>"}
+
+
 def reference_pack(lengths, limits):
     """Best-fit by a plain loop over all sequences: smallest residual norm."""
     bins, out = [], []
