@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixlab.session import checkpoint_dir
 
@@ -47,6 +48,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a SHA-256 over id and text, never null: tells rows apart that share an id or have none. Rows
+    equal in both share a key, and it does not depend on the partitioning."""
+    name = F.col(id_col).cast("string")
+    tagged = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.unhex(F.substring(F.sha2(F.concat(tagged, F.coalesce(F.col(text_col), F.lit(""))), 256), 1, 32))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlab.llm.common import prepare, saved
+from mixlab.llm.common import prepare, row_key, saved
 from mixlab.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -52,16 +52,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(doc_id, fp), and the binary column ``key_col`` if given: fp is the fingerprint's bits as a signed long."""
     prepare(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            kept = [batch.column(k) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *kept], names=["doc_id", "fp", *keys])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, "doc_id long, fp long")
+    keys = [key_col] if key_col else []
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys)
+    return texts.mapInArrow(prints, ", ".join(["doc_id long, fp long", *[f"{k} binary" for k in keys]]))
 
 
 def _masks(kept: tuple[int, ...], bits: int) -> np.ndarray:
@@ -167,9 +170,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: that of the smallest id. Of repeated rows one stays."""
-    marks = near_duplicates(docs, **options)
-    stay = marks.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col])
+def keep_representatives(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group: that of the smallest id, one without an id only if no member has one.
+
+    Rows are told apart by id and text, so rows without an id or of one id go only if they are near-duplicates
+    of a row that stays. Of rows equal in both one stays.
+    """
+    keyed = docs.withColumn("_row", row_key(id_col, text_col))
+    rows = saved(fingerprints(keyed, words, id_col, text_col, "_row"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    distinct = saved(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct")
+    roots = components(links(distinct.select("fp"), bits))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -145,6 +145,14 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_simhash_keeps_rows_that_only_share_an_id(spark):
+    texts = ["one two three four five", "six seven eight nine ten", "red green blue black white"]
+    assert all((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 2 for a in texts for b in texts if a != b)
+    rows = docs(spark, *[(None, t) for t in texts], (None, texts[0]), (4, texts[1]), (6, "to be or not"), (6, "that is the question"), (6, "to be or not"))
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_representatives(rows).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (None, texts[2]), (4, texts[1]), (6, "to be or not"), (6, "that is the question")], key=repr)
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
