@@ -4,7 +4,8 @@ A line is the set of its lower-cased blank-separated words. Equal sets collapse
 are ordered by rarity; two sets of Jaccard similarity ``THRESHOLD`` or more share a word among their first few
 (prefix filter), lie in a narrow range of sizes (length filter) and share it at places that still leave
 enough words behind it (positional filter). What passes is verified on the whole sets. Every line that has a
-similar line before it, in order of (doc_id, line number), is removed.
+similar line before it, in order of (doc_id, line number), is removed. Rows that share an id or have none are told
+apart by a 64-bit hash of their texts, which stands between the two in that order.
 
 Rarity is the number of occurrences of the words of a hash bucket, counted over all documents; the
 table of ``BUCKETS`` bytes is all that is broadcast, and any fixed order keeps the join exact. A word that occurs
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlab.llm.common import prepare, saved
@@ -87,15 +88,20 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table
 
 
-LINES = "doc_id long, line_no int, set_id binary, size int, at int, prefix array<int>, parity long"
+LINES = "doc_id long, version long, line_no int, set_id binary, size int, at int, prefix array<int>, parity long"
 #: A word of a sorted set: class of rarity, then hash.
 KEY = np.dtype([("rare", "u1"), ("hash", "<i8")])
 #: Bits of the filter that names the lines to verify, 1 MB.
 WANTED_BITS = 1 << 23
 
 
+def _version(text_col: str) -> Column:
+    """Hash of a row's text; rows of the same id and text count as repeated."""
+    return F.xxhash64(F.col(text_col))
+
+
 def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line that is not blank: doc_id, line_no, set_id, size, the keys of its prefix from place ``at`` on
+    """Per line that is not blank: doc_id, version, line_no, set_id, size, the keys of its prefix from place ``at`` on
     (rarest first, without those that occur once, as 32 bits of their hashes) and the parity map."""
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
 
@@ -109,11 +115,12 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
         key = _Remembered(ordered)
         get = key.__getitem__
         for batch in batches:
-            ids, places, digests, joined = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, versions, places, digests, joined = [], [], [], [], []
+            for doc_id, text, version in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for k, words in _lines(text):
                     keys = b"".join(sorted(map(get, words)))
                     ids.append(doc_id)
+                    versions.append(version)
                     places.append(k)
                     digests.append(xxhash.xxh3_128_digest(keys))
                     joined.append(keys)
@@ -131,10 +138,11 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
             h = np.ascontiguousarray(flat["hash"])
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[listed] >> 32).astype(np.int32)))
             parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (h & 63).astype(np.uint64)), start).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), prefix, pa.array(parity)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "set_id", "size", "at", "prefix", "parity"])
+            columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), prefix, pa.array(parity)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "line_no", "set_id", "size", "at", "prefix", "parity"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sets, LINES)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _version(text_col).alias("version"))
+    return texts.mapInArrow(sets, LINES)
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,12 +164,12 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select("a", "b", "as_", "bs").distinct()
 
 
-def _place_bit(doc_id: int | None, line_no: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id},{line_no}") % WANTED_BITS
+def _place_bit(doc_id: int | None, version: int, line_no: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{doc_id},{version},{line_no}") % WANTED_BITS
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words) of the wanted lines (id, doc_id, line_no): words as 64-bit hashes.
+    """(id, words) of the wanted lines (id, doc_id, version, line_no): words as 64-bit hashes.
 
     A broadcast filter of a fixed size names the lines, so that texts stay where they are read; what
     passes it is joined with the wanted lines exactly.
@@ -169,10 +177,10 @@ def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {_place_bit(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+            found = {_place_bit(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(3)))}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32())], names=["bit"])
 
-    named = wanted.select("doc_id", "line_no").mapInArrow(bits, "bit int").distinct().toArrow()  # at most WANTED_BITS rows
+    named = wanted.select("doc_id", "version", "line_no").mapInArrow(bits, "bit int").distinct().toArrow()  # at most WANTED_BITS rows
     table = np.zeros(WANTED_BITS, dtype=bool)
     table[named.column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
@@ -181,38 +189,33 @@ def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
         table = np.unpackbits(shared.value)
         key = _Remembered(lambda w: _hash(w) - (1 << 63))
         for batch in batches:
-            ids, places, sets = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, versions, places, sets = [], [], [], []
+            for doc_id, text, version in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for k, line in enumerate((text or "").lower().split("\n")):
-                    if table[_place_bit(doc_id, k)] and (found := line.split()):
+                    if table[_place_bit(doc_id, version, k)] and (found := line.split()):
                         ids.append(doc_id)
+                        versions.append(version)
                         places.append(k)
                         sets.append(list({key[w] for w in found}))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line_no", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "version", "line_no", "words"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(words, "doc_id long, line_no int, words array<long>")
-    same = found.doc_id.eqNullSafe(wanted.doc_id) & (found.line_no == wanted.line_no)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _version(text_col).alias("version"))
+    found = texts.mapInArrow(words, "doc_id long, version long, line_no int, words array<long>")
+    same = found.doc_id.eqNullSafe(wanted.doc_id) & (found.version == wanted.version) & (found.line_no == wanted.line_no)
     return found.join(wanted, same).select("id", "words")
 
 
-def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that is not blank: doc_id, line_no, size, class_doc_id, class_line_no, n_links, removed.
-
-    The class of a line is named by its first line of the same words; n_links counts the other classes that are
-    similar. Blank lines take no part and stay. Rows without an id come last; of repeated rows the
-    lines count once, and the lines of a repeated row are not removed for being equal to themselves. Null and
-    empty texts and empty tables give no rows.
-    """
+def _marks(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``mark_lines`` with the hash of the row's text (version)."""
     lines = saved(line_sets(docs, threshold, id_col, text_col), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version", "line_no")
     classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "at", "prefix", "parity")])
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     pairs = saved(candidates(classes, threshold), "candidates")
 
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = saved(classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.line_no"), "wanted")
+    wanted = saved(classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.version", "first.line_no"), "wanted")
     sets = saved(_words_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "words")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("aw")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("bw")), "b")
@@ -222,15 +225,27 @@ def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     firsts = classes.select("id", "set_id", "first")
     partners = links.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("partner"))
     named = firsts.join(partners, firsts.id == partners.a, "left").select("set_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("partner") < F.col("first"), F.lit(False)).alias("late"))
-    out = lines.select("doc_id", "line_no", "set_id", "size").join(named, "set_id")
-    return out.select("doc_id", "line_no", "size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", (F.col("late") | (place != F.col("first"))).alias("removed"))
+    out = lines.select("doc_id", "version", "line_no", "set_id", "size").join(named, "set_id")
+    return out.select("doc_id", "version", "line_no", "size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", (F.col("late") | (place != F.col("first"))).alias("removed"))
+
+
+def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line that is not blank: doc_id, line_no, size, class_doc_id, class_line_no, n_links, removed.
+
+    The class of a line is named by its first line of the same words; n_links counts the other classes that are
+    similar. Blank lines take no part and stay. Rows without an id come last; of repeated rows the
+    lines count once, and the lines of a repeated row are not removed for being equal to themselves. Null and
+    empty texts and empty tables give no rows.
+    """
+    return _marks(docs, threshold, id_col, text_col).drop("version")
 
 
 def remove_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text without its removed lines. A document of which no word is left goes; one that had none stays."""
-    marks = mark_lines(docs, threshold, id_col, text_col).where("removed")
-    gone = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    marks = _marks(docs, threshold, id_col, text_col).where("removed")
+    gone = marks.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("_gone"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (_version(text_col) == F.col("_version"))
+    joined = docs.join(gone, same, "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("_gone", k)), "\n")
     cleaned = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
     return cleaned.where(F.col("_gone").isNull() | F.col(text_col).rlike("\\S")).select(*docs.columns)

@@ -214,6 +214,21 @@ def test_line_dedup_repeated_and_missing_ids(spark):
     assert got == [(0, 0, True), (1, 0, False), (1, 0, False), (1, 1, False), (1, 1, False), (2, 0, True), (2, 1, False)]
 
 
+def test_line_dedup_decides_each_row_by_its_own_text(spark):
+    same = "a b c"
+    rows = docs(spark, (1, same), (None, f"{same}\nx1 y1"), (None, "p q r\nx2 y2"), (None, "clean line here"), (5, f"{same}\nu v"), (5, "k l m\nw z"))
+    left = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(rows).collect()), key=repr)
+    assert left == sorted([(1, same), (None, "x1 y1"), (None, "p q r\nx2 y2"), (None, "clean line here"), (5, "u v"), (5, "k l m\nw z")], key=repr)
+
+
+def test_line_dedup_verifies_the_listed_text_of_a_shared_id(spark):
+    words = [f"w{k}" for k in range(10)]
+    near = " ".join([*words[:9], "other"])
+    rows = docs(spark, *[(7, f"unlike{k} in every word") for k in range(8)], (7, " ".join(words)), (8, near))
+    got = {(r.doc_id, r.size, r.n_links, r.removed) for r in line_dedup.mark_lines(rows).collect() if r.size == 10}
+    assert got == {(7, 10, 1, False), (8, 10, 1, True)}
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
