@@ -30,8 +30,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that overlap a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Operator 8: documents that overlap a benchmark item go, with or without an id."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

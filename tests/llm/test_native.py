@@ -86,6 +86,18 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(rows.limit(0), bench).count() == 0 == decontaminate.contaminated(rows, bench.limit(0)).count()
 
 
+def test_decontamination_decides_each_row_by_its_own_text(spark):
+    item = " ".join(f"bench{k}" for k in range(20))
+    bench = spark.createDataFrame([(3, item)], "item_id long, text string")
+    rows = docs(spark, (1, f"see {item}"), (1, "clean text"), (None, f"{item} end"), (None, "also clean"), (2, item), (2, item), (None, None))
+    left = lambda **o: sorted(((r.doc_id, r.text) for r in decontaminate.drop_contaminated(rows, bench, **o).collect()), key=repr)
+    clean = [(1, "clean text"), (None, "also clean"), (None, None)]
+    assert left(null_ids=True) == sorted(clean, key=repr)
+    assert left() == sorted([*clean, (None, f"{item} end")], key=repr)
+    found = {(r.doc_id, r.item_id, r.doc_pos, r.window_matches, r.n_windows) for r in decontaminate.contaminated(rows, bench, null_ids=True).collect()}
+    assert found == {(1, 3, 1, 13, 8), (None, 3, 0, 13, 8), (2, 3, 0, 13, 8)}
+
+
 def test_every_pattern_of_substitutions_is_hit():
     from itertools import combinations
 
