@@ -14,9 +14,10 @@ from mixlab.session import checkpoint_dir
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
-#: Rows per Arrow batch in the operators that hand whole texts to Python: a batch of long
-#: texts has to fit a worker.
+#: Rows and bytes per Arrow batch in the operators that hand whole texts to Python: a batch has to fit a worker. A
+#: longer text is a batch of its own.
 BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> None:
     ``PYTHONPATH`` already leads to it.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(PACKAGE)
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext

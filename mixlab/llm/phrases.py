@@ -5,7 +5,8 @@ collision between any two words of the corpus is looked for, and the pass repeat
 one). Then, for each length from two words up:
 
 1. Phrases whose parts are all frequent (Apriori) are counted into a table of hash buckets of a fixed size, which is
-   summed over all tasks. A phrase in a bucket below the minimum cannot be frequent.
+   summed over all tasks. A phrase in a bucket below the minimum cannot be frequent. What is left is counted into other
+   buckets once more.
 2. The different phrases that pass both filters are the candidates. Filters are bit tables of a fixed size, so they may let
    more through, never less.
 3. Candidates are put in double-array tries of at most ``TRIE_PHRASES`` each. A trie is broadcast; numpy moves the
@@ -17,6 +18,7 @@ Per language and phrase, the scores are exact in decimals.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,24 +40,28 @@ COVERED_PERCENT = 50
 #: Languages of texts without one.
 NO_LANG = "und"
 #: Phrases of a trie; more candidates take more tries, each with a pass over the written sequences.
-TRIE_PHRASES = 400_000
-#: Buckets of the counters of a length, a byte each, and bits of the filter of frequent phrases.
-BUCKETS = 1 << 22
-FILTER_BITS = 1 << 24
+TRIE_PHRASES = 500_000
+#: Bucket counts of a length, each of what passed the one before.
+STAGES = 2
+#: Buckets of a count, a byte each, and bits of the filter of frequent phrases.
+BUCKETS = 1 << 24
+FILTER_BITS = 1 << 25
 BLOCK = 1 << 16
+#: Characters read together by a worker: more texts repeat more words.
+READ_CHARS = 1 << 20
 #: Words that a worker counts before it passes the counts on.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Piece ends and blanks, A-Z in lower case.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(texts: list[str | None]) -> pa.DictionaryArray:
-    """Words of texts and "." for every end of a piece or text, as a dictionary array; "" may occur and means the same as "."."""
-    joined = " . ".join(t for t in texts if t).encode("utf-8").translate(_FOLD).replace(b".", b" . ")
-    parts = [joined[a:b] for a, b in _cuts(joined)]
-    words = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).cast(pa.large_string()))
-    return words.flatten().dictionary_encode()
+def _tokens(texts: list[str]) -> Iterator[pa.DictionaryArray]:
+    """Words of texts as dictionary arrays; "." stands for every end of a piece or text, and "" may stand beside it."""
+    joined = " . ".join(texts).encode("utf-8").translate(_FOLD).replace(b".", b" . ")
+    for a, b in _cuts(joined):
+        words = pc.ascii_split_whitespace(pa.array([joined[a:b]], pa.binary()).cast(pa.string())).flatten()
+        yield words.cast(pa.binary()).dictionary_encode()
 
 
 def _cuts(text: bytes, size: int = 1 << 24) -> Iterator[tuple[int, int]]:
@@ -76,42 +82,44 @@ def _read_texts(docs: DataFrame, seed: int, lang_col: str, text_col: str) -> Dat
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(langs, codes, words, counts) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["lang", "codes", "word", "n"])
-
-        def emit() -> pa.RecordBatch:
-            keys = [(lang, w, n) for lang, own in found.items() for w, n in own.items()]
-            langs, words, counts = zip(*keys)
-            return row(langs, [None] * len(keys), words, counts)
-
-        found: dict[str, Counter] = {}
-        hashed: dict[str, int] = {}
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "codes", "word", "n"])
+
+        def read_held() -> Iterator[pa.RecordBatch]:
+            for lang, texts in held.items():
+                place, codes, counts = found.setdefault(lang, ({}, array("Q"), array("q")))
+                for chunk in _tokens(texts):
+                    words = chunk.dictionary.to_pylist()
+                    at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+                    for w in (words[k] for k in np.flatnonzero(at >= len(codes)).tolist()):  # new words, in the order of their places
+                        codes.append(xxhash.xxh64_intdigest(w, seed) if w.strip(b".") else 0)
+                        counts.append(0)
+                    places = chunk.indices.to_numpy()
+                    np.frombuffer(counts, np.int64)[at] += np.bincount(places, minlength=len(words))
+                    yield row([lang], [np.frombuffer(codes, np.uint64)[at][places].tobytes()], [None], [None])
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, (place, _, counts) in found.items():
+                words = [w for w in place if w.strip(b".")]
+                if words:
+                    yield row([lang] * len(words), [None] * len(words), words, [counts[place[w]] for w in words])
+
+        held: dict[str, list] = {}
+        found: dict[str, tuple[dict, array, array]] = {}
+        size = 0
         for batch in batches:
-            by_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                tokens = _tokens(texts)
-                chunks = tokens.chunks if isinstance(tokens, pa.ChunkedArray) else [tokens]
-                for chunk in chunks:
-                    if not len(chunk):
-                        continue
-                    words, places = chunk.dictionary.to_pylist(), chunk.indices.to_numpy()
-                    counts = np.bincount(places, minlength=len(words)).tolist()
-                    codes = np.zeros(len(words), dtype=np.uint64)
-                    own = found.setdefault(lang, Counter())
-                    for k, w in enumerate(words):
-                        if w and w != ".":
-                            own[w] += counts[k]
-                            if (h := hashed.get(w)) is None:
-                                hashed[w] = h = xxhash.xxh64_intdigest(w.encode("utf-8"), seed)
-                            codes[k] = h
-                    yield row([lang], [codes[places].tobytes()], [None], [None])
-            if len(hashed) > CACHED_WORDS:
-                yield emit()
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size > READ_CHARS:
+                    yield from read_held()
+                    held.clear()
+                    size = 0
+                    pa.default_memory_pool().release_unused()
+            if sum(len(x[0]) for x in found.values()) > CACHED_WORDS:
+                yield from emit()
                 found.clear()
-                hashed.clear()
-        if any(found.values()):
-            yield emit()
+        yield from read_held()
+        yield from emit()
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(read, SEQUENCES)
@@ -173,8 +181,8 @@ def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of codes from a binary column of equal lengths."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint64).reshape(len(column), -1)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), -1)
 
 
 def _filter(frequent: DataFrame) -> np.ndarray:
@@ -205,16 +213,15 @@ def _safe(lang: str, codes: np.ndarray, words: int, parts: np.ndarray) -> np.nda
     return np.flatnonzero(good)
 
 
-def _hot_buckets(sequences: DataFrame, words: int, parts, min_count: int) -> np.ndarray:
-    """Bit table of the buckets in which at least ``min_count`` Apriori-safe occurrences fall."""
+def _hot_buckets(sequences: DataFrame, words: int, parts, hot: list, min_count: int) -> np.ndarray:
+    """Bit table of the buckets in which at least ``min_count`` occurrences fall that are Apriori-safe and pass the stages before."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, dtype=np.uint8)
         for batch in batches:
-            for lang, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(codes, np.uint64)
-                at = _safe(lang, x, words, parts.value)
-                place, n = np.unique(_place(_keys(lang, x, words)[at], BUCKETS), return_counts=True)
+            for lang, codes in zip(batch.column(0), batch.column(1)):
+                lang, x = lang.as_py(), np.frombuffer(codes.as_buffer(), np.uint64)
+                place, n = np.unique(_bucket(_places(lang, x, words, parts.value, hot)[1], len(hot)), return_counts=True)
                 table[place] = np.minimum(table[place] + n, min_count)
         blocks = [k for k in range(BUCKETS // BLOCK) if table[k * BLOCK : (k + 1) * BLOCK].any()]
         for k in blocks:
@@ -250,26 +257,27 @@ def _candidates(sequences: DataFrame, words: int, parts, hot) -> DataFrame:
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(lang: str) -> pa.RecordBatch:
-            rows = np.unique(np.concatenate(held[lang]))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows.tolist(), pa.binary())], names=["lang", "codes"])
+            rows = held[lang][1]
+            rows = pa.Array.from_buffers(pa.binary(8 * words), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), rows.cast(pa.binary())], names=["lang", "codes"])
 
-        held: dict[str, list[np.ndarray]] = {}
-        size: Counter = Counter()
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for lang, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(codes, np.uint64)
-                at = _safe(lang, x, words, parts.value)
-                key = _keys(lang, x, words)[at]
-                good = _bit(hot.value, _place(key, BUCKETS))
-                at, key = at[good], key[good]
-                at = at[np.unique(key, return_index=True)[1]]  # one place of each hash; two phrases of one hash are told apart below
-                rows = np.stack([x[at + k] for k in range(words)], axis=1) if len(at) else np.zeros((0, words), np.uint64)
-                if len(rows):
-                    held.setdefault(lang, []).append(np.ascontiguousarray(rows).view(f"V{8 * words}").ravel())
-                    size[lang] += len(rows)
-                if size[lang] > CACHED_WORDS:
+            for lang, codes in zip(batch.column(0), batch.column(1)):
+                lang, x = lang.as_py(), np.frombuffer(codes.as_buffer(), np.uint64)
+                at, key = _places(lang, x, words, parts.value, hot)
+                if not len(at):
+                    continue
+                rows = np.stack([x[at + k] for k in range(words)], axis=1)
+                if lang in held:
+                    key, rows = np.concatenate([held[lang][0], key]), np.concatenate([held[lang][1], rows])
+                order = np.argsort(key)
+                key, rows = key[order], rows[order]
+                new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))  # phrases of one hash stay apart
+                held[lang] = key[new], rows[new]
+                if len(held[lang][0]) > CACHED_WORDS:
                     yield emit(lang)
-                    del held[lang], size[lang]
+                    del held[lang]
         for lang in list(held):
             yield emit(lang)
 
@@ -280,43 +288,65 @@ def _candidates(sequences: DataFrame, words: int, parts, hot) -> DataFrame:
 class Trie:
     """A double array over word numbers: the child of a state s by word w is t = base[s] + w if check[t] = s."""
 
-    words: np.ndarray  # sorted word codes; the number of a word is its place here
+    words: np.ndarray  # sorted word codes
+    number: np.ndarray  # of each word: frequent last words have small ones, so that families of children lie close
     roots: dict[str, int]
     base: np.ndarray
     check: np.ndarray
     accepting: np.ndarray  # state of each phrase
+    lang: pa.Array | None = None  # of each phrase
+    phrases: pa.Array | None = None  # its codes
 
-    def states(self, lang: str, codes: np.ndarray, length: int) -> np.ndarray:
-        """States reached by the ``length`` words from each place on at which there is such a path."""
-        n = len(codes) - length + 1
-        if lang not in self.roots or n <= 0 or not len(self.words):
-            return np.zeros(0, dtype=np.int32)
-        number = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
-        known = self.words[number] == codes
-        at = np.flatnonzero(known[:n])
+    def states(self, lang: str, codes: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+        """States reached by the ``length`` words from the places ``at`` on, where there is such a path."""
+        if lang not in self.roots or not len(self.words):
+            return np.zeros(0, dtype=np.int64)
         state = np.full(len(at), self.roots[lang], dtype=np.int64)
         for k in range(length):
-            to = self.base[state] + number[at + k]
-            good = known[at + k] & (self.check[to] == state)
+            word = codes[at + k]
+            found = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+            to = self.base[state] + self.number[found]
+            good = (self.words[found] == word) & (self.check[to] == state)
             at, state = at[good], to[good]
         return state
 
 
 def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
     """The trie of given phrases: a language and a row of word codes each."""
-    words, number = np.unique(codes, return_inverse=True)
-    number = number.reshape(codes.shape)
+    words, inverse = np.unique(codes, return_inverse=True)
+    inverse = inverse.reshape(codes.shape)
+    times = np.bincount(inverse[:, -1], minlength=len(words))  # last words first: theirs are the most families
+    ranks = np.empty(len(words), dtype=np.int32)
+    ranks[np.argsort(-times, kind="stable")] = np.arange(len(words))
+    number = ranks[inverse]
     langs, at = np.unique(lang, return_inverse=True)
     width = len(words)
     size = 2 * width + len(langs) + 2 * codes.size + 64
-    base, check, used = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, bool)
+    base, check, used = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size, bool)
 
     def grow(least: int) -> None:
         nonlocal base, check, used
         if least > len(base):
             more = max(least, len(base) * 3 // 2) - len(base)
-            base, check, used = np.append(base, np.zeros(more, np.int64)), np.append(check, np.full(more, -1, np.int64)), np.append(used, np.zeros(more, bool))
-
+            base, check, used = np.append(base, np.zeros(more, np.int32)), np.append(check, np.full(more, -1, np.int32)), np.append(used, np.zeros(more, bool))
+
+    def place(own: np.ndarray) -> int:
+        """A base at which the places of all children are free: in one of some windows, else behind all that is used."""
+        low = len(langs)
+        for window in (*[1 << 10] * 8, *[1 << 13] * 4, 1 << 16):
+            at = low + int(pick.integers(max(1, top - low - window)))
+            grow(at + window + int(own[-1]) + 1)
+            taken = np.zeros(window, dtype=bool)
+            for k, c in enumerate(own.tolist()):
+                taken |= used[at + c : at + c + window]
+                if k & 31 == 31 and taken.all():
+                    break
+            if not taken.all():
+                return at + int(taken.argmin())
+        grow(top + int(own[-1]) + 1)
+        return top
+
+    pick = np.random.default_rng(len(words))
     used[: len(langs)] = True
     state, free, top = at.astype(np.int64), len(langs), len(langs)  # roots are the first states
     for level in range(codes.shape[1]):
@@ -328,21 +358,12 @@ def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
             if degree[k] == 1:
                 break
             own = child[first[k] : first[k] + degree[k]]
-            while used[free]:
-                free += 1
-            # a few free places for the first child, then behind all that is used
-            window = free + np.flatnonzero(~used[free : free + 256])[:32]
-            tries = np.append(window, max(top, free)) - own[0]
-            tries = tries[tries >= 0] if (tries >= 0).any() else np.array([max(top, free)])
-            if degree[k] > 64:
-                tries = tries[-1:]
-            grow(int(tries.max() + own[-1]) + 1)
-            fits = np.flatnonzero(~used[tries[:, None] + own[None, :]].any(axis=1))
-            b = int(tries[fits[0]]) if len(fits) else max(top, free)
-            grow(b + int(own[-1]) + 1)
+            b = place(own)
             base[parent[first[k]]] = b
             used[b + own], check[b + own] = True, parent[first[k]]
             top = max(top, b + int(own[-1]) + 1)
+        while used[free]:
+            free += 1
         alone = first[degree == 1]  # an only child takes any free place from its number on
         if len(alone):
             alone = alone[np.argsort(child[alone], kind="stable")]
@@ -354,40 +375,82 @@ def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
             base[parent[alone]] = take - child[alone]
             used[take], check[take] = True, parent[alone]
             top = max(top, int(take[-1]) + 1)
-        state = (base[parent] + child)[inverse]
+        state = (base[parent].astype(np.int64) + child)[inverse]
     end = top + width + 1
     grow(end)
-    return Trie(words, {x: k for k, x in enumerate(langs.tolist())}, base[:end].astype(np.int32), check[:end].astype(np.int32), state)
-
-
-def _counted(sequences: DataFrame, candidates: DataFrame, words: int, min_count: int) -> DataFrame:
+    return Trie(words, ranks, {x: k for k, x in enumerate(langs.tolist())}, base[:end], check[:end], state)
+
+
+def _bucket(key: np.ndarray, stage: int) -> np.ndarray:
+    """Bucket of a phrase's hash; the stages use different bits of it."""
+    return _place(key, BUCKETS) if stage == 0 else (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _places(lang: str, codes: np.ndarray, words: int, parts: np.ndarray, hot: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of Apriori-safe phrases in buckets that may be frequent at each stage, and their hashes."""
+    at = _safe(lang, codes, words, parts)
+    key = _keys(lang, codes, words)[at]
+    for stage, bits in enumerate(hot):
+        good = _bit(bits.value, _bucket(key, stage))
+        at, key = at[good], key[good]
+    return at, key
+
+
+def _shards(candidates: DataFrame) -> tuple[DataFrame, int]:
+    """The candidates with a shard each, none of more than ``TRIE_PHRASES``: by last word, which keeps families of
+    children close in a trie, and a shard that is too large by phrase as well."""
+    last = F.xxhash64("lang", F.substring("codes", -8, 8))
+    n = max(1, -(-2 * candidates.count() // TRIE_PHRASES))
+    dealt = candidates.withColumn("shard", F.pmod(last, F.lit(n)).cast("int"))
+    for depth in range(8):
+        sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row a shard
+        large = {k: -(-2 * c // TRIE_PHRASES) for k, c in sizes.items() if c > TRIE_PHRASES}
+        if not large:
+            break
+        split, start = F.lit(None), max(sizes) + 1
+        for k, parts in large.items():
+            split = F.when(F.col("shard") == k, F.lit(start) + F.pmod(F.xxhash64("lang", "codes", F.lit(depth)), F.lit(parts))).otherwise(split)
+            start += parts
+        dealt = dealt.withColumn("shard", F.coalesce(split, "shard").cast("int"))
+    else:
+        raise RuntimeError("the candidates cannot be dealt into shards")
+    return dealt, max(sizes, default=-1) + 1
+
+
+def _counted(sequences: DataFrame, candidates: DataFrame, words: int, min_count: int, parts, hot) -> DataFrame:
     """(lang, codes, n) of the candidates that occur ``min_count`` times: their exact number, by tries."""
     spark = sequences.sparkSession
-    shards = max(1, -(-candidates.count() // (TRIE_PHRASES // 2)))  # half, as hashing fills them unevenly
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("lang", "codes"), F.lit(shards)).cast("int"))
+    dealt, shards = _shards(candidates)
     out = None
     for shard in range(shards):
-        own = dealt.where(F.col("shard") == shard).select("lang", "codes").toArrow().combine_chunks()  # bounded by the number of shards
+        own = dealt.where(F.col("shard") == shard).select("lang", "codes").toArrow().combine_chunks()  # TRIE_PHRASES rows at most
         if not own.num_rows:
             continue
-        codes = _matrix(own.column(1).combine_chunks())
-        trie = build_trie(own.column(0).to_numpy(), codes)
+        trie = build_trie(own.column(0).to_numpy(), _matrix(own.column(1).combine_chunks()))
+        trie.lang, trie.phrases = own.column(0).combine_chunks().dictionary_encode(), own.column(1).combine_chunks()
         shared = spark.sparkContext.broadcast(trie)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie: Trie = shared.value
             total = np.zeros(len(trie.check), dtype=np.int64)
+            held, size = [], 0
             for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    total += np.bincount(trie.states(lang, np.frombuffer(text, np.uint64), words), minlength=len(total))
+                for lang, text in zip(batch.column(0), batch.column(1)):
+                    lang, x = lang.as_py(), np.frombuffer(text.as_buffer(), np.uint64)
+                    held.append(trie.states(lang, x, words, _places(lang, x, words, parts.value, hot)[0]))
+                    size += len(held[-1])
+                    if size > CACHED_WORDS:
+                        total += np.bincount(np.concatenate(held), minlength=len(total))
+                        held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+            total = total[trie.accepting]
             seen = np.flatnonzero(total)
             if len(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["state", "n"])
+                yield pa.RecordBatch.from_arrays([trie.lang.take(pa.array(seen)).cast(pa.string()), trie.phrases.take(pa.array(seen)), pa.array(total[seen])], names=["lang", "codes", "n"])
 
-        named = pa.table({"lang": own.column(0), "codes": own.column(1), "state": pa.array(trie.accepting.astype(np.int64))})
-        counts = sequences.mapInArrow(count, "state long, n long").groupBy("state").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        part = saved(spark.createDataFrame(named).join(counts, "state").select("lang", "codes", "n"), "phrases")
-        shared.unpersist()
+        part = saved(sequences.mapInArrow(count, "lang string, codes binary, n long").groupBy("lang", "codes").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrases")
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "lang string, codes binary, n long") if out is None else out
 
@@ -403,12 +466,14 @@ def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     found = level
     for length in range(2, max_words + 1):
         parts = sc.broadcast(_filter(level))
-        hot = sc.broadcast(_hot_buckets(sequences, length, parts, min_count))
+        hot: list = []
+        for _ in range(STAGES):
+            hot.append(sc.broadcast(_hot_buckets(sequences, length, parts, list(hot), min_count)))
         candidates = saved(_candidates(sequences, length, parts, hot), "candidates")
-        level = _counted(sequences, candidates, length, min_count)
+        level = _counted(sequences, candidates, length, min_count, parts, hot)
         found = found.unionByName(level)
-        parts.unpersist()
-        hot.unpersist()
+        for bits in (parts, *hot):
+            bits.destroy()
     return found, frequent.select("lang", "word", binary.alias("code"), "n"), words.groupBy("lang").agg(F.sum("n").alias("total"))
 
 
