@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlab.llm import chat, decontaminate, exact_dedup, line_dedup, packing, periodic_runs, phrases, sharding, simhash, token_store, toxicity, url_templates
+from mixlab.llm import chat, decontaminate, exact_dedup, line_dedup, packing, periodic_runs, phrases, sharding, simhash, token_store, toxicity, url_templates, weighted_prints
 from mixlab.llm.common import read
 
 
@@ -55,6 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_prints.compare(read(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top(phrases.collocations(read(spark, sf_dir, "documents")))
 
@@ -125,5 +129,5 @@ def op10_sql() -> str:
     return f"WITH t AS (SELECT {table} AS owners) SELECT doc_id, {slot} AS slot, 'shard-' || lpad(CAST(owners[{slot} + 1] AS VARCHAR), 3, '0') AS shard FROM documents, t"
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op3_line_dedup, op4_simhash, op5_toxicity, op6_chat, op7_url_templates, op8_decontaminate, op9_packing, op10_sharding, op12_phrases, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op3_line_dedup, op4_simhash, op5_toxicity, op6_chat, op7_url_templates, op8_decontaminate, op9_packing, op10_sharding, op11_fingerprints, op12_phrases, op13_periodic_runs)}
 ORACLE = {"op2_exact_dedup": OP2_SQL, "op6_chat": OP6_SQL, "op8_decontaminate": OP8_SQL, "op10_sharding": op10_sql()}
