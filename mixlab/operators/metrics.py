@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixlab.functions.selection import quantiles
 from mixlab.functions.text import contains_text, normalize, normalize_prediction
 from mixlab.operators.score import bleu_pairs, rouge1_pairs
 
@@ -20,8 +21,8 @@ def threshold_metrics(df: DataFrame, label: str = "label", score: str = "output"
     score; prediction = score > threshold (strict); zero-division guards -> 0.
     Thresholds are scalar subqueries; all confusion counts for all
     thresholds come from one aggregate (no row replication)."""
-    stats = df.agg(F.avg(score).alias("mean"), F.median(score).alias("median"))
-    ths = [("0.5", F.lit(0.5)), ("mean", stats.select("mean").scalar()), ("median", stats.select("median").scalar())]
+    stats = quantiles(df, score, [0.5], extra=[F.avg("v").alias("mean")])
+    ths = [("0.5", F.lit(0.5)), ("mean", stats.select("mean").scalar()), ("median", stats.select(F.get("q", F.lit(0))).scalar())]
     y = F.col(label).cast("int")
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, (_, t) in enumerate(ths):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlab.functions.keys import DEFAULT_SEED, exact_rank, frac_count, numeric_rank, order_key
+from mixlab.functions.selection import drawn
 
 # The reference sends generation requests in five slices.
 N_SLICES = 5
@@ -81,12 +82,12 @@ def complement(df: DataFrame, sample: DataFrame, id_col: str = "id") -> DataFram
 def repeat_draws(df: DataFrame, sizes: Sequence[int], runs: int, seed: int = DEFAULT_SEED,
                  by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
     """``runs`` independent draws of each size: the key is salted with
-    the run (and size), so draws differ; output adds (run, size)."""
-    d = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))) \
-          .withColumn("size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    r = exact_rank(d, order_key(id_col, seed, "run", "size"), tiebreak=[id_col],
-                   partition_by=[*by, "run", "size"], name="_r")
-    return r.filter(F.col("_r") <= F.col("size")).drop("_r")
+    the run (and size), so draws differ; output adds (run, size). The last key of each draw is
+    found on the ids alone; then one scan of the rows names the draws of each row."""
+    draws = {f"{r}/{int(s)}": (int(s), (r, int(s))) for r in range(runs) for s in sizes}
+    d = drawn(df, draws, seed, by, id_col).withColumn("_in", F.explode("_in"))
+    part = F.split("_in", "/")
+    return d.withColumn("run", part[0].cast("int")).withColumn("size", part[1].cast("int")).drop("_in")
 
 
 def shuffled(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:

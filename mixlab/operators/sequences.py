@@ -52,10 +52,22 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     return r.select("word", "id", "n")
 
 
+#: Frequent words that ``token_ids`` resolves without a shuffle: rows and letters of the broadcast table.
+HEAD_WORDS = 4096
+HEAD_LETTERS = 64
+
+
 def token_ids(df: DataFrame, text: str, vocab: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per row the ordered array of vocabulary ids of its words."""
+    """Per row the ordered array of vocabulary ids of its words. The vocabulary is ordered by frequency: its
+    first ``HEAD_WORDS`` words of at most ``HEAD_LETTERS`` letters, which fill most places, are broadcast; only the places of
+    the others are dealt out by word, so that no task gets all places of a hot word. A hot word that is
+    longer or stands late in a foreign vocabulary is left to the engine's skew split."""
+    ids = vocab.select("word", F.col("id").alias("_tid"))
+    in_head = (F.col("_tid") <= HEAD_WORDS) & (F.length("word") <= HEAD_LETTERS)
     ex = df.select(id_col, F.posexplode(words(text)).alias("pos", "word"))
-    j = ex.join(vocab.select("word", F.col("id").alias("_tid")), "word")
+    known = ex.join(F.broadcast(ids.where(in_head)), "word", "left")
+    rest = known.where("_tid IS NULL").drop("_tid").join(ids.where(~in_head), "word")
+    j = known.where("_tid IS NOT NULL").unionByName(rest)
     return j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_t")).select(
         id_col, F.transform("_t", lambda x: x["_tid"]).alias("ids"))
 

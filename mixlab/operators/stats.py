@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixlab.functions.selection import quantiles
+
 
 def value_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:
     """A1: value frequencies and their share within ``by``; NULL values are
@@ -23,18 +25,19 @@ def value_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """A2 / A3: count, mean, sample std, min, 25/50/75 % (linear
-    interpolation, as pandas), max -- one aggregate, optionally per group.
-    ``exact=False`` uses ``percentile_approx`` for unbounded value domains."""
-    v = F.col(value).cast("double")
+    interpolation, as pandas), max, optionally per group. The exact quantiles are found by
+    distributed selection (``functions/selection.py``): no buffer holds the values of a column.
+    ``exact=False`` answers from a sketch in one pass."""
+    aggs = [F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max")]
+    probs = [0.25, 0.5, 0.75]
     if exact:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        out = quantiles(df, value, probs, by, aggs)
     else:
-        q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).cast("array<double>")
-    out = df.groupBy(*by).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select(*by, "count", "mean", "std", "min", F.get("_q", 0).alias("p25"),
-                      F.get("_q", 1).alias("p50"), F.get("_q", 2).alias("p75"), "max")
+        q = F.percentile_approx("v", probs, 10000).cast("array<double>")
+        out = df.select(*by, F.col(value).cast("double").alias("v")).groupBy(*by).agg(*aggs, q.alias("q"))
+    return out.select(*by, "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"),
+                      F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max")
 
 
 def group_mean_sum(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -58,16 +61,30 @@ def confusion_share(df: DataFrame, by: str, y_true: str, y_pred: str) -> DataFra
                     (F.coalesce("n", F.lit(0)) / F.col("_total")).alias("share"))
 
 
+#: Hash buckets of the first pass of ``top_ngrams``, and those looked into first.
+GRAM_BUCKETS = 1 << 18
+FIRST_BUCKETS = 1 << 12
+
+
 def top_ngrams(df: DataFrame, text: str, n: int = 4, k: int = 10) -> DataFrame:
-    """The k most frequent word n-grams as a percent of all n-grams.
-    Partial aggregation per gram, total as a scalar subquery, then a bounded
-    top-k (ties broken by the gram)."""
+    """The k most frequent word n-grams as a percent of all n-grams, ties by the gram. Exact, in three
+    passes that never shuffle the distinct n-grams: (1) occurrences per hash bucket, an upper bound for every
+    gram of the bucket; (2) exact counts of the grams of the largest buckets, whose k-th count is
+    a lower bound of the true one; (3) exact counts of the grams of all buckets that reach it, of which the top k are taken."""
     from mixlab.functions.text import word_ngrams
 
     grams = df.select(F.explode(word_ngrams(text, n)).alias("ngram"))
-    counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.select(F.sum("n")).scalar()
-    return counts.withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "ngram").limit(k)
+    grams = grams.withColumn("_b", F.pmod(F.xxhash64("ngram"), F.lit(GRAM_BUCKETS)).cast("int"))
+    totals = grams.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # GRAM_BUCKETS rows at most
+
+    def top(buckets: DataFrame) -> DataFrame:
+        inside = grams.join(F.broadcast(buckets.select("_b")), "_b", "left_semi")
+        return inside.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ngram").limit(k)
+
+    first = top(totals.orderBy(F.desc("_c"), "_b").limit(max(FIRST_BUCKETS, k)))
+    least = first.agg(F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(F.lit(0)).alias("least")).scalar()
+    total = totals.select(F.sum("_c")).scalar()
+    return top(totals.where(F.col("_c") >= least)).withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "ngram")
 
 
 def length_stats(df: DataFrame, length: str) -> DataFrame:

@@ -202,15 +202,16 @@ def q_softmax(spark, sf):
 
 
 @register("multi_hot", sql="""
-WITH l AS (SELECT d.doc_id, [d.lang, 'q' || CAST(l.quality AS VARCHAR)] AS labels
-           FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+WITH l AS (SELECT d.doc_id, [d.lang, 'q' || CAST(coalesce(l.quality, d.doc_id % 2) AS VARCHAR)] AS labels
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 v AS (SELECT list_sort(list_distinct(flatten(list(labels)))) AS vocab FROM l)
 SELECT doc_id, array_to_string(list_transform(vocab, lambda x: CASE WHEN list_contains(labels, x) THEN 1 ELSE 0 END), ',') AS multi_hot
 FROM l, v""")
 def q_multi_hot(spark, sf):
     t = Tables(spark, sf)
-    l = t.documents.join(t.labels, "doc_id").select(
-        "doc_id", F.array("lang", F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("labels"))
+    quality = F.coalesce(F.col("quality").cast("long"), F.col("doc_id") % 2)  # as in the views: not every document is labelled
+    l = t.documents.join(t.labels, "doc_id", "left").select(
+        "doc_id", F.array("lang", F.concat(F.lit("q"), quality.cast("string"))).alias("labels"))
     distinct = l.select(F.explode("labels").alias("x")).distinct()  # the vocabulary alone is gathered
     vocab = distinct.select(F.sort_array(F.collect_list("x"))).scalar()
     l = l.withColumn("vocab", vocab)

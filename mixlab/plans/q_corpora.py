@@ -45,7 +45,7 @@ WITH base AS (SELECT d.doc_id AS d, d.text, d.lang, b.text AS claim FROM documen
               JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 fever0 AS (SELECT * FROM (
   SELECT {SPLITS_SQL}[['train', 'test', 'validation'][CAST(floor(d / 3) AS BIGINT) % 3 + 1]] AS split, claim,
-         array_to_string(list_transform(str_split(text, '.')[1:3], lambda p: replace(replace(p, '-LRB-', '('), '-RRB-', ')')), chr(10)) AS context,
+         array_to_string(list_transform(str_split(text, '.'), lambda p: replace(replace(p, '-LRB-', '('), '-RRB-', ')')), chr(10)) AS context,
          CAST(d AS VARCHAR) AS context_id,
          CAST(['SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO'][d % 3 + 1] = 'SUPPORTS' AS INTEGER) AS label, CAST(NULL AS VARCHAR) AS meta
   FROM base) WHERE {_blank_ok('context')} AND {_blank_ok('claim')}),
@@ -110,9 +110,9 @@ qc AS (SELECT * FROM (
   LEFT JOIN seg s ON s.sid = q.sid WHERE len(q.answers) > 0)
   WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')}),
 rp0 AS (SELECT * FROM (
-  SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, pieces[3] AS answer,
-         pieces[1] || chr(10) || pieces[2] AS context, CAST(c * 1000000 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta
-  FROM qb WHERE len(pieces) >= 3)
+  SELECT CASE WHEN c % 4 = 0 THEN 'test' ELSE 'train' END AS split, question, p[len(p)] AS answer,
+         p[1] || chr(10) || array_to_string(p[2:len(p) - 1], '.') AS context, CAST(c * 1000000 + t AS VARCHAR) AS context_id, CAST(NULL AS VARCHAR) AS meta
+  FROM (SELECT *, list_filter(pieces, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS p FROM qb) WHERE len(p) >= 3)
   WHERE {_blank_ok('context')} AND {_blank_ok('question')} AND {_blank_ok('answer')})
 SELECT 'narrativeqa' AS dataset_name, split, 'qa' AS task, question, answer, context, context_id, meta FROM narr
 UNION ALL SELECT 'coqa', split, 'qa', question, answer, context, context_id, meta FROM coqa

@@ -80,12 +80,13 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5(concat(CAST(id
 s AS (SELECT dr.*, size FROM dr, (SELECT unnest([100, 200]) AS size) z WHERE dr <= size),
 m AS (SELECT *, row_number() OVER (PARTITION BY run, size ORDER BY md5(concat(CAST(id AS VARCHAR), '-', '42', '-', CAST(run AS VARCHAR), '-', CAST(size AS VARCHAR))), id) AS r,
              count(*) OVER (PARTITION BY run, size) AS n FROM s),
-f AS (SELECT m.*, frac FROM m, (SELECT unnest([0.0, 0.5, 0.95, 0.975, 1.0]::DOUBLE[]) AS frac) q)
-SELECT size, run, frac, id, CASE WHEN r <= floor(n * frac) THEN syn_label ELSE label END AS label,
-       r <= floor(n * frac) AS synthetic FROM f""", fx=["fx_fv"])
+f AS (SELECT m.*, frac FROM m, (SELECT unnest([0.0, 0.5, 0.95, 0.975, 1.0]::DOUBLE[]) AS frac) q),
+o AS (SELECT size, run, frac, id, context || ' | ' || CASE WHEN r <= floor(n * frac) THEN syn_claim ELSE claim END AS text,
+             CASE WHEN r <= floor(n * frac) THEN syn_label ELSE label END AS label, r <= floor(n * frac) AS synthetic FROM f)
+SELECT *, false AS small FROM o UNION ALL SELECT *, true FROM o WHERE frac < 1 AND NOT synthetic""", fx=["fx_fv"])
 def q_size_sweep(spark, sf):
     s = mx.size_sweep(fx.fx_fv(Tables(spark, sf)), "fv", sizes=[100, 200], runs=3, by=())
-    return s.select("size", "run", "frac", "id", "label", "synthetic")
+    return s.select("size", "run", "frac", "id", "text", "label", "synthetic", "small")
 
 
 @register("replacement_value", sql="""
@@ -95,16 +96,19 @@ base_rows AS (SELECT b.base, r.id FROM b JOIN r ON r.r <= b.base),
 real_rows AS (SELECT base, id FROM (
   SELECT b.base, f.id, row_number() OVER (PARTITION BY b.base ORDER BY md5(concat(CAST(f.id AS VARCHAR), '-', '42', '-', 'real', '-', CAST(b.base AS VARCHAR))), f.id) AS q
   FROM b, fx_fv f) WHERE q <= 20),
-adds AS (SELECT unnest([0, 1, 2, 3]) AS i)
+adds AS (SELECT unnest([0, 1, 2, 3]) AS i), o AS (
 SELECT base AS base_size, 'train' AS variant, id, true AS synthetic FROM base_rows
 UNION ALL SELECT base, 'real_train', id, true FROM base_rows
 UNION ALL SELECT base, 'real_train', id, false FROM real_rows
 UNION ALL SELECT b.base, 'synth_' || CAST(a.i AS VARCHAR) || '_train', br.id, true FROM b, adds a JOIN base_rows br ON true WHERE br.base = b.base
 UNION ALL SELECT b.base, 'synth_' || CAST(a.i AS VARCHAR) || '_train', r.id, true
-  FROM b, adds a JOIN r ON true WHERE r.r > b.base AND r.r <= b.base + 20 * (a.i + 1)""", fx=["fx_fv"])
+  FROM b, adds a JOIN r ON true WHERE r.r > b.base AND r.r <= b.base + 20 * (a.i + 1))
+SELECT o.*, f.context || ' | ' || CASE WHEN synthetic THEN f.syn_claim ELSE f.claim END AS text,
+       CASE WHEN synthetic THEN f.syn_label ELSE f.label END AS label
+FROM o JOIN fx_fv f USING (id)""", fx=["fx_fv"])
 def q_replacement_value(spark, sf):
     m = mx.replacement_value(fx.fx_fv(Tables(spark, sf)), "fv", base_sizes=[300, 200, 100], real_add=20, by=())
-    return m.select("base_size", "variant", "id", "synthetic")
+    return m.select("base_size", "variant", "id", "text", "label", "synthetic")
 
 
 @register("manifest", sql="""

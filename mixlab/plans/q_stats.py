@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mixlab.functions import text as tx
+from mixlab.functions.selection import quantiles
 from mixlab.operators import cleaning as cl
 from mixlab.operators import metrics as mt
 from mixlab.operators import sampling as sm
@@ -110,8 +111,8 @@ SELECT cohort, count(*) AS n, round(avg(output), 6) AS mean, round(median(output
 FROM c WHERE cohort IS NOT NULL GROUP BY cohort""", fx=["fx_scores"])
 def q_quartile_contrast(spark, sf):
     c = st.quartile_contrast(fx.fx_scores(Tables(spark, sf)), "output")
-    return rounded(c.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg("output").alias("mean"),
-                                           F.median("output").alias("median")))
+    q = quantiles(c, "output", [0.5], ["cohort"], [F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")])
+    return rounded(q.select("cohort", "n", "mean", F.get("q", F.lit(0)).alias("median")))
 
 
 @register("threshold_metrics", sql=f"""

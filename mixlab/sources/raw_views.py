@@ -24,8 +24,7 @@ def fv_base(t: Tables) -> DataFrame:
 
 def fever_raw(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    ev = F.transform(F.slice(F.split("text", r"[.]"), 1, 3),
-                     lambda p, i: F.array(d.cast("string"), i.cast("string"), p))
+    ev = F.transform(F.split("text", r"[.]"), lambda p, i: F.array(d.cast("string"), i.cast("string"), p))
     return fv_base(t).select(d.alias("id"), "claim", _pick(["SUPPORTS", "REFUTES", "NOT ENOUGH INFO"], d % 3).alias("label"),
                              ev.alias("evidence"), _pick(["train", "test", "validation"], F.floor(d / 3) % 3).alias("split"))
 
@@ -95,8 +94,10 @@ def qaconv_raw(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def ropes_raw(t: Tables) -> DataFrame:
-    q = qa_base(t)
-    return q.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.get("pieces", 0).alias("background"),
-                    F.get("pieces", 1).alias("situation"), "question",
-                    F.struct(F.filter(F.array(F.get("pieces", 2)), lambda x: x.isNotNull()).alias("text")).alias("answers"),
+    # every piece that is not blank is used: the first, those between, the last
+    q = qa_base(t).withColumn("p", F.filter("pieces", lambda x: strip_ws(x) != ""))
+    between = F.array_join(F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0))), ".")
+    return q.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.get("p", F.lit(0)).alias("background"),
+                    between.alias("situation"), "question",
+                    F.struct(F.when(F.size("p") >= 3, F.slice("p", -1, 1)).otherwise(F.slice("p", 1, 0)).alias("text")).alias("answers"),
                     F.when(F.col("conv_id") % 4 == 0, F.lit("validation")).otherwise(F.lit("train")).alias("split"))
