@@ -50,19 +50,36 @@ def _grams_sql(tok: str, max_n: int) -> str:
             f"ELSE CAST(array() AS {GRAM_TYPE}) END)")
 
 
+def _near_sql(piece_toks: str, max_n: int) -> str:
+    """Per piece: whether it shares a gram of its highest order (``max_n``, or its length if
+    shorter) with any text. The scores have no smoothing, so a piece without one has score 0. Single tokens are
+    compared first, as they cost no grams."""
+    return (f"transform({piece_toks}, _t_ -> arrays_overlap(_t_, _v.theirs) AND ({max_n} = 1 OR size(_t_) = 1 OR arrays_overlap("
+            f"transform(sequence(1, greatest(1, size(_t_) - {max_n} + 1)), _i_ -> array_join(slice(_t_, _i_, {max_n}), ' ')), _v.high)))")
+
+
+def _high_sql(pred_toks: list[str], max_n: int) -> str:
+    """Grams of two tokens and more of all texts; a piece of fewer tokens than ``max_n`` is one of them as a whole."""
+    if max_n == 1:
+        return "CAST(array() AS array<string>)"
+    parts = [f"flatten(transform(filter(sequence(2, {max_n}), _n_ -> _n_ <= coalesce(size({t}), 0)), _n_ -> "
+             f"transform(sequence(1, size({t}) - _n_ + 1), _i_ -> array_join(slice({t}, _i_, _n_), ' '))))" for t in pred_toks]
+    return "concat(" + ", ".join(parts) + ")"
+
+
 def _stream_sql(pieces: str, piece_toks: str, preds: list[str], pred_toks: list[str], pred_words: list[str],
                 max_n: int) -> str:
     """SQL-expression twin of ``_stream`` (same elements, one round trip)."""
     safe = f"coalesce({pieces}, CAST(array() AS array<string>))"
-    # a piece that shares no token with any text never scores: its grams are not built
-    theirs = "concat(" + ", ".join(f"coalesce({t}, CAST(array() AS array<string>))" for t in pred_toks) + ")"
+    # ``_near``: the pieces that can score, the others' grams are not built
     refs = (f"flatten(transform(coalesce({piece_toks}, CAST(array() AS array<array<string>>)), (_t_, _s_) -> "
-            f"transform(CASE WHEN arrays_overlap(_t_, {theirs}) THEN {_grams_sql('_t_', max_n)} "
+            f"transform(CASE WHEN _near[_s_] THEN {_grams_sql('_t_', max_n)} "
             f"ELSE CAST(array() AS {GRAM_TYPE}) END, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_REF}, "
             f"'idx', _s_, 'len', size(_t_), 'el', CAST(NULL AS INT)))))")
     parts = [refs]
     for k, t in enumerate(pred_toks):
-        parts.append(f"transform({_grams_sql(t, max_n)}, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_PRED}, "
+        parts.append(f"transform(CASE WHEN exists(_near, _b_ -> _b_) THEN {_grams_sql(t, max_n)} "
+                     f"ELSE CAST(array() AS {GRAM_TYPE}) END, _x_ -> named_struct('n', _x_.n, 'g', _x_.g, 'side', {_SIDE_PRED}, "
                      f"'idx', {k}, 'len', size({t}), 'el', CAST(NULL AS INT)))")
     metas = [f"named_struct('n', 0, 'g', CAST(NULL AS STRING), 'side', {_SIDE_VMETA}, 'idx', {k}, "
              f"'len', coalesce(size({w}), -1), 'el', CAST(array_position({safe}, {p}) - 1 AS INT))"
@@ -87,6 +104,11 @@ def _score(base: DataFrame, ids: list[str], pieces: Column, preds: Sequence[Colu
                       *[p.alias(f"_q{k}") for k, p in enumerate(preds)],
                       *[tokenizer(p).alias(f"_qt{k}") for k, p in enumerate(preds)],
                       *[words(p).alias(f"_qw{k}") for k, p in enumerate(preds)])
+    qts = [f"_qt{k}" for k in range(K)]
+    theirs = "concat(" + ", ".join(f"coalesce({t}, CAST(array() AS array<string>))" for t in qts) + ")"
+    # made once a row: behind a generator the optimizer does not move them into the lambda over pieces
+    once = F.array(F.struct(F.expr(theirs).alias("theirs"), F.expr(_high_sql(qts, max_n)).alias("high")))
+    tok = tok.select("*", F.explode(once).alias("_v")).select("*", F.explode(F.array(F.expr(_near_sql("_ptoks", max_n)))).alias("_near")).drop("_v")
     g = tok.select(*ids, F.inline(F.expr(_stream_sql(
         "_pieces", "_ptoks", [f"_q{k}" for k in range(K)], [f"_qt{k}" for k in range(K)],
         [f"_qw{k}" for k in range(K)], max_n))))
