@@ -432,22 +432,28 @@ def _counted(sequences: DataFrame, candidates: DataFrame, words: int, min_count:
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie: Trie = shared.value
-            total = np.zeros(len(trie.check), dtype=np.int64)
+            order = np.argsort(trie.accepting)
+            accepting = trie.accepting[order]
+            total = np.zeros(len(order), dtype=np.int64)  # a count a phrase: the states of a trie are many more
             held, size = [], 0
+
+            def add() -> None:
+                total[:] += np.bincount(np.searchsorted(accepting, np.concatenate(held)), minlength=len(total))
+
             for batch in batches:
                 for lang, text in zip(batch.column(0), batch.column(1)):
                     lang, x = lang.as_py(), np.frombuffer(text.as_buffer(), np.uint64)
                     held.append(trie.states(lang, x, words, _places(lang, x, words, parts.value, hot)[0]))
                     size += len(held[-1])
                     if size > CACHED_WORDS:
-                        total += np.bincount(np.concatenate(held), minlength=len(total))
+                        add()
                         held, size = [], 0
             if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-            total = total[trie.accepting]
+                add()
             seen = np.flatnonzero(total)
             if len(seen):
-                yield pa.RecordBatch.from_arrays([trie.lang.take(pa.array(seen)).cast(pa.string()), trie.phrases.take(pa.array(seen)), pa.array(total[seen])], names=["lang", "codes", "n"])
+                at = pa.array(order[seen])
+                yield pa.RecordBatch.from_arrays([trie.lang.take(at).cast(pa.string()), trie.phrases.take(at), pa.array(total[seen])], names=["lang", "codes", "n"])
 
         part = saved(sequences.mapInArrow(count, "lang string, codes binary, n long").groupBy("lang", "codes").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrases")
         shared.destroy()
