@@ -6,10 +6,10 @@ one). Then, for each length from two words up:
 
 1. Phrases whose parts are all frequent (Apriori) are counted into a table of hash buckets of a fixed size, which is
    summed over all tasks. A phrase in a bucket below the minimum cannot be frequent. What is left is counted into other
-   buckets once more.
+   buckets twice more.
 2. The different phrases that pass both filters are the candidates. Filters are bit tables of a fixed size, so they may let
    more through, never less.
-3. Candidates are put in double-array tries of at most ``TRIE_PHRASES`` each. A trie is broadcast; numpy moves the
+3. Candidates are put in double-array tries of a bounded size (``TRIE_PHRASES``). A trie is broadcast; numpy moves the
    states of all text positions on together, word by word, and counts the accepting states; the counts of all
    tasks are summed. That count is exact and decides.
 
@@ -39,10 +39,10 @@ TOP = 2000
 COVERED_PERCENT = 50
 #: Languages of texts without one.
 NO_LANG = "und"
-#: Phrases of a trie; more candidates take more tries, each with a pass over the written sequences.
+#: Phrases of two words in a trie, a third of that for three; more candidates take more tries, each with a pass over the written sequences.
 TRIE_PHRASES = 500_000
 #: Bucket counts of a length, each of what passed the one before.
-STAGES = 2
+STAGES = 3
 #: Buckets of a count, a byte each, and bits of the filter of frequent phrases.
 BUCKETS = 1 << 24
 FILTER_BITS = 1 << 25
@@ -382,8 +382,10 @@ def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
 
 
 def _bucket(key: np.ndarray, stage: int) -> np.ndarray:
-    """Bucket of a phrase's hash; the stages use different bits of it."""
-    return _place(key, BUCKETS) if stage == 0 else (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+    """Bucket of a phrase's hash; the stages hash it anew."""
+    for _ in range(stage):
+        key = (key ^ (key >> np.uint64(29))) * _GOLD
+    return _place(key, BUCKETS)
 
 
 def _places(lang: str, codes: np.ndarray, words: int, parts: np.ndarray, hot: list) -> tuple[np.ndarray, np.ndarray]:
@@ -396,15 +398,15 @@ def _places(lang: str, codes: np.ndarray, words: int, parts: np.ndarray, hot: li
     return at, key
 
 
-def _shards(candidates: DataFrame) -> tuple[DataFrame, int]:
-    """The candidates with a shard each, none of more than ``TRIE_PHRASES``: by last word, which keeps families of
+def _shards(candidates: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The candidates with a shard each, none of more than ``most``: by last word, which keeps families of
     children close in a trie, and a shard that is too large by phrase as well."""
     last = F.xxhash64("lang", F.substring("codes", -8, 8))
-    n = max(1, -(-2 * candidates.count() // TRIE_PHRASES))
+    n = max(1, -(-2 * candidates.count() // most))
     dealt = candidates.withColumn("shard", F.pmod(last, F.lit(n)).cast("int"))
     for depth in range(8):
         sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row a shard
-        large = {k: -(-2 * c // TRIE_PHRASES) for k, c in sizes.items() if c > TRIE_PHRASES}
+        large = {k: -(-2 * c // most) for k, c in sizes.items() if c > most}
         if not large:
             break
         split, start = F.lit(None), max(sizes) + 1
@@ -420,7 +422,7 @@ def _shards(candidates: DataFrame) -> tuple[DataFrame, int]:
 def _counted(sequences: DataFrame, candidates: DataFrame, words: int, min_count: int, parts, hot) -> DataFrame:
     """(lang, codes, n) of the candidates that occur ``min_count`` times: their exact number, by tries."""
     spark = sequences.sparkSession
-    dealt, shards = _shards(candidates)
+    dealt, shards = _shards(candidates, max(1, 2 * TRIE_PHRASES // words // (words - 1)))
     out = None
     for shard in range(shards):
         own = dealt.where(F.col("shard") == shard).select("lang", "codes").toArrow().combine_chunks()  # TRIE_PHRASES rows at most
