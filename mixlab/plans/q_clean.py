@@ -219,6 +219,25 @@ def q_multi_hot(spark, sf):
     return l.select("doc_id", F.array_join(F.transform(mh, lambda x: x.cast("int").cast("string")), ",").alias("multi_hot"))
 
 
+@register("label_id", sql="""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN -1 WHEN lang = 'de' THEN 0 WHEN lang = 'en' THEN 1 WHEN lang = 'fr' THEN 2 END AS label_id FROM documents""")
+def q_label_id(spark, sf):
+    """F15 for one label: the marker -1 is kept, a label that training lacks is NULL."""
+    label = F.when(F.col("doc_id") % 7 == 0, F.lit("-1")).otherwise(F.col("lang"))
+    return Tables(spark, sf).documents.select("doc_id", cl.label_id(label, ["de", "en", "fr"]).alias("label_id"))
+
+
+@register("display_name", sql="""
+SELECT DISTINCT context_id, CASE WHEN strpos(path, 'wanli') > 0 THEN 'WANLI' WHEN strpos(path, 'fever') > 0 THEN 'FEVER' ELSE path END AS name
+FROM (SELECT doc_id AS context_id, CASE doc_id % 3 WHEN 0 THEN 'exp/fever/run_' || lang WHEN 1 THEN 'exp/wanli/run_' || lang ELSE 'exp/' || source END AS path FROM documents)""")
+def q_display_name(spark, sf):
+    """F16: display name of the corpus a path names, else the path."""
+    d = F.col("doc_id")
+    path = (F.when(d % 3 == 0, F.concat(F.lit("exp/fever/run_"), "lang")).when(d % 3 == 1, F.concat(F.lit("exp/wanli/run_"), "lang"))
+            .otherwise(F.concat(F.lit("exp/"), "source")))
+    return Tables(spark, sf).documents.select(d.alias("context_id"), cl.display_name(path).alias("name")).distinct()
+
+
 @register("path_columns", sql="SELECT doc_id, 'documents' AS table_name FROM documents")
 def q_path_columns(spark, sf):
     """Scan a table keeping its file path; the table name is cut out of the path."""

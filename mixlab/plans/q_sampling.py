@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from mixlab.functions.keys import dense_id
 from mixlab.operators import sampling as sm
 from mixlab.plans.registry import register
@@ -76,6 +78,18 @@ def q_complement(spark, sf):
     return sm.complement(f, sm.sample_frac(f, 0.3, by=["dataset_name"]))
 
 
+@register("top_fraction", sql="""
+WITH r AS (SELECT id, output, row_number() OVER (ORDER BY output DESC NULLS LAST, id) AS r, count(*) OVER () AS n FROM fx_scores)
+SELECT 'top' AS part, id, output FROM r WHERE r <= floor(n * 0.1)
+UNION ALL SELECT 'bottom', id, output FROM r WHERE r > floor(n * (1.0 - 0.1))""", fx=["fx_scores"])
+def q_top_fraction(spark, sf):
+    """The leading and the trailing tenth by score."""
+    s = fx.fx_scores(Tables(spark, sf)).select("id", "output")
+    top, bottom = sm.top_fraction(s, "output", 0.1), sm.top_fraction(s, "output", 0.1, top=False)
+    cols = ["part", "id", "output"]
+    return top.withColumn("part", F.lit("top")).select(*cols).unionByName(bottom.withColumn("part", F.lit("bottom")).select(*cols))
+
+
 @register("repeat_draws", sql=f"""
 WITH d AS (SELECT id, run, size FROM fx_fv, (SELECT unnest([0, 1, 2]) AS run) r, (SELECT unnest([100, 200]) AS size) s)
 SELECT run, size, id FROM (SELECT run, size, id, {rk('run, size', salt='run,size')} AS r FROM d) WHERE r <= size""",
