@@ -49,7 +49,9 @@ FILTER_BITS = 1 << 25
 BLOCK = 1 << 16
 #: Characters read together by a worker: more texts repeat more words.
 READ_CHARS = 1 << 20
-#: Words that a worker counts before it passes the counts on.
+#: Different words that a worker counts before it passes the counts on; they are Python objects.
+HELD_WORDS = 100_000
+#: Phrases or places that a worker holds in arrays before it passes them on.
 CACHED_WORDS = 200_000
 #: Piece ends and blanks, A-Z in lower case.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -115,7 +117,7 @@ def _read_texts(docs: DataFrame, seed: int, lang_col: str, text_col: str) -> Dat
                     held.clear()
                     size = 0
                     pa.default_memory_pool().release_unused()
-            if sum(len(x[0]) for x in found.values()) > CACHED_WORDS:
+            if sum(len(x[0]) for x in found.values()) > HELD_WORDS:
                 yield from emit()
                 found.clear()
         yield from read_held()
@@ -378,7 +380,7 @@ def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
         state = (base[parent].astype(np.int64) + child)[inverse]
     end = top + width + 1
     grow(end)
-    return Trie(words, ranks, {x: k for k, x in enumerate(langs.tolist())}, base[:end], check[:end], state)
+    return Trie(words, ranks, {x: k for k, x in enumerate(langs.tolist())}, base[:end], check[:end], state.astype(np.int32))
 
 
 def _bucket(key: np.ndarray, stage: int) -> np.ndarray:
