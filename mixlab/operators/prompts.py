@@ -125,39 +125,42 @@ def curated_examples(df: DataFrame, task: str, per_group: int = 10, seed: int =
     return sample_per_group(keyed, "_g", per_group, seed, id_col).drop("_g", "sample_rank")
 
 
+# Primes whose product is beyond any row count, so that one of them divides no given count.
+STRIDES = [101, 103, 107, 109, 113, 127, 131, 137, 139, 149]
+
+
 def few_shot_explained(df: DataFrame, curated: DataFrame, task: str, k: int = K_EXAMPLES, seed: int = DEFAULT_SEED,
                        by: Sequence[str] = ("dataset_name",), id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """K examples per row from the curated table of the same dataset (and
-    label for fv), ranked by md5(row id, example id). The curated table is
-    bounded per group, so the candidate join emits at most that many rows
-    per input row; it is broadcast."""
+    """(messages (id, pos, role, content), rejects (id)): k examples per row from the table of explained rows of
+    the same dataset (and label for fv), of any size.
+
+    The pool is ranked once within its groups by the seeded key. A row starts at a hashed rank and steps on by a
+    hashed stride, a prime that does not divide the group's size m: so its k examples are distinct, and no candidate beside them
+    is looked at. A row that stands in the pool itself steps over its own rank. Rows of groups without
+    k (other) examples, and rows without a group, are rejects. Ids are unique.
+    """
     group = [*by, "label"] if task == "fv" else list(by)
     cols = ["context", "explanation", "question", "answer"] if task == "qa" else ["context", "explanation", "claim", "label"]
-    cur = curated.select(*group, F.col(id_col).alias("_ex_id"), *[F.col(c).alias(f"ex_{c}") for c in cols])
-    cand = df.select(id_col, *group).join(F.broadcast(cur), group)
-    cand = cand.withColumn("_k", F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.col("_ex_id").cast("string"),
-                                                   F.lit(str(seed)))))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(id_col).orderBy("_k", "_ex_id")
-    ex = cand.withColumn("j", F.row_number().over(w)).filter(F.col("j") <= k)
-    have = ex.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c"))
-    full = have.filter(F.col("_c") == k).select(id_col)
-    rows = df.join(full, id_col).select(id_col, "context", *(["label"] if task == "fv" else []))
-    exk = ex.join(full, id_col).select(id_col, "j", *[f"ex_{c}" for c in cols])
-    rejects = df.select(id_col).join(full, id_col, "left_anti")
-    label = F.col("label") if task == "fv" else None
-    head = rows.select(id_col, F.explode(F.array(
-        F.struct(F.lit(0).alias("pos"), F.lit("system").alias("role"),
-                 system_message(task, True, label).alias("content")),
-        F.struct(F.lit(2 * k + 1).alias("pos"), F.lit("user").alias("role"),
-                 context_message("context").alias("content")))).alias("m")).select(id_col, "m.*")
-    shots = exk.select(id_col, F.explode(F.array(
-        F.struct((2 * F.col("j") - 1).alias("pos"), F.lit("user").alias("role"),
-                 context_message("ex_context").alias("content")),
-        F.struct((2 * F.col("j")).alias("pos"), F.lit("assistant").alias("role"),
-                 answer_message(task, True, "ex_").alias("content")))).alias("m")).select(id_col, "m.*")
-    return head.unionByName(shots), rejects
+    pool = exact_rank(curated, order_key(id_col, seed), tiebreak=[id_col], partition_by=group, name="_pr", size_name="_m")
+    sizes = curated.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
+    own = pool.select(id_col, (F.col("_pr") - 1).alias("_own"), *[F.col(g).alias(f"_o_{g}") for g in group])
+    rows = df.select(id_col, *group).join(sizes, group, "left").join(own, id_col, "left")
+    for g in group:  # a row's own rank counts in its own group only
+        rows = rows.withColumn("_own", F.when(F.col(g) == F.col(f"_o_{g}"), F.col("_own"))).drop(f"_o_{g}")
+    enough = F.coalesce(F.col("_m") - F.col("_own").isNotNull().cast("int") >= k, F.lit(False))
+
+    h = order_key(id_col, seed, F.lit("examples"))
+    number = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    strides = F.filter(F.array(*[F.lit(p).cast("long") for p in STRIDES]), lambda p: F.col("_m") % p != 0)
+    stepped = rows.where(enough).withColumn("_s", strides).withColumn("_step", F.get("_s", (number(9) % F.size("_s")).cast("int")))
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: (number(1) + j * F.col("_step")) % F.col("_m"))
+    others = F.slice(F.filter(ranks, lambda r: F.col("_own").isNull() | (r != F.col("_own"))), 1, k)
+    want = stepped.select(id_col, *group, F.posexplode(others).alias("_j", "_at")).select(
+        id_col, *group, (F.col("_j") + 1).alias("j"), (F.col("_at") + 1).alias("_pr"))
+    texts = pool.select(*group, "_pr", *[F.col(c).alias(f"ex_{c}") for c in cols])
+    ex = want.join(texts, [*group, "_pr"]).select(id_col, "j", *[f"ex_{c}" for c in cols])
+    full = df.join(rows.where(enough).select(id_col), id_col, "left_semi").select(id_col, "context", *(["label"] if task == "fv" else []))
+    return _messages_long(full, ex, task, True, k, id_col), rows.where(~enough).select(id_col)
 
 
 def requests(messages: DataFrame, df: DataFrame, by: Sequence[str] = ("dataset_name",), id_col: str = "id",

@@ -10,7 +10,7 @@ from mixlab.operators import sampling as sm
 from mixlab.plans.oracle_fixtures import all_words_sql, words_sql
 from mixlab.plans.q_sampling import cnt, rk
 from mixlab.plans.registry import register
-from mixlab.plans.sql_parse import fv_stages
+from mixlab.plans.sql_parse import fv_stages, qa_stages
 from mixlab.sources import fixtures as fx
 from mixlab.sources.tables import Tables
 
@@ -30,6 +30,10 @@ SYS_FV = lit(pr.SYSTEM[("fv", False)])
 SYS_FVX = lit(pr.SYSTEM[("fv", True)])
 ANS_FV = lit(pr.ANSWER_TEMPLATE[("fv", False)])
 ANS_FVX = lit(pr.ANSWER_TEMPLATE[("fv", True)])
+SYS_QA = lit(pr.SYSTEM[("qa", False)])
+SYS_QAX = lit(pr.SYSTEM[("qa", True)])
+ANS_QA = lit(pr.ANSWER_TEMPLATE[("qa", False)])
+ANS_QAX = lit(pr.ANSWER_TEMPLATE[("qa", True)])
 LAB_SYS = f"CASE WHEN label = 1 THEN {lit(pr.LABEL_TRUE_SYSTEM)} ELSE {lit(pr.LABEL_FALSE_SYSTEM)} END"
 LAB_ANS = f"CASE WHEN ex_label = 1 THEN {lit(pr.LABEL_TRUE_ANSWER)} ELSE {lit(pr.LABEL_FALSE_ANSWER)} END"
 
@@ -62,27 +66,70 @@ def q_few_shot_rejects(spark, sf):
     return pr.few_shot(_fv(spark, sf), "fv")[1]
 
 
-@register("few_shot_explained", sql=f"""
-WITH x AS (SELECT *, {all_words_sql('syn_claim')} AS explanation FROM fx_fv),
-cur AS (SELECT * FROM (SELECT *, {rk('dataset_name, label')} AS cr FROM x) WHERE cr <= 10),
-cand AS (SELECT x.id, x.dataset_name, x.label, x.context, c.id AS ex_id, c.context AS ex_context, c.explanation AS ex_explanation,
-                c.claim AS ex_claim, c.label AS ex_label,
-                row_number() OVER (PARTITION BY x.id ORDER BY md5(concat_ws('-', CAST(x.id AS VARCHAR), CAST(c.id AS VARCHAR), '42')), c.id) AS j
-         FROM x JOIN cur c ON c.dataset_name = x.dataset_name AND c.label = x.label),
-ex AS (SELECT * FROM cand WHERE j <= 3),
-full_ AS (SELECT id FROM ex GROUP BY id HAVING count(*) = 3),
-rows_ AS (SELECT x.* FROM x JOIN full_ USING (id))
-SELECT id, 0 AS pos, 'system' AS role, replace({SYS_FVX}, '[LABEL]', {LAB_SYS}) AS content FROM rows_
-UNION ALL SELECT id, 7, 'user', {ctx_sql('context')} FROM rows_
-UNION ALL SELECT id, CAST(2 * j - 1 AS INTEGER), 'user', {ctx_sql('ex_context')} FROM ex WHERE id IN (SELECT id FROM full_)
-UNION ALL SELECT id, CAST(2 * j AS INTEGER), 'assistant',
-  {URL_SQL.format(x=f"replace(replace(replace({ANS_FVX}, '[CLAIM]', ex_claim), '[LABEL]', {LAB_ANS}), '[EXPLANATION]', ex_explanation)")}
-FROM ex WHERE id IN (SELECT id FROM full_)""", fx=["fx_fv"])
+def explained_sql(task, src, pool):
+    """Messages of G3 over src(id, dataset_name, ...) and the pool of explained rows."""
+    group = ["dataset_name", "label"] if task == "fv" else ["dataset_name"]
+    names = ", ".join(group)
+    h = "md5(concat(CAST(x.id AS VARCHAR), '-', '42', '-', 'examples'))"
+    number = lambda at: f"CAST('0x' || substr({h}, {at}, 8) AS BIGINT)"
+    system = f"replace({SYS_FVX}, '[LABEL]', {LAB_SYS})" if task == "fv" else SYS_QAX
+    if task == "fv":
+        answer = f"replace(replace(replace({ANS_FVX}, '[CLAIM]', ex.claim), '[LABEL]', {LAB_ANS.replace('ex_label', 'ex.label')}), '[EXPLANATION]', ex.explanation)"
+    else:
+        answer = f"replace(replace(replace({ANS_QAX}, '[QUESTION]', ex.question), '[ANSWER]', ex.answer), '[EXPLANATION]', ex.explanation)"
+    return f"""x AS ({src}),
+pool AS (SELECT *, {rk(names)} - 1 AS r, {cnt(names)} AS m FROM ({pool})),
+sizes AS (SELECT DISTINCT {names}, m FROM pool),
+ok AS (SELECT x.*, s.m, o.r AS own, list_filter({pr.STRIDES}, lambda p: s.m % p <> 0) AS strides, {number(1)} AS h1, {number(9)} AS h2
+       FROM x JOIN sizes s USING ({names}) LEFT JOIN pool o ON {" AND ".join(f"o.{c} = x.{c}" for c in ["id", *group])}
+       WHERE s.m - CAST(o.r IS NOT NULL AS INTEGER) >= 3),
+st AS (SELECT *, strides[CAST(h2 % len(strides) AS INTEGER) + 1] AS step FROM ok),
+rs AS (SELECT *, list_filter(list_transform([0, 1, 2, 3], lambda j: (h1 + j * step) % m), lambda r: own IS NULL OR r <> own)[1:3] AS ranks FROM st),
+w AS (SELECT id, {names}, unnest([1, 2, 3]) AS j, unnest(ranks) AS at FROM rs),
+exs AS (SELECT w.id, w.j, pool.* EXCLUDE (id, r, m) FROM w JOIN pool ON {" AND ".join(f"pool.{c} = w.{c}" for c in group)} AND pool.r = w.at)
+SELECT id, 0 AS pos, 'system' AS role, {system} AS content FROM ok
+UNION ALL SELECT id, 7, 'user', {ctx_sql('context')} FROM ok
+UNION ALL SELECT id, CAST(2 * j - 1 AS INTEGER), 'user', {ctx_sql('context')} FROM exs
+UNION ALL SELECT id, CAST(2 * j AS INTEGER), 'assistant', {URL_SQL.format(x=answer)} FROM exs ex"""
+
+
+FV_X = f"SELECT *, {all_words_sql('syn_claim')} AS explanation FROM fx_fv"
+QA_X = f"SELECT *, {all_words_sql('meta')} AS explanation FROM fx_qa"
+
+
+@register("few_shot_explained", sql="WITH " + explained_sql("fv", FV_X, FV_X), fx=["fx_fv"])
 def q_few_shot_explained(spark, sf):
+    """Every row is explained, so every group is its pool, whatever its size."""
     f = _fv(spark, sf).withColumn("explanation", F.array_join(words("syn_claim"), " "))
-    cur = pr.curated_examples(f, "fv", 10)
-    msgs, _ = pr.few_shot_explained(f, cur, "fv")
-    return msgs.withColumn("pos", F.col("pos").cast("int"))
+    return pr.few_shot_explained(f, f, "fv")[0].withColumn("pos", F.col("pos").cast("int"))
+
+
+def _qa(spark, sf):
+    return fx.fx_qa(Tables(spark, sf))
+
+
+@register("few_shot_explained_qa", sql="WITH " + explained_sql("qa", QA_X, f"SELECT * EXCLUDE (cr) FROM (SELECT *, {rk('dataset_name')} AS cr FROM ({QA_X})) WHERE cr <= 10"), fx=["fx_qa"])
+def q_few_shot_explained_qa(spark, sf):
+    """Ten curated rows a dataset, some of which are asked for themselves."""
+    f = _qa(spark, sf).withColumn("explanation", F.array_join(words("meta"), " "))
+    return pr.few_shot_explained(f, pr.curated_examples(f, "qa", 10), "qa")[0].withColumn("pos", F.col("pos").cast("int"))
+
+
+FEW_SHOT_QA_CTE = f"""r AS (SELECT *, {rk('dataset_name')} AS r, {cnt('dataset_name')} AS n FROM fx_qa),
+ok AS (SELECT * FROM r WHERE n > 3),
+w AS (SELECT ok.id, ok.dataset_name, j, ((ok.r - 1 + j) % ok.n) + 1 AS pr FROM ok, (SELECT unnest([1, 2, 3]) AS j) jj),
+ex AS (SELECT w.id, w.j, p.context AS ex_context, p.question AS ex_question, p.answer AS ex_answer
+       FROM w JOIN ok p ON p.dataset_name = w.dataset_name AND p.r = w.pr),
+msgs AS (
+  SELECT id, 0 AS pos, 'system' AS role, {SYS_QA} AS content FROM ok
+  UNION ALL SELECT id, 7, 'user', {ctx_sql('context')} FROM ok
+  UNION ALL SELECT id, 2 * j - 1, 'user', {ctx_sql('ex_context')} FROM ex
+  UNION ALL SELECT id, 2 * j, 'assistant', {URL_SQL.format(x=f"replace(replace({ANS_QA}, '[QUESTION]', ex_question), '[ANSWER]', ex_answer)")} FROM ex)"""
+
+
+@register("few_shot_qa", sql=f"WITH {FEW_SHOT_QA_CTE}\nSELECT id, pos, role, content FROM msgs", fx=["fx_qa"])
+def q_few_shot_qa(spark, sf):
+    return pr.few_shot(_qa(spark, sf), "qa")[0]
 
 
 SLICES_CTE = f"""sl AS (SELECT id, dataset_name, r, per,
@@ -104,6 +151,21 @@ def q_requests(spark, sf):
     return pr.requests(msgs, f)
 
 
+SLICES_QA_CTE = SLICES_CTE.replace("fx_fv", "fx_qa")
+
+
+@register("requests_qa", sql=f"""
+WITH {FEW_SHOT_QA_CTE}, {SLICES_QA_CTE},
+b AS (SELECT id, json_object('model', 'gpt-3.5-turbo',
+                             'messages', list(json_object('role', role, 'content', content) ORDER BY pos),
+                             'max_tokens', 120)::VARCHAR AS body FROM msgs GROUP BY id)
+SELECT sl2.id, dataset_name, batch, custom_id, 'POST' AS method, '/v1/chat/completions' AS url, body
+FROM sl2 JOIN b USING (id)""", fx=["fx_qa"])
+def q_requests_qa(spark, sf):
+    q = _qa(spark, sf)
+    return pr.requests(pr.few_shot(q, "qa")[0], q)
+
+
 def _results(spark, sf):
     """Batch results as the service would return them: one JSON line per
     request, completion text taken from the completions view."""
@@ -133,6 +195,23 @@ def q_ingest_results(spark, sf):
     return kept.select("id", "syn_claim", "syn_label")
 
 
+@register("ingest_results_qa", sql=f"""
+WITH {SLICES_CTE}, {qa_stages("SELECT s.id, c.completion AS o FROM sl2 s JOIN fx_completions c USING (id)")}
+SELECT id, question AS syn_question, answer AS syn_answer FROM qa_out WHERE NOT rejected""", fx=["fx_completions"])
+def q_ingest_results_qa(spark, sf):
+    sl, res = _results(spark, sf)
+    kept, _ = pr.ingest(pr.realign(res, sl), "qa")
+    return kept.select("id", "syn_question", "syn_answer")
+
+
+@register("ingest_rejects_qa", sql=f"""
+WITH {SLICES_CTE}, {qa_stages("SELECT s.id, c.completion AS o FROM sl2 s JOIN fx_completions c USING (id)")}
+SELECT q.id, c.completion AS text FROM qa_out q JOIN fx_completions c USING (id) WHERE q.rejected""", fx=["fx_completions"])
+def q_ingest_rejects_qa(spark, sf):
+    sl, res = _results(spark, sf)
+    return pr.ingest(pr.realign(res, sl), "qa")[1].select("id", "text")
+
+
 @register("resume", sql=f"""
 WITH {SLICES_CTE}, {fv_stages("SELECT s.id, c.completion AS o FROM sl2 s JOIN fx_completions c USING (id) WHERE s.batch < 2")}
 SELECT id FROM fx_fv WHERE id NOT IN (SELECT id FROM fv_out WHERE NOT rejected)""", fx=["fx_completions"])
