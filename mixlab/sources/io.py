@@ -16,15 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Header CSV with embedded newlines and doubled quotes."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("quote", '"').csv(path))
-
-
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header CSV without an index column."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, null_value: str | None = None) -> DataFrame:
+    """Header CSV with embedded newlines and doubled quotes. An empty field is NULL, unless ``null_value`` is
+    what stands for NULL in the file."""
+    r = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+         .option("escape", '"').option("quote", '"'))
+    if null_value is not None:
+        r = r.option("nullValue", null_value).option("lineSep", "\n")
+    return r.csv(path)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: Sequence[str] = (),
+              null_value: str | None = None) -> None:
+    """Header CSV without an index column; blanks around a text stay. With ``null_value`` in place of
+    NULL all fields are quoted and empty texts come back as such."""
+    w = df.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"')
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    if null_value is not None:
+        w = w.option("nullValue", null_value).option("quoteAll", True).option("lineSep", "\n")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -40,10 +52,14 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition
     w.json(path)
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
-    """One JSON document mapping id -> record, exploded to rows. Each file
-    is one record of the text source (wholetext); files parallelise."""
-    doc = spark.read.text(path, wholetext=True)
+def read_keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "key", by_line: bool = False) -> DataFrame:
+    """JSON documents mapping id -> record, exploded to rows. Each file is one record of the
+    text source (wholetext); files parallelise. ``by_line``: documents with an entry a line are read
+    line by line, so that one large document is split over tasks."""
+    doc = spark.read.text(path, wholetext=not by_line)
+    if by_line:
+        entry = F.rtrim(F.rtrim(F.trim("value"), F.lit(",")))
+        doc = doc.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value")).where(F.length("value") > 4)
     m = F.from_json(F.col("value"), f"map<string,{value_schema}>")
     return doc.select(F.explode(m).alias(key, "v")).select(key, "v.*")
 
@@ -59,7 +75,8 @@ def scan_dir(spark: SparkSession, root: str, fmt: str = "csv", glob: str | None
         r = r.schema(schema)
     for k, v in options.items():
         r = r.option(k, v)
-    df = r.load(root).withColumn("source_path", F.col("_metadata.file_path"))
+    path = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))  # a plain + is no blank in a path
+    df = r.load(root).withColumn("source_path", F.url_decode(path))
     if skip_dir:
         df = df.filter(~F.col("source_path").contains(f"/{skip_dir}/"))
     return df
@@ -75,6 +92,13 @@ def write_layout(df: DataFrame, path: str, partition_by: Sequence[str], mode: st
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def scan_layout(spark: SparkSession, path: str, schema: StructType | str, names: DataFrame, key: str) -> DataFrame:
+    """The rows of a partitioned layout whose partition column ``key`` is in the (filtered) table ``names``, with its
+    columns. Folders come from partition discovery; if ``names`` is small enough for the engine to broadcast it, its keys also
+    choose the folders to read at run time (dynamic partition pruning)."""
+    return spark.read.schema(schema).parquet(path).join(names, key)
+
+
 def guard_paths(input_path: str, output_path: str, rewrite: bool = False) -> None:
     """Refuse to overwrite the input unless asked."""
     if os.path.abspath(input_path) == os.path.abspath(output_path) and not rewrite:
