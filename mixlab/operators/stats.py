@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlab.functions.selection import quantiles
+from mixlab.functions.selection import attach, quantiles
 
 
 def value_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:
@@ -122,14 +122,44 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
                     F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / n).alias("share"))
 
 
-def quartile_contrast(df: DataFrame, score: str, id_col: str = "id", frac: float = 0.25) -> DataFrame:
-    """Rows sorted by score (desc, NULL last, then id); top int(.25n) vs
-    bottom rows from int(.75n) on; means, medians and their differences.
-    One exact rank (bucketed by score range), then one grouped aggregate."""
+def quartile_cohorts(df: DataFrame, score: str, id_col: str = "id", frac: float = 0.25) -> DataFrame:
+    """Adds ``cohort``: ``top`` for the first int(frac n) rows by score (desc, NULL last, then id), ``bottom`` for
+    those from int((1-frac) n) on, NULL between. One exact rank (bucketed by score range)."""
     from mixlab.functions.keys import numeric_rank
 
     n = df.select(F.count(F.lit(1))).scalar()
     r = numeric_rank(df, score, descending=True, tiebreak=[id_col], name="_r")
     cohort = (F.when(F.col("_r") <= F.floor(n.cast("double") * frac), F.lit("top"))
               .when(F.col("_r") > F.floor(n.cast("double") * (1.0 - frac)), F.lit("bottom")))
-    return r.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull())
+    return r.withColumn("cohort", cohort).drop("_r")
+
+
+def quartile_contrast(df: DataFrame, score: str, id_col: str = "id", frac: float = 0.25) -> DataFrame:
+    """The rows of both cohorts of ``quartile_cohorts``."""
+    return quartile_cohorts(df, score, id_col, frac).filter(F.col("cohort").isNotNull())
+
+
+def grouped_histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 10) -> DataFrame:
+    """A15 per group: equal-width bins between the group's min and max (max in the last bin), share of
+    the group's values per bin, empty bins kept; groups without values have none. One aggregate for the bounds, one for the counts."""
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    bounds = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("all"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)))
+    counts = attach(rows, bounds, by, ["lo", "hi"]).groupBy(*by, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    g = attach(grid, counts, [*by, "bin"], ["n"], "left")
+    return g.select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"),
+                    F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("share"))
+
+
+def cohort_shares(df: DataFrame, columns: Sequence[str], cohort: str = "cohort") -> DataFrame:
+    """A1 at two grains in one scan: (column, cohort, value, n, share) for each cohort and for all rows (cohort
+    ``all``, which rows without a cohort join too); NULL values count nowhere."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    long = df.select(F.col(cohort).alias("cohort"), F.inline(F.array(*pairs))).where("value IS NOT NULL")
+    sets = long.groupingSets([["column", "cohort", "value"], ["column", "value"]], "column", "cohort", "value")
+    counts = sets.agg(F.grouping("cohort").alias("_all"), F.count(F.lit(1)).alias("n")).where("_all = 1 OR cohort IS NOT NULL")
+    named = counts.withColumn("cohort", F.when(F.col("_all") == 1, "all").otherwise(F.col("cohort"))).drop("_all")
+    return named.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("column", "cohort")))

@@ -13,3 +13,4 @@ from mixlab.plans import q_enrich  # noqa: F401
 from mixlab.plans import q_streams  # noqa: F401
 from mixlab.plans import q_corpora  # noqa: F401
 from mixlab.plans import q_sources  # noqa: F401
+from mixlab.plans import q_reports  # noqa: F401

@@ -110,6 +110,19 @@ def q_cap_per_split(spark, sf):
     return sm.cap_per_split(s, {"train": 100, "valid": 20})
 
 
+@register("cap_with_input", sql=f"""
+WITH q AS (SELECT id, dataset_name, nullif(syn_question, syn_answer) AS input FROM fx_qa),
+s AS (SELECT id, input, CASE WHEN r <= floor(n * (1.0 - 0.2)) THEN 'train' ELSE 'valid' END AS split
+      FROM (SELECT id, input, {rk('dataset_name')} AS r, {cnt('dataset_name')} AS n FROM q))
+SELECT id, split FROM (SELECT id, split, {rk('split')} AS r FROM s WHERE input <> '')
+WHERE (split = 'train' AND r <= 50) OR (split = 'valid' AND r <= 10)""", fx=["fx_qa"])
+def q_cap_with_input(spark, sf):
+    """Rows without an input text are skipped before the caps count."""
+    q = fx.fx_qa(Tables(spark, sf)).select("id", "dataset_name", F.nullif("syn_question", "syn_answer").alias("input"))
+    s = sm.shuffle_split(q, 0.2, by=["dataset_name"]).select("id", "split", "input")
+    return sm.cap_per_split(s, {"train": 50, "valid": 10}, input_col="input").select("id", "split")
+
+
 @register("slices", sql=f"""
 WITH r AS (SELECT id, dataset_name, {rk('dataset_name')} AS r, floor({cnt('dataset_name')} * 0.2) AS per FROM fx_fv),
 b AS (SELECT id, dataset_name, r, per,

@@ -208,6 +208,28 @@ def q_perplexity(spark, sf):
     return rounded(mt.perplexity(lg.select(loss.alias("loss")), "loss"))
 
 
+@register("generated_length", sql=f"""
+WITH t AS (SELECT list_transform({words_sql('answer')}, lambda w: CAST(strlen(w) % 4 AS INTEGER)) AS toks FROM fx_qa)
+SELECT round(avg(len(toks) / 10.0), 6) AS eval_loss, round(exp(avg(len(toks) / 10.0)), 6) AS perplexity,
+       round(avg(len(list_filter(toks, lambda x: x <> 0))), 6) AS gen_len FROM t""", fx=["fx_qa"])
+def q_generated_length(spark, sf):
+    """Perplexity and the mean length of generated ids without padding."""
+    toks = F.transform(tx.words("answer"), lambda w: F.octet_length(w) % 4)
+    q = fx.fx_qa(Tables(spark, sf)).select(toks.alias("toks"))
+    return rounded(mt.perplexity(q.withColumn("loss", F.size("toks") / 10.0), "loss", "toks"))
+
+
+@register("unseen_labels", sql=f"""
+WITH l AS (SELECT id, dataset_name, concat(dataset_name, '/', CAST(id % 499 AS VARCHAR)) AS label FROM fx_fv),
+s AS (SELECT label, CASE WHEN r <= floor(n * (1.0 - 0.2)) THEN 'train' ELSE 'valid' END AS split
+      FROM (SELECT label, {rk('dataset_name')} AS r, {cnt('dataset_name')} AS n FROM l))
+SELECT label FROM s GROUP BY label HAVING max(CAST(split = 'train' AS INTEGER)) = 0""", fx=["fx_fv"])
+def q_unseen_labels(spark, sf):
+    """Labels that the training split lacks."""
+    f = fx.fx_fv(Tables(spark, sf)).select("id", "dataset_name", F.concat_ws("/", "dataset_name", (F.col("id") % 499).cast("string")).alias("label"))
+    return mt.unseen_labels(mt.label_vocab(sm.shuffle_split(f, 0.2, by=["dataset_name"]), "label"))
+
+
 @register("label_vocab", sql=f"""
 WITH s AS (SELECT meta, CASE WHEN r <= floor(n * (1.0 - 0.2)) THEN 'train' ELSE 'valid' END AS split
            FROM (SELECT meta, {rk('dataset_name')} AS r, {cnt('dataset_name')} AS n FROM fx_fv))
