@@ -35,6 +35,39 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(f"{run}/out/parsed").select("dataset_name", "batch", "custom_id", "claim", "label")
 
 
+def _lines(spark, sf):
+    t = Tables(spark, sf)
+    sl = sm.slices(fx.fx_fv(t).select("id", "dataset_name"), by=["dataset_name"])
+    text = F.struct(F.struct(F.array(F.struct(F.struct(F.col("completion").alias("content")).alias("message"))).alias("choices")).alias("body"))
+    return sl, sl.join(fx.fx_completions(t).select("id", "completion"), "id").select("id", "dataset_name", "batch", "custom_id", text.alias("response"))
+
+
+@register("stream_ingest_repeats", sql=f"""
+WITH {SLICES_CTE}, {fv_stages("SELECT s.id, c.completion AS o FROM sl2 s JOIN fx_completions c USING (id)")},
+d AS (SELECT *, CAST(id % 7 <> 0 AS INTEGER) + CAST(id % 7 <> 0 AND id % 3 = 0 AS INTEGER) + CAST(id % 7 < 3 AS INTEGER) AS copies FROM fv_out JOIN sl2 USING (id)),
+k AS (SELECT id, 'parsed' AS kind, 1 AS copies FROM d WHERE NOT rejected AND copies > 0
+  UNION ALL SELECT id, 'repeats', copies - 1 FROM d WHERE NOT rejected AND copies > 1
+  UNION ALL SELECT id, 'rejects', copies FROM d WHERE rejected AND copies > 0
+  UNION ALL SELECT id, 'unfinished', 1 FROM d WHERE rejected OR copies = 0)
+SELECT s.dataset_name, s.batch, s.custom_id, k.kind, CAST(k.copies AS BIGINT) AS copies FROM k JOIN sl2 s USING (id)""", fx=["fx_completions"])
+def q_stream_ingest_repeats(spark, sf):
+    """Two deliveries in several files with repeats inside and between them, a restart before the second, and what is still to do."""
+    sl, lines = _lines(spark, sf)
+    run = st.new_run_dir(spark, "stream-repeats")
+    first = lines.where("id % 7 <> 0")
+    for files in (first, first.where("id % 3 = 0")):
+        files.drop("id").write.mode("append").json(f"{run}/incoming")
+    st.ingest_stream(spark, f"{run}/incoming", f"{run}/out", files_per_batch=64).awaitTermination()
+    lines.where("id % 7 < 3").drop("id").write.mode("append").json(f"{run}/incoming")
+    st.ingest_stream(spark, f"{run}/incoming", f"{run}/out", files_per_batch=64).awaitTermination()
+    tables = [spark.read.parquet(f"{run}/out/{kind}").select(*st.RESULT_KEYS, F.lit(kind).alias("kind")) for kind in ("parsed", "repeats", "rejects")]
+    tables.append(st.unfinished(sl, f"{run}/out").select(*st.RESULT_KEYS, F.lit("unfinished").alias("kind")))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy(*st.RESULT_KEYS, "kind").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @register("stream_dedup", sql=f"""
 WITH {SLICES_CTE} SELECT f.dataset_name, s.batch, s.custom_id, c.completion FROM sl2 s JOIN fx_completions c USING (id) JOIN fx_fv f USING (id)""",
           fx=["fx_completions"])

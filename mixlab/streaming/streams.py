@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlab.operators.cost import priced
@@ -38,20 +38,43 @@ def _upsert_batch(path: str, partition: str = "micro_batch"):
     return write
 
 
-def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, task: str = "fv", available_now: bool = True):
+RESULT_KEYS = ["dataset_name", "batch", "custom_id"]
+
+
+def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, task: str = "fv", available_now: bool = True,
+                  files_per_batch: int | None = None):
     """Start the ingestion stream; returns the StreamingQuery.
-    ``out_dir``/parsed and ``out_dir``/rejects receive one partition per
-    micro-batch (rewritten whole on replay, so retries never duplicate)."""
-    lines = spark.readStream.schema(RESULT_LINE_SCHEMA).json(source_dir)
+
+    Of the results of a request (dataset, batch, custom id) the first that parses stays, by the file's time and
+    path: it goes to ``out_dir``/parsed, later ones that parse to ``out_dir``/repeats, those that do not
+    to ``out_dir``/rejects, so that a request sent anew after a reject can still be answered. A micro-batch compares its keys
+    with those of earlier micro-batches only and writes a partition of its own, rewritten whole on replay: retries never duplicate."""
+    reader = spark.readStream.schema(RESULT_LINE_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.json(source_dir)
     text = F.get(F.col("response.body.choices"), 0)["message"]["content"]
-    res = lines.select("dataset_name", "batch", "custom_id", text.alias("text"))
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path")
+    res = lines.select(*RESULT_KEYS, text.alias("text"), arrival.alias("arrival"))
     parsed = (parse_fv if task == "fv" else parse_qa)(res, "text", "p")
 
     def write(bdf: DataFrame, batch_id: int) -> None:
         bdf = bdf.persist()
-        ok = bdf.filter(~F.col("p.rejected")).select("dataset_name", "batch", "custom_id", "p.*").drop("rejected")
-        bad = bdf.filter(F.col("p.rejected")).select("dataset_name", "batch", "custom_id", "text")
-        _upsert_batch(f"{out_dir}/parsed")(ok, batch_id)
+        bad = bdf.filter(F.col("p.rejected")).select(*RESULT_KEYS, "text")
+        order = Window.partitionBy(*RESULT_KEYS).orderBy("arrival", "text")
+        good = bdf.filter(~F.col("p.rejected")).withColumn("nth", F.row_number().over(order))
+        if batch_id > 0:  # the first micro-batch has made the table
+            before = bdf.sparkSession.read.schema("dataset_name string, batch int, custom_id string, micro_batch long").parquet(f"{out_dir}/parsed")
+            before = before.where(F.col("micro_batch") < batch_id).select(*[F.col(c).alias(f"_{c}") for c in RESULT_KEYS], F.lit(True).alias("_done"))
+            same = F.lit(True)
+            for c in RESULT_KEYS:  # a request without a name is one
+                same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+            good = good.join(before, same, "left")
+            first = F.col("_done").isNull() & (F.col("nth") == 1)
+        else:
+            first = F.col("nth") == 1
+        _upsert_batch(f"{out_dir}/parsed")(good.filter(first).select(*RESULT_KEYS, "p.*").drop("rejected"), batch_id)
+        _upsert_batch(f"{out_dir}/repeats")(good.filter(~first).select(*RESULT_KEYS, "text"), batch_id)
         _upsert_batch(f"{out_dir}/rejects")(bad, batch_id)
         bdf.unpersist()
 
@@ -60,6 +83,12 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, task: str
     return w.start()
 
 
+def unfinished(requests: DataFrame, out_dir: str) -> DataFrame:
+    """G6 on a stream's sink: the requests without a result that parsed."""
+    done = requests.sparkSession.read.parquet(f"{out_dir}/parsed").select(*RESULT_KEYS)
+    return requests.join(done, RESULT_KEYS, "left_anti")
+
+
 def dedup_stream(spark: SparkSession, source_dir: str, out_dir: str, keys: list[str], ts: str = "ts",
                  delay: str = "1 hour", glob: str = "*.parquet"):
     """Drop redelivered rows. ``keys`` identify a row for good (a result's batch and custom id): whichever
