@@ -126,13 +126,13 @@ def dialogue_rollup(turns: DataFrame, key: str, order: str, speaker: str, text:
 
 
 def chat_corpus(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
-                text: str = "text") -> DataFrame:
-    """L4: conversations as ordered (role, content) lists; a system turn is
+                text: str = "text", system: str = CHAT_SYSTEM) -> DataFrame:
+    """L4: conversations as ordered (role, content) lists; a ``system`` turn is
     prepended when the first is not one; conversations whose later turns are
     odd in number are dropped. Output exploded: (key, pos, role, content)."""
     g = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, role, text))).alias("_t"))
     msgs = F.transform("_t", lambda x: F.struct(x[role].alias("role"), x[text].alias("content")))
-    sysm = F.array(F.struct(F.lit("system").alias("role"), F.lit(CHAT_SYSTEM).alias("content")))
+    sysm = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
     g = g.withColumn("_m", F.when(F.get(F.col("_t"), 0)[role] == "system", msgs).otherwise(F.concat(sysm, msgs)))
     g = g.filter((F.size("_m") - 1) % 2 == 0)
     return g.select(key, F.posexplode("_m").alias("pos", "m")).select(key, "pos", "m.role", "m.content")
