@@ -97,10 +97,10 @@ def shuffled(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "id") -> Dat
 
 def cap_per_split(df: DataFrame, caps: dict[str, int], split_col: str = "split", seed: int = DEFAULT_SEED,
                   id_col: str = "id", input_col: str | None = None) -> DataFrame:
-    """Rows whose ``input_col`` is NULL or empty are skipped (blanks count as text); after a shuffle keep at most caps[split] rows of each split
+    """Rows whose ``input_col`` is NULL, empty or of spaces only are skipped; after a shuffle keep at most caps[split] rows of each split
     (exactly n, not n-1); splits without a cap are kept whole."""
     if input_col:
-        df = df.filter(F.col(input_col) != "")
+        df = df.filter(F.col(input_col).isNotNull() & (F.trim(input_col) != ""))
     r = exact_rank(df, order_key(id_col, seed), tiebreak=[id_col], partition_by=[split_col], name="_r")
     cap = F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(int(v)))]),
                        F.col(split_col))
