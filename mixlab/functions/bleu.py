@@ -17,9 +17,10 @@ MAX_ORDER = 4
 # 13a pre-replacements, in order.
 T13A_REPLACE = [("<skipped>", ""), ("-\n", ""), ("\n", " "),
                 ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
-# 13a regex rules (pattern, Java replacement), applied in order.
+# 13a regex rules (pattern, Java replacement), applied in order. The first class starts behind the
+# space: one space parts tokens as well as the three that the original rule makes of it, at a fraction of the time.
 T13A_RULES = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -38,15 +39,12 @@ def tokens_13a(c: str | Column) -> Column:
     x = F.concat(F.lit(" "), x, F.lit(" "))
     for pat, rep in T13A_RULES:
         x = F.regexp_replace(x, pat, rep)
-    return F.filter(F.split(x, WS), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(x, WS), "")
 
 
 def tokens_rouge(c: str | Column) -> Column:
     x = F.regexp_replace(F.lower(_c(c)), ROUGE_STRIP, " ")
-    return F.filter(F.split(x, WS), lambda t: t != F.lit(""))
-
-
-GRAM_TYPE = "array<struct<n:int,g:string>>"
+    return F.array_remove(F.split(x, WS), "")
 
 
 def bleu_sql(rl: str, pl: str, m: list[str]) -> str:

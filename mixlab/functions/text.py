@@ -31,7 +31,7 @@ def strip_ws(c: str | Column) -> Column:
 def words(c: str | Column) -> Column:
     """Python ``split()``; NULL stays NULL.
     SQL: ``list_filter(regexp_split_to_array(x, '\\s+'), lambda t: t <> '')``."""
-    return F.filter(F.split(_c(c), WS), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(c), WS), "")
 
 
 def word_count(c: str | Column) -> Column:

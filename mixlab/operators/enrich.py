@@ -1,13 +1,12 @@
 """Enrichment of generated / predicted tables (E3, P11) and the reports
-built on them (X1-X3). One best-sentence pass scores every text variant;
-the pivot back to wide columns is keyed by id, like the scoring
-aggregates, so it adds no exchange."""
+built on them (X1-X3). One best-sentence pass scores every text variant
+in its row, and so does the score of a prediction: rows are shuffled once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlab.functions.text import normalize, normalize_prediction, question_word, word_count
@@ -36,14 +35,6 @@ def infer_task(df: DataFrame) -> str:
     raise ValueError(f"no label column and no claim or answer column in {sorted(cols)}")
 
 
-def _wide(long: DataFrame, names: Sequence[str], keys: Sequence[str], fields: Sequence[tuple[str, str]]) -> DataFrame:
-    aggs = []
-    for n in names:
-        for f, suffix in fields:
-            aggs.append(F.max(F.when(F.col("variant") == n, F.col(f))).alias(f"{n}{suffix}"))
-    return long.groupBy(*keys).agg(*aggs)
-
-
 def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFrame:
     """Normalised texts, best-evidence features for every text variant,
     question words (qa), and the per-row score when predictions exist."""
@@ -67,13 +58,9 @@ def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFr
     variants = {c: c for c in lowered}
     if task == "qa" and has_pred:
         variants["prediction"] = "prediction"
-    # rows that share an id are told apart by their texts, so that joins stay one to one
-    d = d.withColumn("_rk", F.row_number().over(Window.partitionBy(id_col).orderBy("context", *variants)))
-    keys = [id_col, "_rk"]
-    long = best_sentence(d, variants, "context", keys)
-    fields = [("bleu", "_best_bleu"), ("location", "_location"), ("location_ratio", "_location_ratio")]
-    wide = _wide(long, list(variants), keys, fields)
-    out = d.join(wide, keys)
+    # rows without an id are left out; scores are columns of their row, so no join of rows to their scores is needed
+    d = d.where(F.col(id_col).isNotNull())
+    out = best_sentence(d, variants, "context", id_col, wide=True)
     ren = {}
     if task == "qa":
         for v in [text] + ([f"syn_{text}"] if f"syn_{text}" in cols else []):
@@ -95,11 +82,10 @@ def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFr
     out = out.withColumn("task", F.lit(task))
     if has_pred:
         if task == "qa":
-            s = bleu_pairs(d, "answer", "prediction", keys).withColumnRenamed("bleu", "score")
-            out = out.join(s, keys)
+            out = bleu_pairs(out, "answer", "prediction", id_col, wide=True).withColumnRenamed("bleu", "score")
         else:
             out = out.withColumn("score", 1 - F.abs(F.col("label") - F.col("prediction")))
-    return out.drop("_rk")
+    return out
 
 
 def enrich_predictions(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFrame:
