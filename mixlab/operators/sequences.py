@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mixlab.functions.keys import numeric_rank
 from mixlab.functions.text import strip_ws, words
+from mixlab.session import cut_lineage
 
 # Reserved ids and the reference's batch of rows per packing group.
 PAD_ID = 0
@@ -47,6 +48,7 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """(word, id, n) with ids 1.. by frequency (desc) then word; 0 is padding.
     Buckets (count, first character) split a long tail of rare words."""
     counts = texts.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)  # ranks and every use of the ids read it again, words are counted once
     r = bucketed_rank(counts, [(F.col("n"), True), (F.substring("word", 1, 1), False)],
                       [F.col("n").desc(), F.col("word").asc()], "id")
     return r.select("word", "id", "n")
@@ -77,6 +79,7 @@ def pack_blocks(df: DataFrame, ids: str, order_col: str, block_size: int,
     """L1: rows in ``order_col`` order form groups of ``group_rows``; each
     group's ids are concatenated and cut into blocks of ``block_size``; the
     tail of every group is dropped; labels = input ids."""
+    df = cut_lineage(df)  # bounds, counts and ranks read the order again: the ids are made once
     r = numeric_rank(df, order_col, descending=False, tiebreak=[order_col], name="_r")
     r = r.withColumn("_g", F.floor((F.col("_r") - 1) / group_rows)).withColumn("_len", F.size(ids))
     w = Window.partitionBy("_g").orderBy("_r")  # at most group_rows rows per window partition
