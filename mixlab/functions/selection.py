@@ -25,7 +25,7 @@ DIGITS = 4
 _MISSING = 16**DIGITS
 
 
-def _same(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
+def same_group(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in by:  # a NULL group is a group
         cond = cond & a[c].eqNullSafe(b[f"_g_{c}"])
@@ -37,7 +37,7 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], cols: Sequenc
     if not by:
         return df.withColumns({c: per_group.select(c).scalar() for c in cols})
     named = per_group.select(*[F.col(c).alias(f"_g_{c}") for c in by], *cols)
-    return df.join(named, _same(df, named, by), how).drop(*[f"_g_{c}" for c in by])
+    return df.join(named, same_group(df, named, by), how).drop(*[f"_g_{c}" for c in by])
 
 
 def _count_below(edges: str, v: str, size: int) -> Column:
@@ -66,7 +66,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
         holds = holds | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")))
     wanted = hist.where(holds).select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_bin").alias("_b"), "_before", "_n")
 
-    inside = cut.join(F.broadcast(wanted) if not by else wanted, _same(cut, wanted, by) & (cut["_bin"] == wanted["_b"]))
+    inside = cut.join(F.broadcast(wanted) if not by else wanted, same_group(cut, wanted, by) & (cut["_bin"] == wanted["_b"]))
     values = inside.groupBy(*by, "_bin", "_before", "_n", "v").agg(F.count(F.lit(1)).alias("_m"))
     upto = F.sum("_m").over(Window.partitionBy(*by, "_bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     placed = values.withColumn("_end", F.col("_before") + upto)
@@ -102,7 +102,7 @@ def draw_keys(df: DataFrame, draws: Draws, seed: int = DEFAULT_SEED, by: Sequenc
     before = F.sum("_c").over(Window.partitionBy(*by, "draw").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
     cut = hist.withColumn("_before", before).where("_before < want AND want <= _before + _c")
     cut = cut.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("draw").alias("_draw"), F.col("_bin").alias("_b"), (F.col("want") - F.col("_before")).alias("_need"))
-    edge = keys.join(cut, _same(keys, cut, by) & (keys["draw"] == cut["_draw"]) & (keys["_bin"] == cut["_b"]))
+    edge = keys.join(cut, same_group(keys, cut, by) & (keys["draw"] == cut["_draw"]) & (keys["_bin"] == cut["_b"]))
     ranked = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "draw").orderBy("k", "_id"))).where("_r = _need")
     entry = F.struct("draw", F.struct("k", F.col("_id").alias("id")).alias("at"))
     return ranked.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("last"))  # an entry a draw

@@ -73,12 +73,9 @@ def score_splits(enriched: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def ngram_report(df: DataFrame, columns: Sequence[str], n: int = 4, k: int = 10) -> DataFrame:
-    """A6 per text column: (column, ngram, n, pct)."""
-    out = None
-    for c in columns:
-        part = top_ngrams(df.select(c), c, n, k).select(F.lit(c).alias("column"), "ngram", "n", "pct")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A6 of all text columns in the same passes: (column, ngram, n, pct)."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
+    return top_ngrams(df.select(F.inline(F.array(*cells))), "text", n, k, ["column"])
 
 
 def length_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("dataset_name",)) -> DataFrame:

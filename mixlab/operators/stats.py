@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlab.functions.selection import attach, quantiles
+from mixlab.functions.selection import attach, quantiles, same_group
+from mixlab.session import cut_lineage
 
 
 def value_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:
@@ -66,25 +67,37 @@ GRAM_BUCKETS = 1 << 18
 FIRST_BUCKETS = 1 << 12
 
 
-def top_ngrams(df: DataFrame, text: str, n: int = 4, k: int = 10) -> DataFrame:
-    """The k most frequent word n-grams as a percent of all n-grams, ties by the gram. Exact, in three
-    passes that never shuffle the distinct n-grams: (1) occurrences per hash bucket, an upper bound for every
-    gram of the bucket; (2) exact counts of the grams of the largest buckets, whose k-th count is
+def top_ngrams(df: DataFrame, text: str, n: int = 4, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The k most frequent word n-grams (of each group) as a percent of all n-grams, ties by the gram. Exact, in three
+    passes for all groups together: (1) occurrences per hash bucket, an upper bound for every
+    gram of the bucket, written once; (2) exact counts of the grams of the largest buckets, whose k-th count is
     a lower bound of the true one; (3) exact counts of the grams of all buckets that reach it, of which the top k are taken."""
     from mixlab.functions.text import word_ngrams
 
-    grams = df.select(F.explode(word_ngrams(text, n)).alias("ngram"))
+    by = list(by)
+    grams = df.select(*by, F.explode(word_ngrams(text, n)).alias("ngram"))
     grams = grams.withColumn("_b", F.pmod(F.xxhash64("ngram"), F.lit(GRAM_BUCKETS)).cast("int"))
-    totals = grams.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # GRAM_BUCKETS rows at most
-
-    def top(buckets: DataFrame) -> DataFrame:
-        inside = grams.join(F.broadcast(buckets.select("_b")), "_b", "left_semi")
-        return inside.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ngram").limit(k)
-
-    first = top(totals.orderBy(F.desc("_c"), "_b").limit(max(FIRST_BUCKETS, k)))
-    least = first.agg(F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(F.lit(0)).alias("least")).scalar()
-    total = totals.select(F.sum("_c")).scalar()
-    return top(totals.where(F.col("_c") >= least)).withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "ngram")
+    totals = cut_lineage(grams.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")))  # GRAM_BUCKETS rows a group at most
+
+    def leading(d: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+        if not by:
+            return d.orderBy(*order).limit(most)
+        return d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+
+    def counted(buckets: DataFrame) -> DataFrame:
+        at = buckets.select(*[F.col(c).alias(f"_g_{c}") for c in [*by, "_b"]])
+        inside = grams.join(F.broadcast(at), same_group(grams, at, [*by, "_b"]), "left_semi")
+        return inside.groupBy(*by, "ngram").agg(F.count(F.lit(1)).alias("n"))
+
+    order = [F.desc("n"), F.col("ngram")]
+    first = leading(counted(leading(totals, [F.desc("_c"), F.col("_b")], max(FIRST_BUCKETS, k))), order, k)
+    least = first.groupBy(*by).agg(F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(F.lit(0)).alias("least"))
+    least = F.broadcast(cut_lineage(least))  # a row a group (groups are few); pass (3) would repeat pass (2) for each use
+    found = counted(attach(totals, least, by, ["least"]).where(F.col("_c") >= F.col("least")))
+    found = attach(found, least, by, ["least"]).where(F.col("n") >= F.col("least")).drop("least")
+    all_of = totals.groupBy(*by).agg(F.sum("_c").alias("_all"))
+    out = attach(leading(found, order, k), all_of, by, ["_all"])
+    return out.select(*by, "ngram", "n", (F.col("n") * 100.0 / F.col("_all")).alias("pct")).orderBy(*by, *order)
 
 
 def length_stats(df: DataFrame, length: str) -> DataFrame:
