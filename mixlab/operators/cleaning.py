@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlab.functions.text import normalize, normalize_prediction, strip_ws, words
+from mixlab.functions.text import normalize, normalize_prediction, words
 
 # Split-name normalisation of the reference.
 SPLIT_MAP = {"train": "train", "validation": "valid", "test": "test", "valid": "valid", "dev": "valid",
@@ -41,10 +41,10 @@ def normalize_split(c: str | Column) -> Column:
 
 
 def drop_blank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Drop rows NULL or blank (whitespace only) in any of ``cols``."""
+    """Drop rows NULL or blank (whitespace only) in any of ``cols``: the search ends at the first letter, no text is stripped."""
     cond = None
     for c in cols:
-        ok = F.col(c).isNotNull() & (strip_ws(c) != "")
+        ok = F.col(c).isNotNull() & F.col(c).rlike(r"\S")
         cond = ok if cond is None else cond & ok
     return df.filter(cond)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlab.functions.text import strip_ws, words
+from mixlab.functions.text import WS, strip_ws
 from mixlab.sources.tables import Tables
 
 
@@ -45,7 +45,8 @@ def wanli_raw(t: Tables) -> DataFrame:
 
 def scifact_raw(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    return fv_base(t).select(d.alias("abstract_id"), F.array_join(F.slice(words("text"), 1, 5), " ").alias("title"),
+    first = F.array_remove(F.split("text", WS, 7), "")  # the first five words need no split of the whole text
+    return fv_base(t).select(d.alias("abstract_id"), F.array_join(F.slice(first, 1, 5), " ").alias("title"),
                              F.split("text", r"[.]").alias("abstract"), "claim",
                              _pick(["SUPPORT", "NEI", "CONTRADICT"], d % 3).alias("verdict"),
                              F.when(d % 4 == 1, F.lit("validation")).otherwise(F.lit("train")).alias("split"))

@@ -39,3 +39,12 @@ def test_packing_makes_the_ids_once(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(40)], 4).mapPartitions(ids), "k long, ids array<long>")
     assert sq.pack_blocks(df, "ids", "k", 4).agg(F.count("*")).first()[0] == 30
     assert made.value <= 2 * 40  # a checkpoint reads its rows twice
+
+
+def test_blank_rows_are_found_without_stripping(spark):
+    from mixlab.operators.cleaning import drop_blank
+
+    df = spark.createDataFrame([("a",), (" \t\n\x0b\f\r ",), ("",), (None,), ("\n\n x \n",), ("\u00a0",)], "t string")
+    out = drop_blank(df, ["t"])
+    assert [r.t for r in out.collect()] == ["a", "\n\n x \n", "\u00a0"]
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
