@@ -91,7 +91,9 @@ def enrich(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFr
 def enrich_predictions(df: DataFrame, task: str | None = None, id_col: str = "id") -> DataFrame:
     """E3 on a prediction file (id, text, label, input, prediction): task (P11), unpacked texts (P12),
     features, and the rows in order of falling score (W1)."""
-    return sort_by_score(enrich(df, task, id_col), "score", id_col)
+    scored = enrich(df, task, id_col)
+    # a sort looks at its input twice, first for the bounds: behind a shuffle of the results the scores are made once
+    return sort_by_score(scored.repartition(F.xxhash64(id_col)), "score", id_col)
 
 
 def corpus_profile(df: DataFrame, by: str = "dataset_name") -> DataFrame:

@@ -57,3 +57,15 @@ def test_enrichment_keeps_grams_in_the_row(spark):
     assert got == [(1, 0, 0, 0.408248), (1, 0, 0, 0.408248), (2, None, None, 1.0)]  # rows of one id stay apart, rows without one are left out
     assert not any(x in plan for x in ("Aggregate", "Window", "Join")), plan
     assert plan.count("Exchange") == 1, plan
+
+
+def test_prediction_files_are_scored_once_before_the_sort(spark):
+    from mixlab.operators.enrich import enrich_predictions
+
+    df = spark.createDataFrame([(1, "fv", "A b c|a b", 1, 0.9), (2, "fv", "x y|y", 0, 0.8)], "id long, task string, text string, label int, prediction double")
+    out = enrich_predictions(df)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    lines = [k for k, x in enumerate(plan) if "Exchange" in x]
+    assert "rangepartitioning" in plan[lines[0]] and "xxhash64" in plan[lines[1]], plan
+    assert not any("Generate" in x for x in plan[lines[0]:lines[1]])  # the sort samples shuffled results
+    assert [r.id for r in out.collect()] == [1, 2]
