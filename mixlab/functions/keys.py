@@ -46,42 +46,47 @@ def exact_rank(
     name: str = "rank",
     size_name: str | None = None,
     hex_digits: int = DEFAULT_HEX_DIGITS,
+    ahead: tuple[Sequence[str], int] | None = None,
 ) -> DataFrame:
     """Add a dense 1-based ``name`` column ordered by (key, *tiebreak) within
     ``partition_by``; optionally ``size_name`` = rows in the group.
 
     NULL groups are groups of their own; rows with a NULL key rank last.
+    ``ahead`` = (columns, k) adds, without another shuffle, ``_ahead``: these columns of each of the next k
+    rows of the bucket (structs, NULL behind its end), and ``_at`` and ``_in``: the row's place in its bucket and the bucket's rows.
 
     ``key`` must be a lowercase hex string (md5) so that its prefix is an
     order-preserving, uniformly filled bucket.
     """
-    pb = list(partition_by)
+    pb = ["_g"] if partition_by else []  # a struct: a NULL group is a group, and the join and the window share one shuffle
     keyed = df.withColumn("_k", _col(key)).withColumn(
         "_b", F.coalesce(F.conv(F.substring("_k", 1, hex_digits), 16, 10).cast("int"), F.lit(16**hex_digits))
     )  # rows without a key (NULL id) come last, in a bucket of their own
-    counts = keyed.groupBy(*pb, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    if pb:
+        keyed = keyed.withColumn("_g", F.struct(*partition_by))
+    counts = keyed.groupBy(*pb, "_b").agg(F.count(F.lit(1)).alias("_in"))
     wcum = Window.partitionBy(*pb).orderBy("_b")
     offsets = counts.withColumn(
         "_off",
-        F.coalesce(F.sum("_n").over(wcum.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        F.coalesce(F.sum("_in").over(wcum.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    cols = [*pb, "_b", "_off"]
     if size_name:
-        offsets = offsets.withColumn(size_name, F.sum("_n").over(Window.partitionBy(*pb)))
-        cols.append(size_name)
-    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") if c in (*pb, "_b") else F.col(c) for c in cols])
+        offsets = offsets.withColumn(size_name, F.sum("_in").over(Window.partitionBy(*pb)))
+    if not ahead:
+        offsets = offsets.drop("_in")
     if not pb:
         # at most 16**hex_digits rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
     # with group keys the offsets table grows with the number of groups; leave
     # the strategy to AQE, which broadcasts it at runtime only if it is small.
-    same = F.col("_b") == F.col("_o__b")
-    for c in pb:  # a NULL group is a group
-        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    joined = keyed.join(offsets, same, "inner").drop(*[f"_o_{c}" for c in (*pb, "_b")])
+    joined = keyed.join(offsets, [*pb, "_b"])
     w = Window.partitionBy(*pb, "_b").orderBy(F.col("_k").asc_nulls_last(), *tiebreak)
     ranked = joined.withColumn(name, (F.col("_off") + F.row_number().over(w)).cast("long"))
-    return ranked.drop("_k", "_b", "_off")
+    if ahead:
+        nexts = [F.lead(F.struct(*ahead[0]), j).over(w) for j in range(1, ahead[1] + 1)]
+        ranked = ranked.withColumns({"_ahead": F.array(*nexts), "_at": F.col(name) - F.col("_off")})
+    columns = [*df.columns, *([size_name] if size_name else []), name]
+    return ranked.select(*columns, *(["_in", "_ahead", "_at"] if ahead else []))
 
 
 def numeric_rank(

@@ -3,13 +3,16 @@
 Few-shot assembly never resamples the table per row (quadratic in the
 reference). Rows are ranked once within their (dataset, label) group by the
 seeded md5 key; the row of rank r takes as examples the rows of rank
-r+1..r+k (cyclically) -- distinct, never itself, deterministic -- found by
-one equi join on (group, rank), whose keys are unique so no key is hot.
+r+1..r+k (cyclically) -- distinct, never itself, deterministic. They are the
+next rows in the order of the ranks, so they are read beside the row where it is ranked; only those
+behind the end of a bucket of the ranks are found by an equi join on (group, rank), whose keys are unique so no key is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ MAX_TOKENS = 120
 METHOD = "POST"
 ENDPOINT = "/v1/chat/completions"
 K_EXAMPLES = 3
+#: Leading digits of the key that make a bucket of the ranks: fewer, larger buckets have fewer rows near their ends.
+SHOT_HEX_DIGITS = 2
 
 
 def _rep(template: Column, slot: str, value: Column) -> Column:
@@ -102,18 +107,26 @@ def few_shot(df: DataFrame, task: str, k: int = K_EXAMPLES, seed: int = DEFAULT_
     Groups with k rows or fewer cannot supply k distinct other rows: rejects.
     """
     group = [*by, "label"] if task == "fv" else list(by)
-    ranked = exact_rank(df, order_key(id_col, seed), tiebreak=[id_col], partition_by=group, name="_r", size_name="_n")
-    ok = ranked.filter(F.col("_n") > k)
-    rejects = ranked.filter(F.col("_n") <= k).select(id_col)
-    want = ok.select(id_col, *group, "_r", "_n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("j")).withColumn(
-        "_pr", F.pmod(F.col("_r") - 1 + F.col("j"), F.col("_n")) + 1)
     cols = ["context", "question", "answer"] if task == "qa" else ["context", "claim", "label"]
-    pool = ok.select(*group, F.col("_r").alias("_pr"), *[F.col(c).alias(f"ex_{c}") for c in cols])
-    if task == "fv":
-        pool = pool.drop("label").withColumn("label", F.col("ex_label"))
-    ex = want.join(pool, [*group, "_pr"]).select(id_col, "j", *[f"ex_{c}" for c in cols])
-    rows = ok.select(id_col, "context", *(["label"] if task == "fv" else []))
-    return _messages_long(rows, ex, task, False, k, id_col), rejects
+    ranked = exact_rank(df, order_key(id_col, seed), tiebreak=[id_col], partition_by=group, name="_r", size_name="_n",
+                        hex_digits=SHOT_HEX_DIGITS, ahead=(cols, k))
+    rejects = ranked.filter(F.col("_n") <= k).select(id_col)
+    ok = ranked.filter((F.col("_n") > k) & (F.col("_at") >= 1))  # always true: rows and heads read the same columns, so one shuffle
+    grouped = reduce(and_, [F.col(g).isNotNull() for g in group])  # a NULL group has no examples
+    near = ok.select(id_col, grouped.alias("_g"), F.posexplode(F.concat(F.array(F.struct(*cols)), "_ahead")).alias("j", "_e"))
+    near = near.where((F.col("j") == 0) | (F.col("_g") & F.col("_e").isNotNull()))  # 0: the row itself
+    near = near.select(id_col, "j", *[F.col(f"_e.{c}").alias(f"ex_{c}") for c in cols])
+    far = ok.select(id_col, *group, "_r", "_n", "_at", "_in", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("j")).where(
+        F.col("_at") + F.col("j") > F.col("_in")).withColumn("_pr", F.pmod(F.col("_r") - 1 + F.col("j"), F.col("_n")) + 1)
+    heads = ok.where(F.col("_at") <= k).select(*group, F.col("_r").alias("_pr"), *[F.col(c).alias(f"ex_{c}") for c in cols])
+    far = far.join(heads, [*group, "_pr"]).select(id_col, "j", *[f"ex_{c}" for c in cols])
+    own = F.col("j") == 0
+    label = F.col("ex_label") if task == "fv" else None
+    turn = lambda pos, role, content: F.struct(pos.alias("pos"), F.lit(role).alias("role"), content.alias("content"))
+    two = F.array(F.when(own, turn(F.lit(0), "system", system_message(task, False, label))).otherwise(
+                      turn(2 * F.col("j"), "assistant", answer_message(task, False, "ex_"))),
+                  turn(F.when(own, 2 * k + 1).otherwise(2 * F.col("j") - 1), "user", context_message("ex_context")))
+    return near.unionByName(far).select(id_col, F.inline(two)), rejects
 
 
 def curated_examples(df: DataFrame, task: str, per_group: int = 10, seed: int = DEFAULT_SEED,
