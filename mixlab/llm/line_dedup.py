@@ -12,10 +12,15 @@ table of ``BUCKETS`` bytes is all that is broadcast, and any fixed order keeps t
 once has no partner and is not listed. A 64-bit map holds the parity of each set's words per hash bucket: two
 maps differ in no more bits than the sets differ in words, which bounds the overlap of a pair before it leaves
 the join.
+
+For the verification a pair is dealt to the cell of one word that both prefixes share. The words of a set are sent
+once to each cell in which it has pairs, not along with every pair; a cell with many pairs is cut into a grid by its sets.
+The cells are dealt into rounds, each of which sends about as many bytes as the sets have.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +35,13 @@ from mixlab.llm.common import prepare, saved
 THRESHOLD = 0.8
 #: Entries of the rarity table, a byte each.
 BUCKETS = 1 << 23
+#: Pairs of a cell from which it is cut into a grid.
+CELL_PAIRS = 1 << 16
+#: Most rows and columns of a grid.
+GRID = 1 << 15
+#: Bytes of words that a round of the verification may send in any case, and the most rounds.
+ROUND_BYTES = 64 << 20
+ROUNDS = 32
 #: Words that a worker counts or remembers at a time.
 CACHED_WORDS = 400_000
 
@@ -146,8 +158,9 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of class ids that pass the prefix, length, positional and parity filters; b has the smaller set or
-    id and is listed under its shorter index prefix. Keys are part of a hash: a collision only adds a candidate."""
+    """Pairs (a, b) of class ids that pass the prefix, length, positional and parity filters, with the least key that
+    both list; b has the smaller set or id and is listed under its shorter index prefix. Keys are part of a hash: a
+    collision only adds a candidate."""
     t = threshold
     posted = classes.select("id", "size", "parity", F.col("at").alias("skip"), F.posexplode("prefix").alias("at", "key"))
     posted = posted.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
@@ -161,7 +174,17 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bound = (F.col("as_") + F.col("bs") - differ) / 2
     smaller = (F.col("bs") < F.col("as_")) | ((F.col("bs") == F.col("as_")) & (F.col("b") < F.col("a")))
     pairs = probe.join(index, "key").where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
-    return pairs.select("a", "b", "as_", "bs").distinct()
+    return pairs.groupBy("a", "b", "as_", "bs").agg(F.min("key").alias("key"))
+
+
+def _in_cells(pairs: DataFrame) -> DataFrame:
+    """The candidates with the cell each is verified in: that of its key, or one of a grid of a key with many."""
+    many = pairs.groupBy("key").count().where(F.col("count") > CELL_PAIRS)
+    grids = many.select("key", F.least(F.lit(GRID), F.ceil(F.sqrt(F.col("count") / CELL_PAIRS))).cast("int").alias("grid"))
+    side = F.coalesce("grid", F.lit(1))
+    at = [F.pmod(F.xxhash64(c), side).cast("int") for c in ("a", "b")]
+    cell = F.shiftleft(F.col("key").cast("long"), 32) + F.shiftleft(at[0], 16) + at[1]
+    return pairs.join(grids, "key", "left").select("a", "b", "as_", "bs", cell.alias("cell"))
 
 
 def _place_bit(doc_id: int | None, version: int, line_no: int) -> int:
@@ -169,7 +192,7 @@ def _place_bit(doc_id: int | None, version: int, line_no: int) -> int:
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words) of the wanted lines (id, doc_id, version, line_no): words as 64-bit hashes.
+    """(id, cells, words) of the wanted lines (id, cells, no_id, doc_id, version, line_no): words as 64-bit hashes.
 
     A broadcast filter of a fixed size names the lines, so that texts stay where they are read; what
     passes it is joined with the wanted lines exactly.
@@ -196,14 +219,64 @@ def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                         ids.append(doc_id)
                         versions.append(version)
                         places.append(k)
-                        sets.append(list({key[w] for w in found}))
+                        sets.append(array("q", {key[w] for w in found}).tobytes())
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "version", "line_no", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "version", "line_no", "words"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _version(text_col).alias("version"))
-    found = texts.mapInArrow(words, "doc_id long, version long, line_no int, words array<long>")
-    same = found.doc_id.eqNullSafe(wanted.doc_id) & (found.version == wanted.version) & (found.line_no == wanted.line_no)
-    return found.join(wanted, same).select("id", "words")
+    found = texts.mapInArrow(words, "doc_id long, version long, line_no int, words binary")
+    return _known(found).dropDuplicates(PLACE).join(wanted, PLACE).select("id", "cells", "words")
+
+
+#: Columns that name a line, none of them null.
+PLACE = ["no_id", "doc_id", "version", "line_no"]
+
+
+def _known(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links in both directions from rows (cell, a, b, need, words) by cell: first its sets (a, words), then its pairs by b."""
+    now = last = None
+    sets: dict[int, bytes] = {}
+    own: frozenset = frozenset()
+    for batch in batches:
+        left, right = [], []
+        for cell, a, b, need, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if cell != now:
+                now, last, sets = cell, None, {}
+            if b is None:
+                sets[a] = words
+                continue
+            if b != last:
+                last, own = b, frozenset(memoryview(sets[b]).cast("q"))
+            if len(own.intersection(memoryview(sets[a]).cast("q"))) >= need:
+                left.append(a)
+                right.append(b)
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left + right, pa.int64()), pa.array(right + left, pa.int64())], names=["a", "b"])
+
+
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The candidates (in both directions) that are similar, verified on the words of their sets."""
+    pairs = _in_cells(pairs)
+    cells = pairs.select(F.col("a").alias("id"), "cell").unionAll(pairs.select(F.col("b").alias("id"), "cell"))
+    cells = cells.groupBy("id").agg(F.collect_set("cell").alias("cells"))  # a key of its prefix each, or parts of one
+    wanted = saved(_known(classes.select("id", "first.doc_id", "first.version", "first.line_no").join(cells, "id")), "wanted")
+    sets = saved(_words_of(docs, wanted, id_col, text_col), "words")
+    size = F.octet_length("words")
+    held, sent = sets.agg(F.sum(size), F.sum(size * F.size("cells"))).first()
+    rounds = min(ROUNDS, -(-(sent or 0) // max(held or 0, ROUND_BYTES)))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
+    links = None
+    for k in range(max(1, rounds)):
+        here = F.pmod(F.xxhash64("cell"), F.lit(max(1, rounds))) == k
+        own = sets.select(F.explode("cells").alias("cell"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("need"), "words")
+        both = own.where(here).unionByName(pairs.where(here).select("cell", "a", "b", need.alias("need"), F.lit(None).cast("binary").alias("words")))
+        part = saved(both.repartition("cell").sortWithinPartitions("cell", "b").mapInArrow(_verify, "a long, b long"), "links")
+        links = part if links is None else links.unionAll(part)
+    return links
 
 
 def _marks(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,13 +287,7 @@ def _marks(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     pairs = saved(candidates(classes, threshold), "candidates")
 
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = saved(classes.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.version", "first.line_no"), "wanted")
-    sets = saved(_words_of(docs, wanted, id_col, text_col).dropDuplicates(["id"]), "words")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("aw")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("bw")), "b")
-    links = both.where(F.size(F.array_intersect("aw", "bw")) >= need).select("a", "b")
-    links = saved(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    links = _links(docs, classes, pairs, threshold, id_col, text_col)
 
     firsts = classes.select("id", "set_id", "first")
     partners = links.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("partner"))

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from mixlab.llm import components, line_dedup, packing, queries, simhash, token_store, toxicity, url_templates
-from mixlab.llm.common import work_dir
+from mixlab.llm.common import saved, work_dir
 from mixlab.llm.encoding import CACHED_WORD_BYTES, WordEncoder, default_tokenizer
 
 from ..conftest import SF01, SF001
@@ -229,6 +229,28 @@ def test_line_dedup_verifies_the_listed_text_of_a_shared_id(spark):
     assert got == {(7, 10, 1, False), (8, 10, 1, True)}
 
 
+def test_line_dedup_sends_a_set_once_to_a_cell(spark, monkeypatch):
+    base = [f"w{k}" for k in range(30)]
+    rows = [(d, " ".join([*base, f"own{d}"])) for d in range(60)]
+    written = {}
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: written.setdefault(f"{name}{len(written)}", saved(df, name)))
+    table = docs(spark, *[(d, f"{t}\n{t} other{d}") for d, t in rows])
+    got = {(r.doc_id, r.line_no): r.n_links for r in line_dedup.mark_lines(table).collect()}
+    assert set(got.values()) == {119} and len(got) == 120
+    words = next(t for name, t in written.items() if name.startswith("words"))
+    assert words.selectExpr("sum(size(cells))").first()[0] < 5 * 120  # 7,140 pairs
+
+
+def test_line_dedup_in_grids_and_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(line_dedup, "CELL_PAIRS", 3)
+    monkeypatch.setattr(line_dedup, "ROUND_BYTES", 1)
+    words = [f"w{k}" for k in range(14)]
+    rows = [(d, "\n".join(" ".join(rng.sample(words, rng.choice([5, 9, 10, 11]))) for _ in range(4))) for d in range(30)]
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.removed) for r in line_dedup.mark_lines(docs(spark, *rows)).collect()}
+    assert got == brute_lines(rows) and any(x[2] for x in got.values())
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
