@@ -15,7 +15,11 @@ the join.
 
 For the verification a pair is dealt to the cell of one word that both prefixes share. The words of a set are sent
 once to each cell in which it has pairs, not along with every pair; a cell with many pairs is cut into a grid by its sets.
-The cells are dealt into rounds, each of which sends about as many bytes as the sets have.
+The cells are dealt into rounds, each of which sends about as many bytes as the sets have. Links are not written: a cell
+passes on the number of links of each of its sets, and whether one leads to an earlier set.
+
+The removal of lines needs no numbers. There each set is verified with the likeliest of its earlier candidates first,
+and only the sets that this leaves are verified with the others.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlab.llm.common import prepare, saved
+from mixlab.llm.common import BATCH_ROWS, prepare, saved
 
 THRESHOLD = 0.8
 #: Entries of the rarity table, a byte each.
@@ -159,8 +163,8 @@ def line_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of class ids that pass the prefix, length, positional and parity filters, with the least key that
-    both list; b has the smaller set or id and is listed under its shorter index prefix. Keys are part of a hash: a
-    collision only adds a candidate."""
+    both list and the number of bits in which their maps differ; b has the smaller set or id and is listed under its shorter
+    index prefix. Keys are part of a hash: a collision only adds a candidate."""
     t = threshold
     posted = classes.select("id", "size", "parity", F.col("at").alias("skip"), F.posexplode("prefix").alias("at", "key"))
     posted = posted.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
@@ -173,8 +177,8 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("other")))
     bound = (F.col("as_") + F.col("bs") - differ) / 2
     smaller = (F.col("bs") < F.col("as_")) | ((F.col("bs") == F.col("as_")) & (F.col("b") < F.col("a")))
-    pairs = probe.join(index, "key").where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
-    return pairs.groupBy("a", "b", "as_", "bs").agg(F.min("key").alias("key"))
+    pairs = probe.join(index, "key").withColumn("differ", differ.cast("byte")).where(smaller & (F.col("bs") >= F.lit(t) * F.col("as_") - 1e-9) & (most >= need) & (bound >= need))
+    return pairs.groupBy("a", "b", "as_", "bs").agg(F.min("key").alias("key"), F.min("differ").alias("differ"))
 
 
 def _in_cells(pairs: DataFrame) -> DataFrame:
@@ -184,7 +188,13 @@ def _in_cells(pairs: DataFrame) -> DataFrame:
     side = F.coalesce("grid", F.lit(1))
     at = [F.pmod(F.xxhash64(c), side).cast("int") for c in ("a", "b")]
     cell = F.shiftleft(F.col("key").cast("long"), 32) + F.shiftleft(at[0], 16) + at[1]
-    return pairs.join(grids, "key", "left").select("a", "b", "as_", "bs", cell.alias("cell"))
+    return pairs.join(F.broadcast(grids), "key", "left").select("a", "b", "as_", "bs", cell.alias("cell"))  # a grid per CELL_PAIRS pairs at most
+
+
+def _cells_of(pairs: DataFrame) -> DataFrame:
+    """(id, cells) of the sets of pairs in cells: a key of its prefix each, or parts of one."""
+    ends = pairs.select(F.col("a").alias("id"), "cell").unionAll(pairs.select(F.col("b").alias("id"), "cell"))
+    return ends.groupBy("id").agg(F.collect_set("cell").alias("cells"))
 
 
 def _place_bit(doc_id: int | None, version: int, line_no: int) -> int:
@@ -236,64 +246,121 @@ def _known(lines: DataFrame) -> DataFrame:
     return lines.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in both directions from rows (cell, a, b, need, words) by cell: first its sets (a, words), then its pairs by b."""
-    now = last = None
-    sets: dict[int, bytes] = {}
-    own: frozenset = frozenset()
-    for batch in batches:
-        left, right = [], []
-        for cell, a, b, need, words in zip(*(c.to_pylist() for c in batch.columns)):
-            if cell != now:
-                now, last, sets = cell, None, {}
-            if b is None:
-                sets[a] = words
-                continue
-            if b != last:
-                last, own = b, frozenset(memoryview(sets[b]).cast("q"))
-            if len(own.intersection(memoryview(sets[a]).cast("q"))) >= need:
-                left.append(a)
-                right.append(b)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left + right, pa.int64()), pa.array(right + left, pa.int64())], names=["a", "b"])
-
-
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The candidates (in both directions) that are similar, verified on the words of their sets."""
-    pairs = _in_cells(pairs)
-    cells = pairs.select(F.col("a").alias("id"), "cell").unionAll(pairs.select(F.col("b").alias("id"), "cell"))
-    cells = cells.groupBy("id").agg(F.collect_set("cell").alias("cells"))  # a key of its prefix each, or parts of one
-    wanted = saved(_known(classes.select("id", "first.doc_id", "first.version", "first.line_no").join(cells, "id")), "wanted")
-    sets = saved(_words_of(docs, wanted, id_col, text_col), "words")
+def _verifier(any_earlier: bool):
+    """Tallies (id, n_links, late) of the sets of a cell from rows (cell, a, b, need, words) by cell: first its sets (a, words),
+    then its pairs by b. Under ``any_earlier`` a set that has an earlier link is compared with no other earlier set."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        sets: dict[int, bytes] = {}
+        own: frozenset = frozenset()
+        n_links: Counter[int] = Counter()
+        late: set[int] = set()
+        out: list[tuple[int, int, bool]] = []
+
+        def close() -> None:
+            out.extend((x, n, x in late) for x, n in n_links.items())
+            n_links.clear()
+            late.clear()
+            sets.clear()
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["id", "n_links", "late"])
+
+        for batch in batches:
+            for cell, a, b, need, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
+                    close()
+                    now, last = cell, None
+                if b is None:
+                    sets[a] = words
+                    continue
+                later = max(a, b)
+                if any_earlier and later in late:
+                    continue
+                if b != last:
+                    last, own = b, frozenset(memoryview(sets[b]).cast("q"))
+                if len(own.intersection(memoryview(sets[a]).cast("q"))) >= need:
+                    n_links[a] += 1
+                    n_links[b] += 1
+                    late.add(later)
+            if len(out) >= BATCH_ROWS:
+                yield emit()
+        close()
+        if out:
+            yield emit()
+
+    return verify
+
+
+def _tallies(sets: DataFrame, pairs: DataFrame, threshold: float, any_earlier: bool = False) -> DataFrame:
+    """(id, n_links, late) of the sets (id, cells, words) that are similar to another one by the pairs (cell, a, b, as_, bs):
+    the number of links, and whether one leads to a smaller id."""
     size = F.octet_length("words")
     held, sent = sets.agg(F.sum(size), F.sum(size * F.size("cells"))).first()
-    rounds = min(ROUNDS, -(-(sent or 0) // max(held or 0, ROUND_BYTES)))
+    rounds = max(1, min(ROUNDS, -(-(sent or 0) // max(held or 0, ROUND_BYTES))))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
-    links = None
-    for k in range(max(1, rounds)):
-        here = F.pmod(F.xxhash64("cell"), F.lit(max(1, rounds))) == k
+    tallies = None
+    for k in range(rounds):
+        here = F.pmod(F.xxhash64("cell"), F.lit(rounds)) == k
         own = sets.select(F.explode("cells").alias("cell"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("need"), "words")
         both = own.where(here).unionByName(pairs.where(here).select("cell", "a", "b", need.alias("need"), F.lit(None).cast("binary").alias("words")))
-        part = saved(both.repartition("cell").sortWithinPartitions("cell", "b").mapInArrow(_verify, "a long, b long"), "links")
-        links = part if links is None else links.unionAll(part)
-    return links
+        part = both.repartition("cell").sortWithinPartitions("cell", "b").mapInArrow(_verifier(any_earlier), "id long, n_links long, late boolean")
+        part = saved(part, "tallies")
+        tallies = part if tallies is None else tallies.unionAll(part)
+    return tallies.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("late").alias("late"))
+
+
+def _wanted(classes: DataFrame, cells: DataFrame) -> DataFrame:
+    """The first lines of the sets (id, cells), with set_id."""
+    return saved(_known(classes.select("id", "set_id", "first.doc_id", "first.version", "first.line_no").join(cells, "id")), "wanted")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, n_links, late) of the sets that are similar to others: all candidates are verified on the words of their sets."""
+    pairs = saved(_in_cells(pairs), "pairs")
+    wanted = _wanted(classes, _cells_of(pairs))
+    sets = saved(_words_of(docs, wanted, id_col, text_col), "words")
+    return wanted.select("id", "set_id").join(_tallies(sets, pairs, threshold), "id").drop("id")
 
 
-def _marks(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``mark_lines`` with the hash of the row's text (version)."""
+def _late(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(set_id, n_links, late) of the sets that are similar to an earlier one; n_links is not the whole number.
+
+    The candidate whose map differs least comes first, in the cell of the earlier set. The sets that are not
+    similar to it are verified with all others.
+    """
+    later, earlier = F.greatest("a", "b"), F.least("a", "b")
+    columns = ["a", "b", "as_", "bs"]
+    best = pairs.groupBy(later.alias("later")).agg(F.min_by(F.struct(*columns), F.struct("differ", earlier)).alias("p")).select("p.*")
+    best = saved(_in_cells(best.withColumn("key", F.hash(earlier))), "pairs")
+    all_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = _wanted(classes, all_ids.join(_cells_of(best), "id", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<bigint>"))))
+    sets = saved(_words_of(docs, wanted, id_col, text_col), "words")
+    found = saved(_tallies(sets, best, threshold, True).where("late"), "late")
+
+    rest = pairs.withColumn("later", later).join(found.select(F.col("id").alias("later")), "later", "left_anti").drop("later")
+    rest = saved(_in_cells(rest.join(best.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
+    sets = saved(sets.drop("cells").join(_cells_of(rest), "id").select("id", "cells", "words"), "words")
+    found = found.unionAll(_tallies(sets, rest, threshold, True).where("late"))
+    return wanted.select("id", "set_id").join(found, "id").drop("id")
+
+
+def _marks(docs: DataFrame, threshold: float, id_col: str, text_col: str, count: bool) -> DataFrame:
+    """The rows of ``mark_lines`` with the hash of the row's text (version); n_links is whole only under ``count``."""
     lines = saved(line_sets(docs, threshold, id_col, text_col), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version", "line_no")
     classes = lines.groupBy("set_id").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("size", "at", "prefix", "parity")])
-    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = saved(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "classes")  # ids in the order of first lines
     pairs = saved(candidates(classes, threshold), "candidates")
 
-    links = _links(docs, classes, pairs, threshold, id_col, text_col)
-
-    firsts = classes.select("id", "set_id", "first")
-    partners = links.join(firsts.select(F.col("id").alias("b"), "first"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("first").alias("partner"))
-    named = firsts.join(partners, firsts.id == partners.a, "left").select("set_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("partner") < F.col("first"), F.lit(False)).alias("late"))
+    linked = (_linked if count else _late)(docs, classes, pairs, threshold, id_col, text_col)
+    named = classes.select("set_id", "first").join(linked, "set_id", "left")
     out = lines.select("doc_id", "version", "line_no", "set_id", "size").join(named, "set_id")
-    return out.select("doc_id", "version", "line_no", "size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", (F.col("late") | (place != F.col("first"))).alias("removed"))
+    late = F.coalesce("late", F.lit(False))
+    return out.select("doc_id", "version", "line_no", "size", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (late | (place != F.col("first"))).alias("removed"))
 
 
 def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,12 +371,12 @@ def mark_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     lines count once, and the lines of a repeated row are not removed for being equal to themselves. Null and
     empty texts and empty tables give no rows.
     """
-    return _marks(docs, threshold, id_col, text_col).drop("version")
+    return _marks(docs, threshold, id_col, text_col, count=True).drop("version")
 
 
 def remove_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text without its removed lines. A document of which no word is left goes; one that had none stays."""
-    marks = _marks(docs, threshold, id_col, text_col).where("removed")
+    marks = _marks(docs, threshold, id_col, text_col, count=False).where("removed")
     gone = marks.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set("line_no").alias("_gone"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (_version(text_col) == F.col("_version"))
     joined = docs.join(gone, same, "left")

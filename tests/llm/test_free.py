@@ -251,6 +251,43 @@ def test_line_dedup_in_grids_and_rounds(spark, monkeypatch):
     assert got == brute_lines(rows) and any(x[2] for x in got.values())
 
 
+def test_line_dedup_passes_on_tallies_instead_of_links(spark, monkeypatch):
+    base = [f"w{k}" for k in range(30)]
+    table = docs(spark, *[(d, " ".join([*base, f"own{d}"])) for d in range(120)])
+    plans = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: plans.append((name, saved(df, name))) or plans[-1][1])
+    got = {r.doc_id: (r.n_links, r.removed) for r in line_dedup.mark_lines(table).collect()}
+    assert got == {d: (119, d > 0) for d in range(120)}
+    assert not any(name == "links" for name, _ in plans)
+    assert sum(t.count() for name, t in plans if name == "tallies") < 5 * 120  # 14,280 links in both directions
+
+
+def test_remove_lines_verifies_the_likeliest_earlier_line_first(spark, monkeypatch):
+    base = [f"w{k}" for k in range(30)]
+    rows = [(d, " ".join([*base, f"own{d}"])) for d in range(120)]
+    plans = []
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: plans.append((name, saved(df, name))) or plans[-1][1])
+    assert [r.doc_id for r in line_dedup.remove_lines(docs(spark, *rows)).collect()] == [0]
+    assert sum(t.count() for name, t in plans if name == "pairs") == 119  # of 7,140 candidates
+
+
+def test_remove_lines_agrees_with_mark_lines(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(24)]
+    pool = [rng.sample(words, rng.choice([5, 9, 10, 14, 18])) for _ in range(12)]
+    rows = []
+    for d in range(60):
+        line = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            line[rng.randrange(len(line))] = rng.choice(words)
+        rows.append((d, " ".join(line)))
+    expected = brute_lines(rows)
+    left = {r.doc_id for r in line_dedup.remove_lines(docs(spark, *rows)).collect()}
+    assert left == {d for (d, _), x in expected.items() if not x[3]}
+    near = [x for x in expected.values() if x[2] and not x[3]]
+    assert near and len(left) < 60  # some have only later neighbours
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
