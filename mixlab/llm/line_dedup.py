@@ -46,6 +46,8 @@ GRID = 1 << 15
 #: Bytes of words that a round of the verification may send in any case, and the most rounds.
 ROUND_BYTES = 64 << 20
 ROUNDS = 32
+#: 64-bit words of a wide map.
+MAP_LONGS = 4
 #: Words that a worker counts or remembers at a time.
 CACHED_WORDS = 400_000
 
@@ -201,8 +203,20 @@ def _place_bit(doc_id: int | None, version: int, line_no: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{doc_id},{version},{line_no}") % WANTED_BITS
 
 
+def _maps(sets: list[bytes]) -> pa.ListArray:
+    """Parity of the words per bucket of their hashes, for sets of one word or more."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+    h = np.frombuffer(b"".join(sets), np.uint64)
+    bit = np.left_shift(np.uint64(1), h & np.uint64(63))
+    long = (h >> np.uint64(6)) % np.uint64(MAP_LONGS)
+    maps = [np.bitwise_xor.reduceat(np.where(long == k, bit, np.uint64(0)), np.cumsum(n) - n) for k in range(MAP_LONGS)]
+    offsets = np.arange(0, MAP_LONGS * len(sets) + 1, MAP_LONGS, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.stack(maps, axis=1).reshape(-1).view(np.int64)))
+
+
 def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, cells, words) of the wanted lines (id, cells, no_id, doc_id, version, line_no): words as 64-bit hashes.
+    """(id, cells, words, map) of the wanted lines (id, cells, no_id, doc_id, version, line_no): words as 64-bit hashes, and their
+    parity per hash bucket in ``MAP_LONGS`` longs.
 
     A broadcast filter of a fixed size names the lines, so that texts stay where they are read; what
     passes it is joined with the wanted lines exactly.
@@ -231,11 +245,12 @@ def _words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                         places.append(k)
                         sets.append(array("q", {key[w] for w in found}).tobytes())
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "version", "line_no", "words"])
+                columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.int32()), pa.array(sets, pa.binary()), _maps(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "line_no", "words", "map"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _version(text_col).alias("version"))
-    found = texts.mapInArrow(words, "doc_id long, version long, line_no int, words binary")
-    return _known(found).dropDuplicates(PLACE).join(wanted, PLACE).select("id", "cells", "words")
+    found = texts.mapInArrow(words, "doc_id long, version long, line_no int, words binary, map array<long>")
+    return _known(found).dropDuplicates(PLACE).join(wanted, PLACE).select("id", "cells", "words", "map")
 
 
 #: Columns that name a line, none of them null.
@@ -313,6 +328,14 @@ def _tallies(sets: DataFrame, pairs: DataFrame, threshold: float, any_earlier: b
     return tallies.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("late").alias("late"))
 
 
+def _narrowed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose wide maps differ in no more bits than similar sets of their sizes differ in words."""
+    own, other = (sets.select(F.col("id").alias(c), F.col("map").alias(f"map_{c}")) for c in ("a", "b"))
+    differ = sum((F.bit_count(F.get("map_a", F.lit(k)).bitwiseXOR(F.get("map_b", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("as_") + F.col("bs")) - 1e-9)
+    return pairs.join(own, "a").join(other, "b").where((F.col("as_") + F.col("bs") - differ) / 2 >= need).drop("map_a", "map_b")
+
+
 def _wanted(classes: DataFrame, cells: DataFrame) -> DataFrame:
     """The first lines of the sets (id, cells), with set_id."""
     return saved(_known(classes.select("id", "set_id", "first.doc_id", "first.version", "first.line_no").join(cells, "id")), "wanted")
@@ -330,7 +353,7 @@ def _late(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: floa
     """(set_id, n_links, late) of the sets that are similar to an earlier one; n_links is not the whole number.
 
     The candidate whose map differs least comes first, in the cell of the earlier set. The sets that are not
-    similar to it are verified with all others.
+    similar to it are verified with all others, of which wide maps of the words leave those that may be similar.
     """
     later, earlier = F.greatest("a", "b"), F.least("a", "b")
     columns = ["a", "b", "as_", "bs"]
@@ -342,7 +365,8 @@ def _late(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: floa
     found = saved(_tallies(sets, best, threshold, True).where("late"), "late")
 
     rest = pairs.withColumn("later", later).join(found.select(F.col("id").alias("later")), "later", "left_anti").drop("later")
-    rest = saved(_in_cells(rest.join(best.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
+    rest = _narrowed(rest.join(best.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+    rest = saved(_in_cells(rest), "pairs")
     sets = saved(sets.drop("cells").join(_cells_of(rest), "id").select("id", "cells", "words"), "words")
     found = found.unionAll(_tallies(sets, rest, threshold, True).where("late"))
     return wanted.select("id", "set_id").join(found, "id").drop("id")

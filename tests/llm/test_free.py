@@ -271,6 +271,17 @@ def test_remove_lines_verifies_the_likeliest_earlier_line_first(spark, monkeypat
     assert sum(t.count() for name, t in plans if name == "pairs") == 119  # of 7,140 candidates
 
 
+def test_wide_maps_leave_every_similar_pair(spark):
+    rng = random.Random(4)
+    sets = [frozenset(rng.sample(range(1 << 62, (1 << 62) + 40), rng.randint(8, 30))) for _ in range(120)]
+    packed = [np.array(sorted(x), np.int64).tobytes() for x in sets]
+    table = spark.createDataFrame([(k, m) for k, m in enumerate(line_dedup._maps(packed).to_pylist())], "id long, map array<long>")
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in range(120) for b in range(a)]
+    left = {(r.a, r.b) for r in line_dedup._narrowed(spark.createDataFrame(pairs, "a long, b long, as_ int, bs int"), table, 0.6).collect()}
+    # no two of the forty words share a bucket, so that the maps decide exactly
+    assert left == {(a, b) for a, b, *_ in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 - 1e-12}
+
+
 def test_remove_lines_agrees_with_mark_lines(spark):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(24)]
