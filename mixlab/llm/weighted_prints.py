@@ -122,7 +122,8 @@ def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFram
     bits = F.bit_count(x[0]) + F.bit_count(x[1])
     equal = [F.shiftrightunsigned(x[k // 4], 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)) == 0 for k in range(8)]
     first = F.coalesce(*[F.when(equal[i] & equal[j], F.lit(t)) for t, (i, j) in enumerate(tables)])
-    return asked.join(held, ["t", "key"]).where((bits > 0) & (bits <= radius) & (first == F.col("t"))).select("f0", "f1", "g0", "g1", bits.alias("bits"))
+    # merged: Spark sizes entries like the fingerprints before the explode, 28 times too low, and would broadcast them
+    return asked.hint("merge").join(held, ["t", "key"]).where((bits > 0) & (bits <= radius) & (first == F.col("t"))).select("f0", "f1", "g0", "g1", bits.alias("bits"))
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,7 +195,8 @@ def compare(docs: DataFrame, radius: int = RADIUS, query_step: int = QUERY_STEP,
     distinct = saved(out.groupBy("f0", "f1").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_equal"), F.max(asked).alias("asked")), "distinct")
     found = near(distinct.where("asked").select("f0", "f1"), distinct.select("f0", "f1"), radius)
     sizes = distinct.select(F.col("f0").alias("g0"), F.col("f1").alias("g1"), "n_equal")
-    others = found.join(sizes, ["g0", "g1"]).groupBy("f0", "f1").agg(F.sum("n_equal").alias("others"))
+    # merged too: the written tables are smaller in their files than as rows in memory
+    others = found.hint("merge").join(sizes, ["g0", "g1"]).groupBy("f0", "f1").agg(F.sum("n_equal").alias("others"))
     classes = distinct.join(others, ["f0", "f1"], "left").select("f0", "f1", "class_id", (F.col("n_equal") - 1 + F.coalesce("others", F.lit(0))).alias("within"))
-    named = out.join(classes, ["f0", "f1"])
+    named = out.hint("merge").join(classes, ["f0", "f1"])
     return named.select("doc_id", "n_chars", "edited_sha256", _hex("f").alias("fingerprint"), _hex("e").alias("edited_fingerprint"), _likeness("f", "e").alias("near_edited"), _likeness("f", "n").alias("near_next"), "class_id", F.when(asked, F.col("within")).alias("n_near"))

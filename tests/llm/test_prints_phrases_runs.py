@@ -220,3 +220,11 @@ def test_search_finds_every_pair_within_the_radius(spark):
 def test_operator_11_has_no_python_in_its_plan(spark):
     plan = weighted_prints.compare(read(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not re.search("MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroups", plan)
+
+
+def test_search_broadcasts_no_table_that_grows(spark, tmp_path):
+    spark.range(3000).select(F.xxhash64("id").alias("f0"), F.xxhash64(F.lit(7), "id").alias("f1")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    for found in (weighted_prints.near(table, table), weighted_prints.compare(read(spark, SF, "documents"))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
