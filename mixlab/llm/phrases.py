@@ -1,18 +1,18 @@
-"""Phrase collocations counted by broadcast double-array tries (operator 12).
+"""Phrase collocations counted by double-array tries (operator 12).
 
 A pass over the texts counts all words per language and writes the texts as sequences of 64-bit word hashes (XXH64; a
 collision between any two words of the corpus is looked for, and the pass repeated under another seed if there is
-one). Then, for each length from two words up:
+one). Then there is one more pass for each length from two words up:
 
-1. Phrases whose parts are all frequent (Apriori) are counted into a table of hash buckets of a fixed size, which is
-   summed over all tasks. A phrase in a bucket below the minimum cannot be frequent. What is left is counted into other
-   buckets twice more.
-2. The different phrases that pass both filters are the candidates. Filters are bit tables of a fixed size, so they may let
-   more through, never less.
-3. Candidates are put in double-array tries of a bounded size (``TRIE_PHRASES``). A trie is broadcast; numpy moves the
-   states of all text positions on together, word by word, and counts the accepting states; the counts of all
-   tasks are summed. That count is exact and decides.
+1. Phrases whose parts are all frequent (Apriori) are added up in the task that reads them and dealt out by a 64-bit hash
+   into parts; the number of parts follows the number of words. The filter of frequent phrases is a bit table, so it may
+   let more through, never less.
+2. In a part, the occurrences are counted into buckets of the whole hash. A phrase in a bucket below the minimum cannot be
+   frequent; the different phrases of the others are the candidates.
+3. Candidates are put in double-array tries of a bounded size (``TRIE_PHRASES``). numpy moves the states of all phrases of
+   the part on together, word by word, and adds their occurrences up by accepting state. That count is exact and decides.
 
+No phrase passes the driver, and the number of passes does not depend on the number of candidates.
 Per language and phrase, the scores are exact in decimals.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlab.llm.common import prepare, saved
+from mixlab.llm.common import BATCH_BYTES, prepare, saved
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -39,19 +39,23 @@ TOP = 2000
 COVERED_PERCENT = 50
 #: Languages of texts without one.
 NO_LANG = "und"
-#: Phrases of two words in a trie, a third of that for three; more candidates take more tries, each with a pass over the written sequences.
+#: Phrases of two words in a trie, a third of that for three; the candidates of a part take as many tries as they need.
 TRIE_PHRASES = 500_000
-#: Bucket counts of a length, each of what passed the one before.
-STAGES = 3
-#: Buckets of a count, a byte each, and bits of the filter of frequent phrases.
-BUCKETS = 1 << 24
+#: Words of the texts to a part of the phrases; more than ``MANY_PARTS`` parts only if each of them has ``MOST_WORDS``.
+PART_WORDS = 1 << 19
+MANY_PARTS = 1 << 12
+MOST_WORDS = 1 << 21
+#: Places that a worker adds up before it deals them out.
+HELD_PLACES = 1 << 21
+#: Bits of the filter of frequent phrases, at least and at most: 16 or more to a phrase in between.
 FILTER_BITS = 1 << 25
+MOST_BITS = 1 << 28
 BLOCK = 1 << 16
 #: Characters read together by a worker: more texts repeat more words.
 READ_CHARS = 1 << 20
 #: Different words that a worker counts before it passes the counts on; they are Python objects.
 HELD_WORDS = 100_000
-#: Phrases or places that a worker holds in arrays before it passes them on.
+#: Phrases that a worker holds in arrays before it passes them on.
 CACHED_WORDS = 200_000
 #: Piece ends and blanks, A-Z in lower case.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -166,7 +170,10 @@ def _keys(lang: str, codes: np.ndarray, words: int) -> np.ndarray:
 def _phrase_keys(lang: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The same hash of given phrases (a row of codes each)."""
     named, inverse = np.unique(lang, return_inverse=True)
-    key = np.array([_key_of(x) for x in named], dtype=np.uint64)[inverse]
+    return _hashed(np.array([_key_of(x) for x in named], dtype=np.uint64)[inverse], codes)
+
+
+def _hashed(key: np.ndarray, codes: np.ndarray) -> np.ndarray:
     for k in range(codes.shape[1]):
         key = (key ^ codes[:, k]) * _GOLD
         key ^= key >> np.uint64(31)
@@ -187,19 +194,59 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), -1)
 
 
+def _runs(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Rows of numbers as a binary column: a row from each place of ``first`` to the next one."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    ends = (np.append(first, len(values)) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Places at which a run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
+
+
 def _filter(frequent: DataFrame) -> np.ndarray:
-    """Bit table of frequent phrases (lang, codes binary): ``FILTER_BITS`` bits, whatever their number."""
+    """Bit table of frequent phrases (lang, codes binary): ``FILTER_BITS`` to ``MOST_BITS`` bits."""
+    size = min(MOST_BITS, max(FILTER_BITS, 1 << (16 * frequent.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(held))
+            first = _starts(at // BLOCK)
+            return pa.RecordBatch.from_arrays([pa.array((at[first] // BLOCK).astype(np.int32)), _runs((at % BLOCK).astype(np.uint16), first)], names=["block", "at"])
+
+        held, n = [], 0
         for batch in batches:
             if batch.num_rows:
-                at = _place(_phrase_keys(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))), FILTER_BITS)
-                cells, bits = at >> 3, np.left_shift(1, at & 7)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(bits.astype(np.int16))], names=["cell", "bits"])
+                held.append(_place(_phrase_keys(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))), size))
+                n += batch.num_rows
+            if n > CACHED_WORDS:
+                yield emit()
+                held, n = [], 0
+        if held:
+            yield emit()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
 
-    cells = frequent.select("lang", "codes").mapInArrow(places, "cell int, bits short").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)  # at most so many rows
-    table[cells.column(0).to_numpy()] = cells.column(1).to_numpy().astype(np.uint8)
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total, bitorder="little").tobytes()])], names=["block", "bits"])
+
+        for batch in batches:
+            for block, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if block != now:
+                    if now is not None:
+                        yield emit()
+                    now, total = block, np.zeros(BLOCK, dtype=bool)
+                total[np.frombuffer(at, np.uint16)] = True
+        if now is not None:
+            yield emit()
+
+    blocks = frequent.select("lang", "codes").mapInArrow(places, "block int, at binary").repartition("block").sortWithinPartitions("block")
+    table = np.zeros(size >> 3, dtype=np.uint8)
+    for row in blocks.mapInArrow(add, "block int, bits binary").collect():  # MOST_BITS / 8 bytes in all
+        table[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return table
 
 
@@ -208,82 +255,70 @@ def _safe(lang: str, codes: np.ndarray, words: int, parts: np.ndarray) -> np.nda
     n = len(codes) - words + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    part = _bit(parts, _place(_keys(lang, codes, words - 1), FILTER_BITS))
+    part = _bit(parts, _place(_keys(lang, codes, words - 1), 8 * len(parts)))
     good = part[:-1] & part[1:]
     for k in range(words):
         good &= codes[k : k + n] != 0
     return np.flatnonzero(good)
 
 
-def _hot_buckets(sequences: DataFrame, words: int, parts, hot: list, min_count: int) -> np.ndarray:
-    """Bit table of the buckets in which at least ``min_count`` occurrences fall that are Apriori-safe and pass the stages before."""
+def _summed(key: np.ndarray, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases (hash, row of codes, occurrences) in the order of their hashes, equal neighbours added up; phrases of one hash stay apart."""
+    order = np.argsort(key)
+    key, rows, n = key[order], rows[order], n[order]
+    other = key[1:] != key[:-1]
+    for k in range(rows.shape[1]):
+        other |= rows[1:, k] != rows[:-1, k]
+    first = np.flatnonzero(np.append(True, other))
+    return key[first], rows[first], np.add.reduceat(n, first)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, dtype=np.uint8)
-        for batch in batches:
-            for lang, codes in zip(batch.column(0), batch.column(1)):
-                lang, x = lang.as_py(), np.frombuffer(codes.as_buffer(), np.uint64)
-                place, n = np.unique(_bucket(_places(lang, x, words, parts.value, hot)[1], len(hot)), return_counts=True)
-                table[place] = np.minimum(table[place] + n, min_count)
-        blocks = [k for k in range(BUCKETS // BLOCK) if table[k * BLOCK : (k + 1) * BLOCK].any()]
-        for k in blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k * BLOCK : (k + 1) * BLOCK].tobytes()])], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(0)
 
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= min_count, bitorder="little").tobytes()])], names=["block", "bits"])
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a phrase's hash, not falling as the hash grows."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if block != now:
-                    if now is not None:
-                        yield emit()
-                    now, total = block, np.zeros(BLOCK, dtype=np.int64)
-                total += np.frombuffer(counts, np.uint8)
-        if now is not None:
-            yield emit()
 
-    if not 1 <= min_count <= 255:
-        raise ValueError("the bucket counters hold minimum counts of 1 to 255")
-    counted = sequences.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block")
-    table = np.zeros(BUCKETS // 8, dtype=np.uint8)
-    for row in counted.mapInArrow(add, "block int, bits binary").collect():  # BUCKETS / 8 bytes in all
-        table[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
-    return table
+def _dealt(sequences: DataFrame, words: int, frequent, parts: int) -> DataFrame:
+    """(part, lang, codes, counts): the Apriori-safe phrases of ``words`` words, a row of codes each, with their occurrences in what a task held."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
 
-def _candidates(sequences: DataFrame, words: int, parts, hot) -> DataFrame:
-    """The different phrases (lang, codes binary) that pass the Apriori filter and stand in a bucket that may be frequent."""
+        def add_up() -> int:
+            for lang, some in held.items():
+                held[lang] = [_summed(*map(np.concatenate, zip(*some)))]
+            return sum(len(x[0][0]) for x in held.values())
 
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(lang: str) -> pa.RecordBatch:
-            rows = held[lang][1]
-            rows = pa.Array.from_buffers(pa.binary(8 * words), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), rows.cast(pa.binary())], names=["lang", "codes"])
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, ((key, rows, n),) in held.items():
+                part = _part(key, parts)
+                first = _starts(part)
+                step = max(1, len(first) * BATCH_BYTES // (rows.nbytes + n.nbytes))
+                for a in range(0, len(first), step):
+                    own = first[a : a + step]
+                    end = first[a + step] if a + step < len(first) else len(part)
+                    at = own - own[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[own]), pa.array([lang] * len(own), pa.string()), _runs(rows[own[0] : end], at), _runs(n[own[0] : end], at)], names=["part", "lang", "codes", "counts"])
 
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, codes in zip(batch.column(0), batch.column(1)):
                 lang, x = lang.as_py(), np.frombuffer(codes.as_buffer(), np.uint64)
-                at, key = _places(lang, x, words, parts.value, hot)
-                if not len(at):
-                    continue
-                rows = np.stack([x[at + k] for k in range(words)], axis=1)
-                if lang in held:
-                    key, rows = np.concatenate([held[lang][0], key]), np.concatenate([held[lang][1], rows])
-                order = np.argsort(key)
-                key, rows = key[order], rows[order]
-                new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))  # phrases of one hash stay apart
-                held[lang] = key[new], rows[new]
-                if len(held[lang][0]) > CACHED_WORDS:
-                    yield emit(lang)
-                    del held[lang]
-        for lang in list(held):
-            yield emit(lang)
-
-    return sequences.mapInArrow(list_, "lang string, codes binary").distinct()
+                at = _safe(lang, x, words, frequent.value)
+                if len(at):
+                    own = _summed(_keys(lang, x, words)[at], np.stack([x[at + k] for k in range(words)], axis=1), np.ones(len(at), dtype=np.int64))
+                    held.setdefault(lang, []).append(own)
+                    size += len(own[0])
+                if size > HELD_PLACES:
+                    size = add_up()
+                    if 2 * size > HELD_PLACES:
+                        yield from emit()
+                        held.clear()
+                        size = 0
+        add_up()
+        yield from emit()
+
+    return sequences.mapInArrow(deal, "part int, lang string, codes binary, counts binary")
 
 
 @dataclass
@@ -296,13 +331,15 @@ class Trie:
     base: np.ndarray
     check: np.ndarray
     accepting: np.ndarray  # state of each phrase
-    lang: pa.Array | None = None  # of each phrase
-    phrases: pa.Array | None = None  # its codes
 
     def states(self, lang: str, codes: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
         """States reached by the ``length`` words from the places ``at`` on, where there is such a path."""
+        return self.walk(lang, codes, length, at)[1]
+
+    def walk(self, lang: str, codes: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``at`` from which there is such a path, and the states reached."""
         if lang not in self.roots or not len(self.words):
-            return np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         state = np.full(len(at), self.roots[lang], dtype=np.int64)
         for k in range(length):
             word = codes[at + k]
@@ -310,7 +347,7 @@ class Trie:
             to = self.base[state] + self.number[found]
             good = (self.words[found] == word) & (self.check[to] == state)
             at, state = at[good], to[good]
-        return state
+        return at, state
 
 
 def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
@@ -383,107 +420,85 @@ def build_trie(lang: np.ndarray, codes: np.ndarray) -> Trie:
     return Trie(words, ranks, {x: k for k, x in enumerate(langs.tolist())}, base[:end], check[:end], state.astype(np.int32))
 
 
-def _bucket(key: np.ndarray, stage: int) -> np.ndarray:
-    """Bucket of a phrase's hash; the stages hash it anew."""
-    for _ in range(stage):
-        key = (key ^ (key >> np.uint64(29))) * _GOLD
-    return _place(key, BUCKETS)
-
-
-def _places(lang: str, codes: np.ndarray, words: int, parts: np.ndarray, hot: list) -> tuple[np.ndarray, np.ndarray]:
-    """Places of Apriori-safe phrases in buckets that may be frequent at each stage, and their hashes."""
-    at = _safe(lang, codes, words, parts)
-    key = _keys(lang, codes, words)[at]
-    for stage, bits in enumerate(hot):
-        good = _bit(bits.value, _bucket(key, stage))
-        at, key = at[good], key[good]
-    return at, key
-
-
-def _shards(candidates: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """The candidates with a shard each, none of more than ``most``: by last word, which keeps families of
-    children close in a trie, and a shard that is too large by phrase as well."""
-    last = F.xxhash64("lang", F.substring("codes", -8, 8))
-    n = max(1, -(-2 * candidates.count() // most))
-    dealt = candidates.withColumn("shard", F.pmod(last, F.lit(n)).cast("int"))
-    for depth in range(8):
-        sizes = {r.shard: r["count"] for r in dealt.groupBy("shard").count().collect()}  # a row a shard
-        large = {k: -(-2 * c // most) for k, c in sizes.items() if c > most}
-        if not large:
-            break
-        split, start = F.lit(None), max(sizes) + 1
-        for k, parts in large.items():
-            split = F.when(F.col("shard") == k, F.lit(start) + F.pmod(F.xxhash64("lang", "codes", F.lit(depth)), F.lit(parts))).otherwise(split)
-            start += parts
-        dealt = dealt.withColumn("shard", F.coalesce(split, "shard").cast("int"))
-    else:
-        raise RuntimeError("the candidates cannot be dealt into shards")
-    return dealt, max(sizes, default=-1) + 1
-
-
-def _counted(sequences: DataFrame, candidates: DataFrame, words: int, min_count: int, parts, hot) -> DataFrame:
-    """(lang, codes, n) of the candidates that occur ``min_count`` times: their exact number, by tries."""
-    spark = sequences.sparkSession
-    dealt, shards = _shards(candidates, max(1, 2 * TRIE_PHRASES // words // (words - 1)))
-    out = None
-    for shard in range(shards):
-        own = dealt.where(F.col("shard") == shard).select("lang", "codes").toArrow().combine_chunks()  # TRIE_PHRASES rows at most
-        if not own.num_rows:
-            continue
-        trie = build_trie(own.column(0).to_numpy(), _matrix(own.column(1).combine_chunks()))
-        trie.lang, trie.phrases = own.column(0).combine_chunks().dictionary_encode(), own.column(1).combine_chunks()
-        shared = spark.sparkContext.broadcast(trie)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie: Trie = shared.value
-            order = np.argsort(trie.accepting)
-            accepting = trie.accepting[order]
-            total = np.zeros(len(order), dtype=np.int64)  # a count a phrase: the states of a trie are many more
-            held, size = [], 0
-
-            def add() -> None:
-                total[:] += np.bincount(np.searchsorted(accepting, np.concatenate(held)), minlength=len(total))
-
-            for batch in batches:
-                for lang, text in zip(batch.column(0), batch.column(1)):
-                    lang, x = lang.as_py(), np.frombuffer(text.as_buffer(), np.uint64)
-                    held.append(trie.states(lang, x, words, _places(lang, x, words, parts.value, hot)[0]))
-                    size += len(held[-1])
-                    if size > CACHED_WORDS:
-                        add()
-                        held, size = [], 0
-            if held:
-                add()
-            seen = np.flatnonzero(total)
-            if len(seen):
-                at = pa.array(order[seen])
-                yield pa.RecordBatch.from_arrays([trie.lang.take(at).cast(pa.string()), trie.phrases.take(at), pa.array(total[seen])], names=["lang", "codes", "n"])
-
-        part = saved(sequences.mapInArrow(count, "lang string, codes binary, n long").groupBy("lang", "codes").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrases")
-        shared.destroy()
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "lang string, codes binary, n long") if out is None else out
+def _by_trie(names: list[str], lang: np.ndarray, rows: np.ndarray, n: np.ndarray, min_count: int) -> pa.RecordBatch:
+    """(lang, codes, n) of the phrases that occur ``min_count`` times among dealt ones: numbers of languages, rows of codes, occurrences, in the order of their hashes."""
+    words = rows.shape[1]
+    other = lang[1:] != lang[:-1]
+    for k in range(words):
+        other |= rows[1:, k] != rows[:-1, k]
+    first = np.flatnonzero(np.append(True, other))
+    trie = build_trie(lang[first], rows[first])
+    order = np.argsort(trie.accepting)
+    accepting = trie.accepting[order]
+    total = np.zeros(len(order), dtype=np.int64)  # a count a phrase: the states of a trie are many more
+    for x in trie.roots:
+        own = np.flatnonzero(lang == x)
+        at, state = trie.walk(x, rows[own].ravel(), words, words * np.arange(len(own)))
+        np.add.at(total, np.searchsorted(accepting, state), n[own[at // words]])
+    seen = np.flatnonzero(total >= min_count)
+    found = first[order[seen]]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang[found])), _runs(rows[found], np.arange(len(found))), pa.array(total[seen])], names=["lang", "codes", "n"])
+
+
+def _counted(sequences: DataFrame, words: int, min_count: int, frequent, parts: int) -> DataFrame:
+    """(lang, codes, n) of the phrases of ``words`` words that occur ``min_count`` times: their exact number, by tries."""
+    most = max(1, 2 * TRIE_PHRASES // words // (words - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list, list]] = {}
+        now = None
+
+        def of_part() -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            own = [np.frombuffer(b"".join(held[x][0]), np.uint64).reshape(-1, words) for x in names]
+            key = np.concatenate([_hashed(np.full(len(x), _key_of(name)), x) for name, x in zip(names, own)])
+            lang = np.repeat(np.arange(len(names)), [len(x) for x in own])
+            rows = np.concatenate(own)
+            n = np.frombuffer(b"".join(b for x in names for b in held[x][1]), np.int64)
+            order = np.argsort(key)
+            first = _starts(key[order])
+            sizes = np.diff(np.append(first, len(key)))
+            hot = np.add.reduceat(n[order], first) >= min_count  # a bucket has one phrase, or a few of one hash
+            order = order[np.repeat(hot, sizes)]
+            trie = np.repeat(np.arange(hot.sum()) // most, sizes[hot])
+            for some in np.split(order, _starts(trie)[1:]):
+                if len(some):
+                    yield _by_trie(names, lang[some], rows[some], n[some], min_count)
+
+        for batch in batches:
+            for part, lang, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    if held:
+                        yield from of_part()
+                        held.clear()
+                    now = part
+                own = held.setdefault(lang, ([], []))
+                own[0].append(codes)
+                own[1].append(counts)
+        if held:
+            yield from of_part()
+
+    dealt = _dealt(sequences, words, frequent, parts).repartition("part").sortWithinPartitions("part")
+    return saved(dealt.mapInArrow(count, "lang string, codes binary, n long"), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, codes, n) of all phrases of up to ``max_words`` words that occur ``min_count`` times, (lang, word, code, n) of the frequent words, and (lang, total)."""
     words, sequences = word_counts(docs, lang_col, text_col)
+    if min_count < 1:
+        raise ValueError("a minimum count is 1 at least")
     sc = docs.sparkSession.sparkContext
     frequent = words.where(F.col("n") >= min_count)
     binary = F.col("code").cast("long")
-    level = frequent.mapInArrow(_as_codes, "lang string, codes binary, n long")
-    level = saved(level, "phrases")
+    level = saved(frequent.mapInArrow(_as_codes, "lang string, codes binary, n long"), "phrases")
     found = level
+    total = words.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, min(MANY_PARTS, -(-total // PART_WORDS)), total // MOST_WORDS)
     for length in range(2, max_words + 1):
-        parts = sc.broadcast(_filter(level))
-        hot: list = []
-        for _ in range(STAGES):
-            hot.append(sc.broadcast(_hot_buckets(sequences, length, parts, list(hot), min_count)))
-        candidates = saved(_candidates(sequences, length, parts, hot), "candidates")
-        level = _counted(sequences, candidates, length, min_count, parts, hot)
+        bits = sc.broadcast(_filter(level))
+        level = _counted(sequences, length, min_count, bits, parts)
         found = found.unionByName(level)
-        for bits in (parts, *hot):
-            bits.destroy()
+        bits.destroy()
     return found, frequent.select("lang", "word", binary.alias("code"), "n"), words.groupBy("lang").agg(F.sum("n").alias("total"))
 
 
@@ -501,7 +516,6 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     Repeated rows count each time; other columns are not read. Empty tables give no rows.
     """
     found, words, totals = frequent_phrases(docs, max_words, min_count, lang_col, text_col)
-    found = saved(found, "frequent")
     length = (F.octet_length("codes") / 8).cast("int")
     counts = found.select("lang", F.col("codes").alias("part"), F.col("n").alias("f"))
     phrases = found.select("lang", "codes", length.alias("words"), F.col("n").alias("a")).where("words > 1")

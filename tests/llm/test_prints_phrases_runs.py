@@ -126,6 +126,28 @@ def test_phrases_of_odd_rows(spark):
     assert phrases.top(phrases.collocations(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("many", [7, 500_000])
+def test_passes_do_not_grow_with_the_candidates(spark, monkeypatch, many):
+    written, save = [], phrases.saved
+    monkeypatch.setattr(phrases, "saved", lambda df, name: written.append(name) or save(df, name))
+    monkeypatch.setattr(phrases, "build_trie", None)  # here only: the driver holds no trie
+    monkeypatch.setattr(phrases, "TRIE_PHRASES", many)
+    monkeypatch.setattr(phrases, "PART_WORDS", 500, raising=False)
+    monkeypatch.setattr(phrases, "HELD_PLACES", 100, raising=False)
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), " ".join(rnd.choice("uvwxyz") for _ in range(60))) for _ in range(200)]
+    got = phrases.top(phrases.collocations(spark.createDataFrame(rows, "lang string, text string")))
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows) != []
+    assert sorted(written) == ["phrases"] * 3 + ["sequences", "words"]
+
+
+def test_phrases_of_one_hash_are_counted_apart():
+    x, y = [5, 6], [7, 8]  # as if both had one hash: their rows stand in any order
+    rows = np.array([x, y, x, y, x], dtype=np.uint64)
+    got = phrases._by_trie(["de"], np.zeros(5, dtype=np.int64), rows, np.array([4, 3, 2, 3, 4]), 7)
+    assert [(r["lang"], np.frombuffer(r["codes"], np.uint64).tolist(), r["n"]) for r in got.to_pylist()] == [("de", x, 10)]
+
+
 def test_trie_accepts_its_phrases_only():
     rng = np.random.default_rng(0)
     codes = rng.integers(1, 1 << 62, 300).astype(np.uint64)
