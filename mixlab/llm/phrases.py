@@ -168,12 +168,13 @@ def _keys(lang: str, codes: np.ndarray, words: int) -> np.ndarray:
 
 
 def _phrase_keys(lang: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The same hash of given phrases (a row of codes each)."""
+    """The same hash of given phrases (a language and a row of codes each)."""
     named, inverse = np.unique(lang, return_inverse=True)
     return _hashed(np.array([_key_of(x) for x in named], dtype=np.uint64)[inverse], codes)
 
 
 def _hashed(key: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The same hash of rows of codes, from the keys of their languages."""
     for k in range(codes.shape[1]):
         key = (key ^ codes[:, k]) * _GOLD
         key ^= key >> np.uint64(31)
@@ -442,6 +443,8 @@ def _by_trie(names: list[str], lang: np.ndarray, rows: np.ndarray, n: np.ndarray
 
 def _counted(sequences: DataFrame, words: int, min_count: int, frequent, parts: int) -> DataFrame:
     """(lang, codes, n) of the phrases of ``words`` words that occur ``min_count`` times: their exact number, by tries."""
+    if min_count < 1:
+        raise ValueError("a minimum count is 1 at least")
     most = max(1, 2 * TRIE_PHRASES // words // (words - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,8 +488,6 @@ def _counted(sequences: DataFrame, words: int, min_count: int, frequent, parts:
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, codes, n) of all phrases of up to ``max_words`` words that occur ``min_count`` times, (lang, word, code, n) of the frequent words, and (lang, total)."""
     words, sequences = word_counts(docs, lang_col, text_col)
-    if min_count < 1:
-        raise ValueError("a minimum count is 1 at least")
     sc = docs.sparkSession.sparkContext
     frequent = words.where(F.col("n") >= min_count)
     binary = F.col("code").cast("long")
